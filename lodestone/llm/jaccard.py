@@ -7,15 +7,17 @@ shingles that many classes have last, so a common passage seldom stands in a
 prefix.  Columns (shingles) are dealt to blocks by hash; a block holds the prefix
 entries of all classes as packed arrays.
 
-1. In each block, the classes of a column are held against its first class only
-   (a star); pairs whose sizes cannot reach the threshold go.  Exact overlaps
-   then give links, and links give components.
+1. In each block, the classes of a column are held against ``PIVOTS`` of them
+   only (stars): those with the largest share of common shingles, as an original
+   has among its edited copies.  Pairs whose sizes cannot reach the threshold,
+   or that share little, wait for step 2.  Exact overlaps of the others give
+   links, and links give components.
 2. In each block, overlap counts of all pairs of *different* components are
    accumulated; pairs whose total count cannot reach the threshold even if
    all that follows both prefixes agreed go.  Exact overlaps of the rest complete
    the links, so none between two components is missing.
 
-Groups of near copies thus cost a star, not a square.
+Groups of near copies thus cost a few stars, not a square.
 """
 
 from __future__ import annotations
@@ -32,33 +34,31 @@ from lodestone.llm.common import CHUNK_WORDS, HASHES, chunks, components, mix, s
 
 SHINGLE = 5
 PERCENT = 75
+_BASE = 0xC2B2AE3D27D4EB4F
 KEY = 10  # bytes of a class key
 FLUSH = 4 * CHUNK_WORDS  # shingles that a task gathers before it emits blocks
-BLOCK = 2_000_000  # prefix entries in a block
+BLOCK = 1_000_000  # prefix entries in a block
+PIVOTS = 8
 LOCAL_HOT, HOT, HOT_MAX = 4, 16, 200_000
 BROADCAST_ROWS = 200_000
 
 
-def shingle_set(tokens: list[bytes], h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of all k-word shingles; of fewer words, of the whole sequence."""
-    if len(tokens) >= k:
-        return np.unique(windows(h, k, 0xC2B2AE3D27D4EB4F))
-    return mix(windows(h, len(tokens), 0xC2B2AE3D27D4EB4F) + np.uint64(len(tokens))) if tokens else np.empty(0, np.uint64)
-
-
-def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
-    token_lists = [words(t.translate(_LOWER)) if t else [] for t in batch.column("text").to_pylist()]
+def _sets(batch: pa.RecordBatch, k: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of all k-word shingles; of fewer words, of the whole sequence."""
+    token_lists = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in batch.column("text").to_pylist()]  # bytes: A-Z only
     flat = HASHES.of([w for t in token_lists for w in t])
+    rolled = windows(flat, k, _BASE)
     out, at = [], 0
-    for t in token_lists:
-        out.append(shingle_set(t, flat[at : at + len(t)]))
-        at += len(t)
+    for n in map(len, token_lists):
+        if n >= k:
+            s = np.sort(rolled[at : at + n - k + 1])
+            out.append(s[np.r_[True, s[1:] != s[:-1]]])
+        else:
+            out.append(mix(windows(flat[at : at + n], n, _BASE) + np.uint64(n)) if n else np.empty(0, np.uint64))
+        at += n
     return out
 
 
-_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
 def _key(shingles: np.ndarray) -> bytes:
     return blake2b(shingles.tobytes(), digest_size=KEY).digest()
 
@@ -106,7 +106,7 @@ def _poster(hot, blocks: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = hot.value  # sorted hashes and their ranks by frequency
         seen: set[bytes] = set()
-        keys, sizes, parts = [], [], []
+        keys, sizes, scores, parts = [], [], [], []
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate(parts)
@@ -115,15 +115,15 @@ def _poster(hot, blocks: int, percent: int):
             order = np.argsort(block, kind="stable")
             h, owner, block = h[order], owner[order], block[order]
             edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            size = np.array(sizes, np.uint32)
+            size, score = np.array(sizes, np.uint32), np.array(scores, np.uint32)
             table = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(6)]
             for a, b in zip(edges, np.r_[edges[1:], len(h)]):
                 who, counts = np.unique(owner[a:b], return_counts=True)
-                for col, v in zip(out, (int(block[a]), table[who].tobytes(), size[who].tobytes(), counts.astype(np.uint32).tobytes(), h[a:b].astype(np.uint32).tobytes())):
+                for col, v in zip(out, (int(block[a]), table[who].tobytes(), size[who].tobytes(), score[who].tobytes(), counts.astype(np.uint32).tobytes(), h[a:b].astype(np.uint32).tobytes())):
                     col.append(v)
-            keys.clear(), sizes.clear(), parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["block", "keys", "sizes", "counts", "hs"])
+            keys.clear(), sizes.clear(), scores.clear(), parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["block", "keys", "sizes", "scores", "counts", "hs"])
 
         for batch in chunks(batches):
             for s in _sets(batch):
@@ -132,11 +132,12 @@ def _poster(hot, blocks: int, percent: int):
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(k)
-                rank = s >> np.uint64(1)
+                rank, common_ones = s >> np.uint64(1), 0
                 if len(common[0]):
                     at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
-                    rank = np.where(common[0][at] == s, np.uint64(1 << 63) + common[1][at], rank)
-                keys.append(k), sizes.append(len(s))
+                    is_common = common[0][at] == s
+                    rank, common_ones = np.where(is_common, np.uint64(1 << 63) + common[1][at], rank), int(is_common.sum())
+                keys.append(k), sizes.append(len(s)), scores.append(1000 * common_ones // len(s))
                 parts.append(s[np.argsort(rank, kind="stable")[: int(prefix_size(len(s), percent))]])
             if sum(map(len, parts)) > FLUSH // 3:
                 yield flush()
@@ -146,46 +147,62 @@ def _poster(hot, blocks: int, percent: int):
     return run
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: class keys (distinct, ascending), sizes, and the entries (hash, class), by hash, of columns with two classes or more."""
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: class keys (distinct, ascending), sizes, pivot scores, and the entries (hash, class), by hash, of columns with two classes or more."""
     read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
     keys = np.concatenate([np.frombuffer(x, f"V{KEY}") for x in table.column("keys").to_pylist()])
     keys, first, of = np.unique(np.array([bytes(k) + b"\1" for k in keys.tolist()]), return_index=True, return_inverse=True)  # numpy drops trailing zeros
     sizes = read("sizes", np.uint32)[first].astype(np.int64)
+    scores = read("scores", np.uint32)[first].astype(np.int64)
     cls = np.repeat(of, read("counts", np.uint32))
     both = np.unique(read("hs", np.uint32).astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64))
     h, cls = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
     edge = np.r_[True, h[1:] != h[:-1]]
     run = np.cumsum(edge) - 1
     many = np.bincount(run)[run] > 1
-    return keys, sizes, h[many], cls[many]
+    return keys, sizes, scores, h[many], cls[many]
 
 
 def _bytes(keys: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.array([k[:KEY] for k in keys[at].tolist()], pa.binary())
 
 
-_BLOCK = "block int, a binary, b binary, keys binary, sizes binary, counts binary, hs binary"
+#: Rows of three kinds: pairs (a, b), classes a of the block, and the block's packed columns.
+_BLOCK = "block int, a binary, b binary, na long, nb long, shared long, keys binary, sizes binary, scores binary, counts binary, hs binary"
 
 
 def _starrer(percent: int):
     def star(table: pa.Table) -> pa.Table:
-        keys, sizes, h, cls = _columns(table)
-        schema = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "keys", "sizes", "counts", "hs"))])
+        keys, sizes, scores, h, cls = _columns(table)
+        schema = pa.schema([("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), *((c, pa.int64()) for c in ("na", "nb", "shared")), *((c, pa.binary()) for c in ("keys", "sizes", "scores", "counts", "hs"))])
         block = table.column("block")[0].as_py()
         if not len(h):
             return pa.Table.from_batches([], schema)
-        edge = np.r_[True, h[1:] != h[:-1]]
-        pivot = cls[np.flatnonzero(edge)][np.cumsum(edge) - 1]
-        fits = ~edge & (100 * np.minimum(sizes[pivot], sizes[cls]) >= percent * np.maximum(sizes[pivot], sizes[cls]))
-        pairs = np.unique(pivot[fits] << 32 | cls[fits])
-        a, b = _bytes(keys, pairs >> 32), _bytes(keys, pairs & 0xFFFFFFFF)
-        rows = [pa.RecordBatch.from_arrays([pa.array([block] * len(pairs), pa.int32()), a, b, *[pa.nulls(len(pairs), pa.binary())] * 4], schema=schema)]
+        place = np.empty(len(keys), np.int64)
+        place[np.lexsort((np.arange(len(keys)), -scores))] = np.arange(len(keys))
+        order = np.lexsort((place[cls], h))
+        h, cls = h[order], cls[order]
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        lengths = np.diff(np.r_[starts, len(h)])
+        nth = np.arange(len(h)) - np.repeat(starts, lengths)
+        found = []
+        for k in range(PIVOTS):
+            pivot = np.repeat(cls[np.minimum(starts + k, len(h) - 1)], lengths)
+            fits = (nth > k) & (100 * np.minimum(sizes[pivot], sizes[cls]) >= percent * np.maximum(sizes[pivot], sizes[cls]))
+            found.append(np.minimum(pivot, cls)[fits] << 32 | np.maximum(pivot, cls)[fits])
+        pairs, counts = np.unique(np.concatenate(found), return_counts=True)
+        x, y = pairs >> 32, pairs & 0xFFFFFFFF
+        used = np.unique(cls)
+        nothing = lambda n, kind=pa.binary(): pa.nulls(n, kind)
+        rows = [
+            pa.RecordBatch.from_arrays([pa.array([block] * len(pairs), pa.int32()), _bytes(keys, x), _bytes(keys, y), pa.array(sizes[x]), pa.array(sizes[y]), pa.array(counts.astype(np.int64)), *[nothing(len(pairs))] * 5], schema=schema),
+            pa.RecordBatch.from_arrays([pa.array([block] * len(used), pa.int32()), _bytes(keys, used), nothing(len(used)), *[nothing(len(used), pa.int64())] * 3, *[nothing(len(used))] * 5], schema=schema),
+        ]
         # what the second step needs: the classes of the kept entries, and the entries by class
         order = np.argsort(cls, kind="stable")
         who, counts = np.unique(cls[order], return_counts=True)
-        blob = [b"".join(k[:KEY] for k in keys[who].tolist()), sizes[who].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), h[order].astype(np.uint32).tobytes()]
-        rows.append(pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.nulls(1, pa.binary())] * 2, *(pa.array([x], pa.binary()) for x in blob)], schema=schema))
+        blob = [b"".join(k[:KEY] for k in keys[who].tolist()), sizes[who].astype(np.uint32).tobytes(), scores[who].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), h[order].astype(np.uint32).tobytes()]
+        rows.append(pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), nothing(1), nothing(1), *[nothing(1, pa.int64())] * 3, *(pa.array([x], pa.binary()) for x in blob)], schema=schema))
         return pa.Table.from_batches(rows, schema)
 
     return star
@@ -197,7 +214,7 @@ def _crosser(percent: int):
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("shared", pa.int64())])
         if not table.num_rows:
             return pa.Table.from_batches([], schema)
-        keys, sizes, h, cls = _columns(table)
+        keys, sizes, _, h, cls = _columns(table)
         if not len(h):
             return pa.Table.from_batches([], schema)
         root = dict(zip(labels.column("key").to_pylist(), labels.column("root").to_pylist()))
@@ -288,19 +305,21 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> tuple[
     rank[np.lexsort((h, c))] = np.arange(len(h), dtype=np.uint64)
     hot = spark.sparkContext.broadcast((h[order], rank[order]))
     entries = classes.agg(F.sum(prefix_size(F.col("n"), percent).cast("long"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-entries // BLOCK)))
-    posted = rows.mapInArrow(_poster(hot, blocks, percent), "block int, keys binary, sizes binary, counts binary, hs binary")
+    blocks = max(2 * spark.sparkContext.defaultParallelism, int(-(-entries // BLOCK)))
+    posted = rows.mapInArrow(_poster(hot, blocks, percent), "block int, keys binary, sizes binary, scores binary, counts binary, hs binary")
     starred = stored(posted.groupBy("block").applyInArrow(_starrer(percent), _BLOCK), "star")
-    links = _verify(starred.where("a is not null").select("a", "b").distinct(), rows, classes, percent)
+    na, nb, n = F.col("na"), F.col("nb"), F.col("shared")
+    after = F.greatest(na - prefix_size(na, percent).cast("long"), nb - prefix_size(nb, percent).cast("long"))
+    total = lambda df: df.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
+    # stars count only the columns in which one of the two is a pivot: a third of what all columns must have will do
+    near = total(starred.where("b is not null")).where((100 + percent) * (3 * n + after) >= percent * (na + nb)).select("a", "b")
+    links = _verify(near, rows, classes, percent)
     roots = components(links)
 
-    packed = starred.where("keys is not null").select("block", "keys", "sizes", "counts", "hs")
-    split = F.expr(f"transform(sequence(0, cast(length(keys) / {KEY} as int) - 1), i -> substring(keys, i * {KEY} + 1, {KEY}))")
-    labels = packed.select("block", F.explode(split).alias("key")).join(roots.withColumnRenamed("node", "key"), "key").select(F.col("block").alias("at"), "key", "root")
+    packed = starred.where("keys is not null").select("block", "keys", "sizes", "scores", "counts", "hs")
+    labels = starred.where("a is not null and b is null").select(F.col("block").alias("at"), F.col("a").alias("key")).join(roots.withColumnRenamed("node", "key"), "key").select("at", "key", "root")
     crossed = packed.groupBy("block").cogroup(labels.groupBy("at")).applyInArrow(_crosser(percent), "a binary, b binary, na long, nb long, shared long")
-    crossed = crossed.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
-    most = F.col("shared") + F.greatest(F.col("na") - prefix_size(F.col("na"), percent).cast("long"), F.col("nb") - prefix_size(F.col("nb"), percent).cast("long"))
-    crossed = crossed.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    crossed = total(crossed).where((100 + percent) * (n + after) >= percent * (na + nb)).select("a", "b")
     more = _verify(crossed, rows, classes, percent)
     return classes, links.unionByName(more)
 
