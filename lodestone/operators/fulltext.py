@@ -26,7 +26,8 @@ def tokens(col: Column) -> Column:
 
 def term_vector(col: Column) -> Column:
     """Each distinct token with its frequency."""
-    return F.transform(F.array_sort(F.array_distinct(tokens(col))), lambda t: F.struct(t.alias("term"), F.size(F.filter(tokens(col), lambda x: x == t)).alias("freq")))
+    count = lambda t, all_: F.struct(t.alias("term"), F.size(F.filter(all_, lambda x: x == t)).alias("freq"))
+    return F.flatten(F.transform(F.array(tokens(col)), lambda all_: F.transform(F.array_sort(F.array_distinct(all_)), lambda t: count(t, all_))))
 
 
 def _is_text(table: Table, field: str) -> bool:
@@ -54,17 +55,24 @@ def _wildcard(table: Table, field: str, pattern: str) -> Column:
 
 
 def _phrase(col: Column, words: list[str]) -> Column:
+    """Consecutive tokens; as one containment test on the tokens' text, so a row costs one pass."""
     if not words:
         return F.lit(False)
-    return spans_exist(_near(col, [_term(col, w) for w in words], 0, True)) if len(words) > 1 else F.array_contains(tokens(col), words[0])
+    return F.concat(F.lit(" "), F.array_join(tokens(col), " "), F.lit(" ")).contains(f" {' '.join(words)} ")
 
 
 # -- spans: arrays of struct<s: start, e: end (exclusive)>
 
 
 def _term(col: Column, word: str) -> Column:
-    t = tokens(col)
-    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), lambda i: F.get(t, i) == word.lower()), lambda i: F.struct(i.alias("s"), (i + 1).alias("e")))
+    at = F.transform(tokens(col), lambda x, i: F.struct(x.alias("w"), i.alias("s"), (i + 1).alias("e")))
+    return F.transform(F.filter(at, lambda y: y["w"] == word.lower()), lambda y: F.struct(y["s"], y["e"]))
+
+
+def _bound(parts: list[Column], build: Callable[[list[Column]], Column]) -> Column:
+    """Works out each part once in a row, then an array built from them."""
+    named = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    return F.flatten(F.transform(F.array(named), lambda b: build([b[f"p{i}"] for i in range(len(parts))])))
 
 
 def _pairing(spans: Column, in_order: bool) -> Callable[[Column], Column]:
@@ -77,12 +85,16 @@ def _pairing(spans: Column, in_order: bool) -> Callable[[Column], Column]:
     return pair
 
 
-def _near(col: Column, parts: list[Column], slop: int, in_order: bool) -> Column:
+def _near(parts: list[Column], slop: int, in_order: bool) -> Column:
     """Spans that hold one span of each part, with at most ``slop`` positions between them in all."""
-    made = F.transform(parts[0], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"]).alias("n"), x["s"].alias("last")))
-    for p in parts[1:]:
-        made = F.flatten(F.transform(made, _pairing(p, in_order)))
-    return F.transform(F.filter(made, lambda x: x["e"] - x["s"] - x["n"] <= slop), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+
+    def build(p: list[Column]) -> Column:
+        made = F.transform(p[0], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"]).alias("n"), x["s"].alias("last")))
+        for other in p[1:]:
+            made = F.flatten(F.transform(made, _pairing(other, in_order)))
+        return F.transform(F.filter(made, lambda x: x["e"] - x["s"] - x["n"] <= slop), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+
+    return _bound(parts, build)
 
 
 def spans_exist(spans: Column) -> Column:
@@ -102,10 +114,10 @@ def compile_span(table: Table, node: dict) -> tuple[str, Column]:
         field = parts[0][0]
         if op == "span_or":
             return field, F.array_distinct(F.concat(*(s for _, s in parts)))
-        return field, _near(F.col(field), [s for _, s in parts], int(spec.get("slop", 12)), bool(spec.get("in_order", False)))
+        return field, _near([s for _, s in parts], int(spec.get("slop", 12)), bool(spec.get("in_order", False)))
     if op == "span_not":
         (field, keep), (_, out) = compile_span(table, spec["include"]), compile_span(table, spec["exclude"])
-        return field, F.filter(keep, lambda x: ~F.exists(out, lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"])))
+        return field, _bound([keep, out], lambda p: F.filter(p[0], lambda x: ~F.exists(p[1], lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"]))))
     if op == "span_first":
         field, spans = compile_span(table, spec["match"])
         return field, F.filter(spans, lambda x: x["e"] <= int(spec.get("end", 3)))
