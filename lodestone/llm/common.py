@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words handled at once inside a Python worker, so that numpy arrays stay small.
 CHUNK_WORDS = 400_000
 #: Distinct words that a worker's memo may hold before it starts afresh.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 _MIX_A, _MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)

@@ -13,9 +13,10 @@ entries of all classes as packed arrays.
    or that share little, wait for step 2.  Exact overlaps of the others give
    links, and links give components.
 2. In each block, overlap counts of all pairs of *different* components are
-   accumulated; pairs whose total count cannot reach the threshold even if
-   all that follows both prefixes agreed go.  Exact overlaps of the rest complete
-   the links, so none between two components is missing.
+   accumulated where what is left of both sets can still reach the threshold;
+   pairs whose total count is below the bound of their sizes go.  Exact
+   overlaps of the rest complete the links, so none between two components is
+   missing.
 
 Groups of near copies thus cost a few stars, not a square.
 """
@@ -113,17 +114,18 @@ def _poster(hot, blocks: int, percent: int):
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             block = ((h >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            h, owner, block = h[order], owner[order], block[order]
+            place = np.concatenate([np.minimum(np.arange(len(p)), 65_535) for p in parts])
+            h, owner, block, place = h[order], owner[order], block[order], place[order].astype(np.uint16)
             edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             size, score = np.array(sizes, np.uint32), np.array(scores, np.uint32)
             table = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for a, b in zip(edges, np.r_[edges[1:], len(h)]):
                 who, counts = np.unique(owner[a:b], return_counts=True)
-                for col, v in zip(out, (int(block[a]), table[who].tobytes(), size[who].tobytes(), score[who].tobytes(), counts.astype(np.uint32).tobytes(), h[a:b].astype(np.uint32).tobytes())):
+                for col, v in zip(out, (int(block[a]), table[who].tobytes(), size[who].tobytes(), score[who].tobytes(), counts.astype(np.uint32).tobytes(), h[a:b].astype(np.uint32).tobytes(), place[a:b].tobytes())):
                     col.append(v)
             keys.clear(), sizes.clear(), scores.clear(), parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["block", "keys", "sizes", "scores", "counts", "hs"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["block", "keys", "sizes", "scores", "counts", "hs", "places"])
 
         for batch in chunks(batches):
             for s in _sets(batch):
@@ -137,7 +139,7 @@ def _poster(hot, blocks: int, percent: int):
                     at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
                     is_common = common[0][at] == s
                     rank, common_ones = np.where(is_common, np.uint64(1 << 63) + common[1][at], rank), int(is_common.sum())
-                keys.append(k), sizes.append(len(s)), scores.append(1000 * common_ones // len(s))
+                keys.append(k), sizes.append(len(s)), scores.append(common_ones)
                 parts.append(s[np.argsort(rank, kind="stable")[: int(prefix_size(len(s), percent))]])
             if sum(map(len, parts)) > FLUSH // 3:
                 yield flush()
@@ -147,20 +149,21 @@ def _poster(hot, blocks: int, percent: int):
     return run
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: class keys (distinct, ascending), sizes, pivot scores, and the entries (hash, class), by hash, of columns with two classes or more."""
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: class keys (distinct, ascending), sizes, numbers of common shingles, and the entries (hash, class, place in the prefix), by hash, of columns with two classes or more."""
     read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
     keys = np.concatenate([np.frombuffer(x, f"V{KEY}") for x in table.column("keys").to_pylist()])
     keys, first, of = np.unique(np.array([bytes(k) + b"\1" for k in keys.tolist()]), return_index=True, return_inverse=True)  # numpy drops trailing zeros
     sizes = read("sizes", np.uint32)[first].astype(np.int64)
     scores = read("scores", np.uint32)[first].astype(np.int64)
     cls = np.repeat(of, read("counts", np.uint32))
-    both = np.unique(read("hs", np.uint32).astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64))
+    both, at = np.unique(read("hs", np.uint32).astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64), return_index=True)
+    place = read("places", np.uint16)[at].astype(np.int64)
     h, cls = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
     edge = np.r_[True, h[1:] != h[:-1]]
     run = np.cumsum(edge) - 1
     many = np.bincount(run)[run] > 1
-    return keys, sizes, scores, h[many], cls[many]
+    return keys, sizes, scores, h[many], cls[many], place[many]
 
 
 def _bytes(keys: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -168,20 +171,20 @@ def _bytes(keys: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 #: Rows of three kinds: pairs (a, b), classes a of the block, and the block's packed columns.
-_BLOCK = "block int, a binary, b binary, na long, nb long, shared long, keys binary, sizes binary, scores binary, counts binary, hs binary"
+_BLOCK = "block int, a binary, b binary, na long, nb long, shared long, keys binary, sizes binary, scores binary, counts binary, hs binary, places binary"
 
 
 def _starrer(percent: int):
     def star(table: pa.Table) -> pa.Table:
-        keys, sizes, scores, h, cls = _columns(table)
-        schema = pa.schema([("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), *((c, pa.int64()) for c in ("na", "nb", "shared")), *((c, pa.binary()) for c in ("keys", "sizes", "scores", "counts", "hs"))])
+        keys, sizes, common, h, cls, place = _columns(table)
+        schema = pa.schema([("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), *((c, pa.int64()) for c in ("na", "nb", "shared")), *((c, pa.binary()) for c in ("keys", "sizes", "scores", "counts", "hs", "places"))])
         block = table.column("block")[0].as_py()
         if not len(h):
             return pa.Table.from_batches([], schema)
-        place = np.empty(len(keys), np.int64)
-        place[np.lexsort((np.arange(len(keys)), -scores))] = np.arange(len(keys))
-        order = np.lexsort((place[cls], h))
-        h, cls = h[order], cls[order]
+        turn = np.empty(len(keys), np.int64)
+        turn[np.lexsort((np.arange(len(keys)), -common / sizes))] = np.arange(len(keys))
+        order = np.lexsort((turn[cls], h))
+        h, cls, place = h[order], cls[order], place[order]
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         lengths = np.diff(np.r_[starts, len(h)])
         nth = np.arange(len(h)) - np.repeat(starts, lengths)
@@ -195,26 +198,41 @@ def _starrer(percent: int):
         used = np.unique(cls)
         nothing = lambda n, kind=pa.binary(): pa.nulls(n, kind)
         rows = [
-            pa.RecordBatch.from_arrays([pa.array([block] * len(pairs), pa.int32()), _bytes(keys, x), _bytes(keys, y), pa.array(sizes[x]), pa.array(sizes[y]), pa.array(counts.astype(np.int64)), *[nothing(len(pairs))] * 5], schema=schema),
-            pa.RecordBatch.from_arrays([pa.array([block] * len(used), pa.int32()), _bytes(keys, used), nothing(len(used)), *[nothing(len(used), pa.int64())] * 3, *[nothing(len(used))] * 5], schema=schema),
+            pa.RecordBatch.from_arrays([pa.array([block] * len(pairs), pa.int32()), _bytes(keys, x), _bytes(keys, y), pa.array(sizes[x]), pa.array(sizes[y]), pa.array(counts.astype(np.int64)), *[nothing(len(pairs))] * 6], schema=schema),
+            pa.RecordBatch.from_arrays([pa.array([block] * len(used), pa.int32()), _bytes(keys, used), nothing(len(used)), *[nothing(len(used), pa.int64())] * 3, *[nothing(len(used))] * 6], schema=schema),
         ]
         # what the second step needs: the classes of the kept entries, and the entries by class
         order = np.argsort(cls, kind="stable")
         who, counts = np.unique(cls[order], return_counts=True)
-        blob = [b"".join(k[:KEY] for k in keys[who].tolist()), sizes[who].astype(np.uint32).tobytes(), scores[who].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), h[order].astype(np.uint32).tobytes()]
+        blob = [b"".join(k[:KEY] for k in keys[who].tolist()), sizes[who].astype(np.uint32).tobytes(), common[who].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), h[order].astype(np.uint32).tobytes(), place[order].astype(np.uint16).tobytes()]
         rows.append(pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), nothing(1), nothing(1), *[nothing(1, pa.int64())] * 3, *(pa.array([x], pa.binary()) for x in blob)], schema=schema))
         return pa.Table.from_batches(rows, schema)
 
     return star
 
 
+def _need(na, nb, common_a, common_b, percent: int):
+    """The overlap that sets of these sizes must have, and the slack of their count."""
+    need = -(-percent * (na + nb) // (100 + percent))
+    slack = np.minimum(na, nb) // 20
+    return need, np.where(np.minimum(common_a, common_b) < need - slack, slack, 0)
+
+
 def _crosser(percent: int):
     def cross(table: pa.Table, labels: pa.Table) -> pa.Table:
-        """(a, b, na, nb, shared) for pairs of classes of different components, with their shared entries in this block."""
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("shared", pa.int64())])
+        """(a, b, least, shared) for pairs of classes of different components.
+
+        In the common order, what two sets share from one shared shingle on is at
+        most what is left of either set there.  So of a pair that reaches its
+        overlap ``need``, all shared shingles but at most need - slack - 1 stand
+        where at least need - slack is left: slack + 1 of them (``least``) do.
+        Only those are counted.  The slack is 0 for sets that consist of common
+        shingles, as their columns are long.
+        """
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("least", pa.int64()), ("shared", pa.int64())])
         if not table.num_rows:
             return pa.Table.from_batches([], schema)
-        keys, sizes, _, h, cls = _columns(table)
+        keys, sizes, common, h, cls, place = _columns(table)
         if not len(h):
             return pa.Table.from_batches([], schema)
         root = dict(zip(labels.column("key").to_pylist(), labels.column("root").to_pylist()))
@@ -235,14 +253,16 @@ def _crosser(percent: int):
 
         held = 0
         for a, b in zip(edge[mixed].tolist(), stops[mixed].tolist()):
-            run = cls[a:b]
-            run = run[np.argsort(sizes[run], kind="stable")]
-            n = sizes[run]
+            order = a + np.argsort(sizes[cls[a:b]], kind="stable")
+            run, n = cls[order], sizes[cls[order]]
+            left, of = n - place[order], comp[run]
             far = np.searchsorted(n, 100 * n // percent, side="right")  # partners beyond are too large
             for i in range(len(run) - 1):
-                other = run[i + 1 : far[i]]
-                other = other[comp[other] != comp[run[i]]]
-                if len(other):
+                j = slice(i + 1, far[i])
+                need, slack = _need(n[i], n[j], common[run[i]], common[run[j]], percent)
+                ok = (of[j] != of[i]) & (np.minimum(left[i], left[j]) >= need - slack)
+                if ok.any():
+                    other = run[j][ok]
                     found.append(np.minimum(other, run[i]) << 32 | np.maximum(other, run[i]))
                     held += len(other)
             if held > 1_000_000:
@@ -251,7 +271,8 @@ def _crosser(percent: int):
         settle()
         p = np.fromiter(counts, np.int64, len(counts))
         a, b = p >> 32, p & 0xFFFFFFFF
-        return pa.Table.from_arrays([_bytes(keys, a), _bytes(keys, b), pa.array(sizes[a]), pa.array(sizes[b]), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], schema=schema)
+        least = _need(sizes[a], sizes[b], common[a], common[b], percent)[1] + 1
+        return pa.Table.from_arrays([_bytes(keys, a), _bytes(keys, b), pa.array(least), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], schema=schema)
 
     return cross
 
@@ -306,7 +327,7 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> tuple[
     hot = spark.sparkContext.broadcast((h[order], rank[order]))
     entries = classes.agg(F.sum(prefix_size(F.col("n"), percent).cast("long"))).first()[0] or 0
     blocks = max(2 * spark.sparkContext.defaultParallelism, int(-(-entries // BLOCK)))
-    posted = rows.mapInArrow(_poster(hot, blocks, percent), "block int, keys binary, sizes binary, scores binary, counts binary, hs binary")
+    posted = rows.mapInArrow(_poster(hot, blocks, percent), "block int, keys binary, sizes binary, scores binary, counts binary, hs binary, places binary")
     starred = stored(posted.groupBy("block").applyInArrow(_starrer(percent), _BLOCK), "star")
     na, nb, n = F.col("na"), F.col("nb"), F.col("shared")
     after = F.greatest(na - prefix_size(na, percent).cast("long"), nb - prefix_size(nb, percent).cast("long"))
@@ -316,10 +337,10 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> tuple[
     links = _verify(near, rows, classes, percent)
     roots = components(links)
 
-    packed = starred.where("keys is not null").select("block", "keys", "sizes", "scores", "counts", "hs")
+    packed = starred.where("keys is not null").select("block", "keys", "sizes", "scores", "counts", "hs", "places")
     labels = starred.where("a is not null and b is null").select(F.col("block").alias("at"), F.col("a").alias("key")).join(roots.withColumnRenamed("node", "key"), "key").select("at", "key", "root")
-    crossed = packed.groupBy("block").cogroup(labels.groupBy("at")).applyInArrow(_crosser(percent), "a binary, b binary, na long, nb long, shared long")
-    crossed = total(crossed).where((100 + percent) * (n + after) >= percent * (na + nb)).select("a", "b")
+    crossed = packed.groupBy("block").cogroup(labels.groupBy("at")).applyInArrow(_crosser(percent), "a binary, b binary, least long, shared long")
+    crossed = crossed.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
     more = _verify(crossed, rows, classes, percent)
     return classes, links.unionByName(more)
 

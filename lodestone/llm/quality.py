@@ -30,6 +30,7 @@ BITS = 15  # of a symbol; code points above 16383 share the upper half
 SLOTS = 4_194_301  # a prime
 MIN_WORDS, MAX_REPEAT = 50, 50
 FENCE, LEAST_WIDTH = 6.0, 1.0
+BROADCAST_ROWS = 10_000  # languages
 _START, _END = 1, 2
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -200,7 +201,8 @@ def scored(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = stored(rows.mapInArrow(_scorer(model), f"{key} {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"), "quality")
     bands = rows.where("log_ppl is not null").groupBy(F.coalesce("lang", F.lit("")).alias("band")).agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
     wide = F.greatest(FENCE * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST_WIDTH / 2))
-    bands = bands.select("band", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
+    bands = stored(bands.select("band", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high")), "bands")
+    bands = F.broadcast(bands) if bands.count() <= BROADCAST_ROWS else bands
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
     return rows.withColumn("band", F.coalesce("lang", F.lit(""))).join(bands, "band", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & inside).drop("band")

@@ -31,7 +31,7 @@ from lodestone.llm.common import chunks, mix, shared_path, windows, words
 
 END_ID = 1
 WINDOW, LEAST, MASK, LARGEST = 16, 64, 0xFF, 2048
-MEMO, SEEN, FAN = 600_000, 300_000, 1024
+MEMO, SEEN, FAN = 250_000, 100_000, 1024
 _ENCODERS: dict = {}
 
 
