@@ -1,0 +1,254 @@
+"""The training-data operators against brute force, on a small table with nulls, ties, empty and repeated rows."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("lodestone.llm")
+from lodestone.llm import common, jaccard, licenses, lm, mixing, quality, queries, secrets, substrings, tiling, tokens, urls  # noqa: E402
+
+
+def make_rows():
+    r = random.Random(4)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(120)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    passage = say(70)
+    texts = [say(r.randint(0, 130)) for _ in range(40)]
+    texts += [texts[3], texts[3], texts[5].upper(), f"{say(20)} {passage} {say(15)}", f"{passage} {say(30)}", f"{say(9)}\n{passage}", "", "one two", None, " x\u0085y z", say(2000)]
+    for base in (texts[7], texts[9]):
+        words = base.split()
+        for _ in range(6):
+            w = list(words)
+            for _ in range(max(1, len(w) // 60)):
+                if w:
+                    w[r.randrange(len(w))] = r.choice(vocab)
+            texts.append(" ".join(w))
+    rows = [(i * 3 + 1, t, r.choice(["en", "fr", None]), r.choice(["b", "a", "c", None]), -1) for i, t in enumerate(texts)]
+    return [*rows, rows[4], rows[41]]
+
+
+ROWS = make_rows()
+SCHEMA = "doc_id long, text string, lang string, source string, n_words long"  # the last has a clashing name
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+def got(df, *cols):
+    return sorted(tuple(x) for x in df.select(*cols).collect())
+
+
+def test_windows_are_equal_exactly_for_equal_runs():
+    h = np.array([random.Random(i % 5).getrandbits(64) for i in range(200)], np.uint64)
+    for k in (1, 2, 3, 5, 25, 50):
+        w = common.windows(h, k, 12345)
+        assert len(w) == len(h) - k + 1
+        runs = [tuple(h[i : i + k]) for i in range(len(w))]
+        assert len(set(w.tolist())) == len(set(runs))
+
+
+def test_substrings(docs, none):
+    first = {}
+    for i, t, *_ in ROWS:
+        w = words(t)
+        for j in range(len(w) - 49):
+            first[tuple(w[j : j + 50])] = min(i, first.get(tuple(w[j : j + 50]), i))
+    want = []
+    for i, t, *_ in ROWS:
+        w = words(t)
+        cut = set()
+        for j in range(len(w) - 49):
+            if first[tuple(w[j : j + 50])] < i:
+                cut.update(range(j, j + 50))
+        want.append((i, len(w), len(cut), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in cut)).hexdigest()))
+    assert sum(x[2] for x in want) > 200
+    assert got(substrings.dedup_digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want)
+    assert substrings.dedup_digest(none).count() == 0
+
+
+def test_jaccard(docs, none):
+    sets = []
+    for _, t, *_ in ROWS:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(ROWS)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(ROWS)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    least = {}
+    for i in range(len(ROWS)):
+        least[find(i)] = min(least.get(find(i), 1 << 60), ROWS[i][0])
+    want = sorted((ROWS[i][0], len(sets[i]), least[find(i)]) for i in range(len(ROWS)))
+    assert len({c for *_, c in want}) < len({i for i, *_ in want}) - 8
+    assert got(jaccard.near_components(docs), "doc_id", "n_shingles", "component_id") == want
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(x[0] for x in kept.select("doc_id").collect()) == sorted({c for *_, c in want})
+    assert jaccard.near_components(none).count() == 0
+
+
+def test_quality(docs, none):
+    out = {x.doc_id: x for x in quality.scored(docs).collect()}
+    for i, t, *_ in ROWS:
+        w, x = words(t), out[i]
+        tri = collections.Counter(zip(w, w[1:], w[2:]))
+        cover = {k + d for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        lines = [s for s in (t or "").split("\n") if words(s)]
+        assert (x.n_words, x.word_chars, x.n_symbols) == (len(w), sum(len(y.decode()) for y in w), sum(c in "#*$%&|<>" for c in t or ""))
+        assert (x.n_repeat_words, x.n_dup_lines) == (len(cover), len(lines) - len(set(lines)))
+        assert x.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
+        assert x.kept <= (not x.base_failed)
+    assert quality.filter_quality(docs).columns == docs.columns
+    assert quality.scored(none).count() == 0
+
+
+def test_kneser_ney_sums_to_one(docs):
+    model = quality.train(docs)
+    p = [math.exp(quality.log_probs(model, "en", [c.encode()])[0]) for c in "abcdefgh"]
+    assert 0 < sum(p) < 1
+
+
+def test_tokens(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.TOKENIZER)
+    want, start = [], 0
+    encoded = [(i, np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t, *_ in ROWS]
+    for i, ids in sorted(encoded):
+        want.append((i, len(ids) // 4, zlib.crc32(ids)))
+    out = tokens.token_table(docs, queries.TOKENIZER)
+    rows = sorted(tuple(x) for x in out.select("start", "doc_id", "n_tokens", "ids_crc32").collect())
+    for s, _, n, _ in rows:
+        assert s == start
+        start += n
+    assert [x[1] for x in rows] == sorted(x[1] for x in rows)
+    assert sorted(x[1:] for x in rows) == sorted(want)
+    assert tokens.token_table(none, queries.TOKENIZER).count() == 0
+
+
+def test_token_reconstruction_and_crc(spark, docs):
+    path = common.shared_path(spark, "test")
+    tokens.write_store(docs.where("doc_id < 160").dropDuplicates(["doc_id"]), path, queries.TOKENIZER)
+    sums = {x.doc_id: x.ids_crc32 for x in tokens.read_store(spark, path).collect()}
+    for x in tokens.read_documents(spark, path).collect():
+        assert zlib.crc32(np.array(x.ids, "<u4").tobytes()) == sums[x.doc_id]
+    a, b = b"hello" * 40, b"world" * 77
+    assert int(tokens.shift_crc(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
+    assert spark.read.parquet(f"{path}/manifest").count() >= 1
+
+
+def test_mixing(docs, none):
+    out = mixing.mix_table(docs).collect()
+    assert len(out) == len(ROWS)
+    size = collections.Counter()
+    for x in out:
+        size[x.source] += x.size
+        assert 0 <= x.taken <= 2 * x.size
+    names = sorted(k for k in size if k is not None) + [None]
+    weight = {k: (3, 1, 2)[i % 3] for i, k in enumerate(names)}
+    target, open_ = {}, set(names)
+    while True:
+        level = (1.5 * sum(size.values()) - sum(target.values())) / sum(weight[k] for k in open_)
+        full = [k for k in open_ if 2 * size[k] <= weight[k] * level]
+        if not full:
+            break
+        for k in full:
+            target[k] = 2.0 * size[k]
+            open_.remove(k)
+    target |= {k: weight[k] * level for k in open_}
+    for x in out:
+        assert x.target == pytest.approx(target[x.source])
+    most = max(x.size for x in out)
+    for k in names:
+        assert abs(sum(x.taken for x in out if x.source == k) - target[k]) <= most
+    assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.mix_table(none).count() == 0
+
+
+def test_tiling_catches_reordered_passages(spark, docs, none):
+    bench = spark.createDataFrame([(7, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (8, "a b"), (9, None)], "item_id long, text string")
+    more = spark.createDataFrame([(900, "x y Iota, kappa lambda mu nu! q alpha BETA gamma delta epsilon zeta z"), (901, "alpha beta gamma delta only"), (902, None)], "doc_id long, text string")
+    assert [x.doc_id for x in tiling.contaminated(more, bench).collect()] == [900]
+    assert sorted(x.doc_id for x in tiling.clean(more, bench).collect()) == [901, 902]
+    assert tiling.contaminated(docs, bench).count() == 0 and tiling.contaminated(none, bench).count() == 0
+
+
+def test_lm(docs, none):
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tok = lambda t: [*(t or "").encode().lower().split(), b""]
+    c = collections.Counter(w for i, t, *_ in ROWS if not held(i) for w in tok(t))
+    n, v = sum(c.values()), len(c)
+    for x in lm.scored(docs).collect():
+        t = tok(next(t for i, t, *_ in ROWS if i == x.doc_id))
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held(x.doc_id), len(t), sum(c[w] > 0 for w in t), n)
+        assert x.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
+        assert x.score < 0
+    assert lm.scored(none).count() == 0
+
+
+def test_lm_is_normalised_and_learns():
+    q = np.full(lm.VOCAB, 1 / lm.VOCAB)
+    trainer = lm.Trainer(q, 1)
+    u = np.tile([2, 3, 4, 5], 2048)
+    v, w = np.roll(u, -1), np.roll(u, -2)
+    for _ in range(60):
+        trainer.step(u, v, w)
+    z = lm.normalisers(trainer.p)
+    every = np.arange(lm.VOCAB)
+    assert (10 ** lm.class_log_probs(trainer.p, z, np.full(lm.VOCAB, 2), np.full(lm.VOCAB, 3), every)).sum() == pytest.approx(1, abs=1e-3)
+    assert lm.class_log_probs(trainer.p, z, u[:4], v[:4], w[:4]).mean() > math.log10(4 / lm.VOCAB)
+
+
+def test_urls(spark):
+    rows = [(1, "http://A.Example.com/en/1?x"), (2, "https://www.example.com/en/2"), (3, "http://x.net/es/q#f"), (4, "http://notexample.com/en/"), (5, "http://a.com"), (6, None), (7, "no scheme"), (8, "http://net/fr/a"), (9, "http://x.net/ES/q"), (5, "http://a.com")]
+    out = {x.page_id: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (out[1].host, out[1].path, out[1].rule, out[1].verdict) == ("a.example.com", "/en/1", "example.com/en/", "block")
+    assert [out[i].rule for i in (2, 3, 4, 5, 6, 7, 8, 9)] == ["www.example.com/en/", "net/es/", "com/", None, None, None, "net/fr/", None]
+    assert (out[5].host, out[5].path, out[7].host) == ("a.com", "", "") and all(x.verdict in ("allow", "block") for x in out.values())
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_licenses(spark):
+    rows = [("/p/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"), ("/p/a/b/x.py", "print(1)"), ("/p/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("/q/z.py", None), (None, "")]
+    out = {x.path: (x.own, x.license, x.from_dir) for x in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert out["/p/a/b/x.py"] == (None, "MIT", "/p") and out["/p/y.py"][0] == "Apache-2.0" and out["/q/z.py"] == (None, None, None) and out[None][1] is None
+
+
+def test_secrets(spark):
+    forest = secrets.train(secrets.labelled_findings())
+    held = secrets.labelled_findings(1500, 77)
+    right = (forest.predict(np.array([secrets.features(*x[:4]) for x in held])) >= 0.5) == np.array([x[4] for x in held])
+    assert right.mean() > 0.95
+    rows = [("a.py", 'token = "d8ed425dbdaa383537b4fea24b37ed72645ac62d" commit d8ed425dbdaa383537b4fea24b37ed72645ac62e'), ("b", None), ("c", "")]
+    out = secrets.scan(spark.createDataFrame(rows, "path string, text string"), forest).orderBy("place").collect()
+    assert [x.is_secret for x in out] == [True, False]
+
+
+def test_pipeline_stages():
+    import corpus_pipeline
+
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
