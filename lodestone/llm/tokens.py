@@ -27,11 +27,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, mix, shared_path, windows, words
+from lodestone.llm.common import chunks, mix, shared_path, windows
 
 END_ID = 1
 WINDOW, LEAST, MASK, LARGEST = 16, 64, 0xFF, 2048
-MEMO, SEEN, FAN = 250_000, 100_000, 1024
+MEMO, SEEN, FAN = 400_000, 100_000, 1024
+_MARKS = b".,!?;:$%&*#|"
 _ENCODERS: dict = {}
 
 
@@ -50,20 +51,35 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        #: Whether letters are lowered and pieces are runs of letters, digits or marks, as the checks below show.
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.lowers = by_word and ids("Abc") == ids("abc") and ids("abc,.") == ids("abc") + ids(",.") and ids("a b") == ids("a") + ids("b")
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self) > MEMO:
             self.clear()
-        token_lists = [words(t) for t in texts]
-        new = list({w for t in token_lists for w in t if w not in self})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        token_lists = [self._words(t) for t in texts]
+        new = {w for t in token_lists for w in t if w not in self}
+        # a word that ends in marks is its letters' ids, then its marks': they are pieces of their own
+        ends = {w: (core, w[len(core) :]) for w in new if len(core := w.rstrip(_MARKS)) < len(w) and core and core.decode("utf-8", "replace")[-1].isalpha()} if self.lowers else {}
+        alone = [w for w in {x for w in new for x in ends.get(w, (w,))} if w not in self]
+        for i in range(0, len(alone), 20_000):
+            part = alone[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (core, marks) in ends.items():
+            self[w] = self[core] + self[marks]
         return [b"".join(map(self.__getitem__, t)) for t in token_lists]
 
+    def _words(self, text: str | None) -> list[bytes]:
+        """Words in lower case where the tokenizer lowers them anyway; not if a special token's brackets are about."""
+        if not text:
+            return []
+        raw = text.encode("utf-8", "surrogatepass")
+        return raw.lower().split() if self.lowers and b"<|" not in raw else raw.split()
+
 
 def encoder(path: str, by_word: bool) -> Encoder:
     if (path, by_word) not in _ENCODERS:
