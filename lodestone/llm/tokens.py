@@ -6,7 +6,7 @@ A chunk's address is the BLAKE2b digest of its ids.  The store is three Parquet
 tables under one folder:
 
 * ``placements``: (digest, doc_id, doc, seq, ids_left, n, payload), sorted by
-  digest within each file; the payload (zlib over little-endian ids, two bytes
+  digest within each file; the payload (zstd over little-endian ids, two bytes
   each where they fit) stands in one row of a digest only;
 * ``recipes``: (doc_id, start, n_tokens, leaf, chunks), files and rows in
   ascending doc_id order, nulls first; ``start`` counts all ids before it;
@@ -17,13 +17,18 @@ tables under one folder:
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +36,7 @@ from lodestone.llm.common import chunks, mix, shared_path, windows
 
 END_ID = 1
 WINDOW, LEAST, MASK, LARGEST = 16, 64, 0xFF, 2048
-MEMO, SEEN, FAN = 400_000, 100_000, 1024
+MEMO, SEEN, FAN = 800_000, 100_000, 1024
 _MARKS = b".,!?;:$%&*#|"
 _ENCODERS: dict = {}
 
@@ -47,6 +52,7 @@ class Encoder(dict):
     """
 
     def __init__(self, path: str, by_word: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only cost on short words
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -61,17 +67,26 @@ class Encoder(dict):
         if len(self) > MEMO:
             self.clear()
         token_lists = [self._words(t) for t in texts]
-        new = {w for t in token_lists for w in t if w not in self}
+        tokens = list(chain.from_iterable(token_lists))
+        got = list(map(self.get, tokens))
+        missing = [i for i, ids in enumerate(got) if ids is None]
+        self._learn({tokens[i] for i in missing})
+        for i in missing:
+            got[i] = self[tokens[i]]
+        ends = np.cumsum([0, *map(len, token_lists)]).tolist()
+        return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def _learn(self, new: set[bytes]) -> None:
         # a word that ends in marks is its letters' ids, then its marks': they are pieces of their own
         ends = {w: (core, w[len(core) :]) for w in new if len(core := w.rstrip(_MARKS)) < len(w) and core and core.decode("utf-8", "replace")[-1].isalpha()} if self.lowers else {}
         alone = [w for w in {x for w in new for x in ends.get(w, (w,))} if w not in self]
         for i in range(0, len(alone), 20_000):
             part = alone[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                ids = e.ids
+                self[w] = struct.pack(f"<{len(ids)}I", *ids)
         for w, (core, marks) in ends.items():
             self[w] = self[core] + self[marks]
-        return [b"".join(map(self.__getitem__, t)) for t in token_lists]
 
     def _words(self, text: str | None) -> list[bytes]:
         """Words in lower case where the tokenizer lowers them anyway; not if a special token's brackets are about."""
@@ -112,11 +127,11 @@ def cuts(ids: np.ndarray) -> list[int]:
 def pack(ids: bytes) -> bytes:
     a = np.frombuffer(ids, "<u4")
     small = not len(a) or int(a.max()) < 65536
-    return (b"\x02" if small else b"\x04") + zlib.compress(a.astype("<u2").tobytes() if small else ids, 1)
+    return (b"\x02" if small else b"\x04") + zstandard.compress(a.astype("<u2").tobytes() if small else ids, 1)
 
 
 def unpack(payload: bytes) -> bytes:
-    raw = zlib.decompress(payload[1:])
+    raw = zstandard.decompress(payload[1:])
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if payload[0] == 2 else raw
 
 
@@ -167,6 +182,7 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["digest", "read", "crc"])
 
 
+@cache
 def _zeros_matrices() -> np.ndarray:
     """matrices[i][b]: what bit b of a CRC-32 becomes after 2**i further zero bytes."""
     one = [0xEDB88320] + [1 << b for b in range(31)]  # one zero bit: bit 0 gives the polynomial
