@@ -39,6 +39,7 @@ WINDOW, LEAST, MASK, LARGEST = 16, 64, 0xFF, 2048
 MEMO, SEEN, FAN = 800_000, 100_000, 1024
 _MARKS = b".,!?;:$%&*#|"
 _ENCODERS: dict = {}
+_ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 class Encoder(dict):
@@ -59,7 +60,8 @@ class Encoder(dict):
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         #: Whether letters are lowered and pieces are runs of letters, digits or marks, as the checks below show.
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.lowers = by_word and ids("Abc") == ids("abc") and ids("abc,.") == ids("abc") + ids(",.") and ids("a b") == ids("a") + ids("b")
+        self.mark = (ids("|") or [-1])[0]
+        self.lowers = by_word and ids("a | b") == ids("a") + [self.mark] + ids("b") and ids("Abc") == ids("abc") and ids("abc,.") == ids("abc") + ids(",.") and ids("a b") == ids("a") + ids("b")
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
@@ -78,8 +80,12 @@ class Encoder(dict):
 
     def _learn(self, new: set[bytes]) -> None:
         # a word that ends in marks is its letters' ids, then its marks': they are pieces of their own
-        ends = {w: (core, w[len(core) :]) for w in new if len(core := w.rstrip(_MARKS)) < len(w) and core and core.decode("utf-8", "replace")[-1].isalpha()} if self.lowers else {}
+        ends = {w: (core, w[len(core) :]) for w in new if len(core := w.rstrip(_MARKS)) < len(w) and core and (core[-1:].isalpha() or core.decode("utf-8", "replace")[-1].isalpha())} if self.lowers else {}
         alone = [w for w in {x for w in new for x in ends.get(w, (w,))} if w not in self]
+        letters = [w for w in alone if w.isalpha() or w.decode("utf-8", "replace").isalpha()] if self.lowers else []
+        for i in range(0, len(letters), 2_000):
+            self._learn_letters(letters[i : i + 2_000])
+        alone = [w for w in alone if w not in self]
         for i in range(0, len(alone), 20_000):
             part = alone[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
@@ -88,6 +94,16 @@ class Encoder(dict):
         for w, (core, marks) in ends.items():
             self[w] = self[core] + self[marks]
 
+    def _learn_letters(self, part: list[bytes]) -> None:
+        """Words of letters only, encoded in one call with a mark between them; left out if the marks do not come back one each."""
+        text = b" | ".join(part).decode("utf-8", "replace")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) == len(part) - 1:
+            raw = ids.tobytes()
+            for w, a, b in zip(part, [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]):
+                self[w] = raw[a:b]
+
     def _words(self, text: str | None) -> list[bytes]:
         """Words in lower case where the tokenizer lowers them anyway; not if a special token's brackets are about."""
         if not text:
@@ -127,11 +143,11 @@ def cuts(ids: np.ndarray) -> list[int]:
 def pack(ids: bytes) -> bytes:
     a = np.frombuffer(ids, "<u4")
     small = not len(a) or int(a.max()) < 65536
-    return (b"\x02" if small else b"\x04") + zstandard.compress(a.astype("<u2").tobytes() if small else ids, 1)
+    return (b"\x02" if small else b"\x04") + _ZSTD.compress(a.astype("<u2").tobytes() if small else ids)
 
 
 def unpack(payload: bytes) -> bytes:
-    raw = zstandard.decompress(payload[1:])
+    raw = _UNZSTD.decompress(payload[1:])
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if payload[0] == 2 else raw
 
 
