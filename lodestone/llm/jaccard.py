@@ -212,9 +212,13 @@ def _starrer(percent: int):
 
 
 def _need(na, nb, common_a, common_b, percent: int):
-    """The overlap that sets of these sizes must have, and the slack of their count."""
+    """The overlap that sets of these sizes must have, and the slack of their count.
+
+    A prefix holds the places where at least ``percent`` of its set is left, so
+    the slack goes no further down than that of the larger set.
+    """
     need = -(-percent * (na + nb) // (100 + percent))
-    slack = np.minimum(na, nb) // 20
+    slack = np.minimum(np.minimum(na, nb) // 20, np.maximum(need + (-percent * np.maximum(na, nb) // 100), 0))
     return need, np.where(np.minimum(common_a, common_b) < need - slack, slack, 0)
 
 
@@ -226,7 +230,7 @@ def _crosser(percent: int):
         most what is left of either set there.  So of a pair that reaches its
         overlap ``need``, all shared shingles but at most need - slack - 1 stand
         where at least need - slack is left: slack + 1 of them (``least``) do.
-        Only those are counted.  The slack is 0 for sets that consist of common
+        Only those are counted; the prefixes hold all of them.  The slack is 0 for sets that consist of common
         shingles, as their columns are long.
         """
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("least", pa.int64()), ("shared", pa.int64())])

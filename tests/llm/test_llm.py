@@ -5,8 +5,10 @@ import hashlib
 import math
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lodestone.llm")
@@ -111,6 +113,18 @@ def test_jaccard(docs, none):
     assert jaccard.near_components(none).count() == 0
 
 
+@pytest.mark.parametrize(("a", "b", "shared"), [(1060, 1410, 1000), (200, 266, 189), (1000, 1010, 100)])
+def test_jaccard_counts_only_what_prefixes_hold(a, b, shared):
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        text = [f"s{seed}w{i}" for i in range(b + 4)]
+        batch = pa.RecordBatch.from_pydict({"text": [" ".join(text[: a + 4]), " ".join(text)]})
+        hot = np.sort(rng.choice(jaccard._sets(batch)[0], shared, replace=False))
+        posted = pa.Table.from_batches(jaccard._poster(SimpleNamespace(value=(hot, np.arange(shared, dtype=np.uint64))), 1, 75)([batch]))
+        out = jaccard._crosser(75)(posted, pa.table({"key": pa.array([], pa.binary()), "root": pa.array([], pa.binary())}))
+        assert [x["shared"] >= x["least"] for x in out.to_pylist()] == [True]
+
+
 def test_quality(docs, none):
     out = {x.doc_id: x for x in quality.scored(docs).collect()}
     for i, t, *_ in ROWS:
