@@ -1,18 +1,22 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation.
 
-The model predicts a word's class from the two words before it:
-score(w | u, v) = (C2[u] + C1[v]) . R[w] + b[w], over the ``VOCAB`` most frequent
-words, the end of a text, and one class for all other words.  Within that class
-a word has its smoothed relative frequency, so every text has a probability.
+The model predicts a word from the two words before it.  All head words (the
+most frequent ``HEAD``, or n ** ``GROWTH`` of n training tokens if that is more)
+and the end of a text have vectors, as contexts and as targets; only the words
+beyond share one context and the group OTHER, within which a word has its
+smoothed relative frequency.  The output is factored: head words are dealt by
+frequency to about as many groups as the square root of their number, and
+P(w | u, v) = P(group | u, v) P(w | group, u, v), both softmaxes of
+(C2[u] + C1[v]) . R[x] + b[x].  So every text has a probability.
 
 Training words are counted by Spark.  Each training task runs over all of its
-documents once, in numpy, against noise drawn from the class frequencies; the
-tasks' parameters are averaged by their tokens.  For scoring, the normaliser of
-every pair of context words is computed once by matrix products, so that token
-log probabilities are exact and cost a dot product.
+documents once, in numpy, against noise drawn from the groups' and the words'
+frequencies; a row of the parameters is averaged over the tasks by its uses.
+Token log probabilities are exact: groups and members are summed for each token,
+but for pairs of the most frequent contexts, whose sums over groups are kept.
 
-Counts of the most frequent words (at most ``HEAD``) go to the workers; those of
-all other words meet the documents in a join.
+Counts of the head words go to the workers; those of all other words meet the
+documents in a join.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import chunks, stored
 
 VOCAB, DIM, NOISE, BATCH, RATE = 512, 16, 48, 8192, 0.05
-HEAD = 120_000
+HEAD, GROWTH = 120_000, 0.6
+WORD_NOISE, TASK_SHARE, ROWS = 8, 40, 8192  # noise words of a target's group; tokens of a task for each word with a vector at least; parameter rows in a record
 FOLD, FOLDS = 2, 7
 END = b""  # no word is empty
 _FLUSH = 300_000
-OTHER, LAST = 0, 1  # classes: all other words, the end; START is a context only
-START = VOCAB
+OTHER = 0  # the group of all words beyond the head
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -73,145 +77,183 @@ def _head(counts: DataFrame, most: int) -> tuple[int, list]:
 
 
 class Tables:
-    """What a worker needs to know of the counts: classes and log frequencies of the head words."""
+    """What a worker needs to know of the counts: groups and log frequencies of the head words."""
 
     def __init__(self, head: list, n: int, v: int):
-        top = [w for w, _ in head if w != END][: VOCAB - 2]
-        classes = {END: LAST, **{w: i + 2 for i, w in enumerate(top)}}
         self.index = {w: i for i, (w, _) in enumerate(head)}
+        self.words, self.start = len(head), len(head) + 1  # contexts: the head words, all others, the start
         c = np.array([c for _, c in head], float)
-        self.cls = np.array([*(classes.get(w, OTHER) for w, _ in head), OTHER])  # the last is for words beyond the head
-        in_class = np.bincount(self.cls[:-1], weights=c, minlength=VOCAB)
-        in_class[OTHER] = n - in_class[1:].sum()
-        self.n_other, self.v_other = max(0, n - int(in_class[1:].sum())), v - len(classes) + (END not in self.index)
-        self.q = (in_class + 1) / (in_class.sum() + VOCAB)
+        root = np.cumsum(np.sqrt(c))
+        _, group = np.unique(np.floor(root / (root[-1] + 1) * math.ceil(math.sqrt(len(c)))) if len(c) else c, return_inverse=True)
+        self.group = np.r_[group + 1, OTHER].astype(np.int64)  # the last is for words beyond the head
+        self.edges = np.searchsorted(self.group[:-1], np.arange(self.group.max() + 2))  # the members of group g stand from edges[g] to edges[g + 1]
+        self.n_other, self.v_other = max(0, n - int(c.sum())), v - len(head)
+        in_group = np.bincount(self.group[:-1], weights=c, minlength=int(self.group.max()) + 1)
+        in_group[OTHER] = self.n_other
+        self.q = (in_group + 1) / (in_group.sum() + len(in_group))
+        self.cum = np.r_[0.0, np.cumsum(c)]
+        self.share = np.log(c / in_group[self.group[:-1]]).astype(np.float32)
         self.base = np.array([*np.log10((c + 1) / (n + v + 1)), 0.0])
-        self.within = np.array([*np.where(self.cls[:-1] == OTHER, np.log10((c + 1) / (self.n_other + self.v_other + 1)), 0.0), 0.0])
 
     def look(self, texts: list) -> tuple[list, np.ndarray, np.ndarray]:
         """The token lists, the tokens' head indices (the last for none), and their number in each text."""
         lists = [tokens(t) for t in texts]
-        none, get = len(self.cls) - 1, self.index.get
+        none, get = self.words, self.index.get
         flat = np.fromiter((get(w, none) for t in lists for w in t), np.int64, sum(map(len, lists)))
         return lists, flat, np.array([len(t) for t in lists])
 
 
-def _contexts(cls: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the word before the last and of the last word, at each token."""
-    one, two = np.r_[START, cls[:-1]], np.r_[START, START, cls[:-2]]
+def _contexts(at: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context rows of the word before the last and of the last word, at each token."""
+    one, two = np.r_[start, at[:-1]], np.r_[start, start, at[:-2]]
     first = np.cumsum(sizes) - sizes
-    one[first] = START
-    two[first] = START
-    two[(first + 1)[sizes > 1]] = START
-    return two[: len(cls)], one
+    one[first] = start
+    two[first] = start
+    two[(first + 1)[sizes > 1]] = start
+    return two[: len(at)], one[: len(at)]
 
 
-def initial(q: np.ndarray) -> dict[str, np.ndarray]:
+def initial(q: np.ndarray, t: Tables | None = None) -> dict[str, np.ndarray]:
+    """Parameters over the groups of frequencies q, and over the head words of t."""
     rng = np.random.default_rng(7)
-    return {"R": rng.normal(0, 0.1, (VOCAB, DIM)), "C1": rng.normal(0, 0.1, (VOCAB + 1, DIM)), "C2": rng.normal(0, 0.1, (VOCAB + 1, DIM)), "b": np.log(q)}
+    contexts = t.start + 1 if t else len(q) + 1
+    of = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
+    p = {"R": of(len(q)), "C1": of(contexts), "C2": of(contexts), "b": np.log(q).astype(np.float32)}
+    return p | ({"R2": of(t.words), "b2": t.share.copy()} if t else {})
 
 
 class Trainer:
-    """Noise-contrastive steps (with Adagrad) from the common start."""
+    """Noise-contrastive steps (with Adagrad for each row) from the common start."""
 
-    def __init__(self, q: np.ndarray, seed: int):
-        self.p, self.rng = initial(q), np.random.default_rng(seed)
-        self.sq = {k: np.full_like(v, 1e-2) for k, v in self.p.items()}
-        self.noise = np.log(NOISE * q)
+    def __init__(self, q: np.ndarray, seed: int, t: Tables | None = None):
+        self.p, self.t, self.rng = initial(q, t), t, np.random.default_rng(seed)
+        self.sq = {k: np.full(len(v), 1e-2, np.float32) for k, v in self.p.items()}
+        self.uses = {k: np.zeros(len(v), np.float32) for k, v in self.p.items()}
+        self.noise = np.log(NOISE * q).astype(np.float32)
         self.cum, self.seen = np.cumsum(q), 0
 
-    def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+    def _move(self, key: str, at: np.ndarray, grad: np.ndarray, uses: np.ndarray | None = None) -> None:
+        """Adds to the rows ``at`` the mean of their gradients; a row may come more than once."""
+        rows, of = np.unique(at, return_inverse=True)
+        grad = grad.reshape(len(at), -1)
+        n = np.bincount(of, weights=uses, minlength=len(rows))
+        g = np.stack([np.bincount(of, weights=grad[:, k], minlength=len(rows)) for k in range(grad.shape[1])], axis=1) / n[:, None]
+        self.sq[key][rows] += (g * g).mean(axis=1)
+        self.p[key][rows] += (RATE * g / np.sqrt(self.sq[key][rows])[:, None]).reshape(self.p[key][rows].shape)
+        self.uses[key][rows] += n
+
+    def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, x: np.ndarray | None = None) -> None:
+        """Contexts u, v; groups w; head words x."""
         p, n = self.p, len(w)
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), VOCAB - 1)
+        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
         ctx, target, other = p["C2"][u] + p["C1"][v], p["R"][w], p["R"][noise]
         up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", ctx, target) + p["b"][w] - self.noise[w], -30, 30)))  # 1 - P(true)
         down = 1 / (1 + np.exp(-np.clip(ctx @ other.T + p["b"][noise] - self.noise[noise], -30, 30)))
         d_ctx = up[:, None] * target - down @ other
-        scatter = lambda at, g, m: np.stack([np.bincount(at, weights=g[:, k], minlength=m) for k in range(DIM)], axis=1)
-        grad = {"C1": scatter(v, d_ctx, VOCAB + 1), "C2": scatter(u, d_ctx, VOCAB + 1), "R": scatter(w, up[:, None] * ctx, VOCAB), "b": np.bincount(w, weights=up, minlength=VOCAB)}
-        np.subtract.at(grad["R"], noise, down.T @ ctx)
-        np.subtract.at(grad["b"], noise, down.sum(axis=0))
-        for k, g in grad.items():
-            g /= n
-            self.sq[k] += g * g
-            p[k] += RATE * g / np.sqrt(self.sq[k])
+        moves = [("R", np.r_[w, noise], np.r_[up[:, None] * ctx, -(down.T @ ctx)], np.r_[np.ones(n), np.full(NOISE, n)]), ("b", np.r_[w, noise], np.r_[up, -down.sum(axis=0)], np.r_[np.ones(n), np.full(NOISE, n)])]
+        if x is not None and len(inner := np.flatnonzero(x < self.t.words)):
+            t, y, c = self.t, x[inner], ctx[inner]
+            low, high = t.cum[t.edges[w[inner]]], t.cum[t.edges[w[inner] + 1]]
+            drawn = np.searchsorted(t.cum, low[:, None] + self.rng.random((len(y), WORD_NOISE)) * (high - low)[:, None], side="right") - 1
+            drawn = np.clip(drawn, t.edges[w[inner]][:, None], t.edges[w[inner] + 1][:, None] - 1)
+            known, k = p["R2"][drawn], np.float32(math.log(WORD_NOISE))
+            up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", c, p["R2"][y]) + p["b2"][y] - t.share[y] - k, -30, 30)))
+            down = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", c, known) + p["b2"][drawn] - t.share[drawn] - k, -30, 30)))
+            d_ctx[inner] += up[:, None] * p["R2"][y] - np.einsum("ik,ikj->ij", down, known)
+            at = np.r_[y, drawn.ravel()]
+            moves += [("R2", at, np.r_[up[:, None] * c, -(down[:, :, None] * c[:, None, :]).reshape(-1, DIM)], None), ("b2", at, np.r_[up, -down.ravel()], None)]
+        for move in (("C1", v, d_ctx, None), ("C2", u, d_ctx, None), *moves):
+            self._move(*move)
         self.seen += n
 
 
-def _pack(p: dict[str, np.ndarray]) -> bytes:
-    return np.concatenate([p[k].ravel() for k in ("R", "C1", "C2", "b")]).astype(np.float32).tobytes()
-
-
-def _unpack(raw: bytes) -> dict[str, np.ndarray]:
-    a, out, at = np.frombuffer(raw, np.float32).astype(float), {}, 0
-    for k, shape in (("R", (VOCAB, DIM)), ("C1", (VOCAB + 1, DIM)), ("C2", (VOCAB + 1, DIM)), ("b", (VOCAB,))):
-        size = math.prod(shape)
-        out[k], at = a[at : at + size].reshape(shape), at + size
-    return out
-
-
-def train(docs: DataFrame, tables) -> dict[str, np.ndarray]:
-    """One pass of every task over its documents, then the mean of the tasks' parameters by tokens."""
+def train(docs: DataFrame, tables, n_tokens: int = 0) -> dict[str, np.ndarray]:
+    """One pass of every task over its documents, then the mean of each row by its uses in the tasks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tables.value
-        part = TaskContext.get().partitionId()
-        trainer, rest = Trainer(t.q, part), [np.empty(0, np.int64)] * 3
+        trainer, rest = Trainer(t.q, TaskContext.get().partitionId(), t), [np.empty(0, np.int64)] * 4
         for batch in chunks(batches):
             _, flat, sizes = t.look(batch.column("text").to_pylist())
-            cls = t.cls[flat]
-            both = [np.concatenate(x) for x in zip(rest, (*_contexts(cls, sizes), cls))]
-            whole = len(both[2]) - len(both[2]) % BATCH
+            all_ = [np.concatenate(x) for x in zip(rest, (*_contexts(flat, sizes, t.start), t.group[flat], flat))]
+            whole = len(flat) + len(rest[0])
+            whole -= whole % BATCH
             for i in range(0, whole, BATCH):
-                trainer.step(*(x[i : i + BATCH] for x in both))
-            rest = [x[whole:] for x in both]
-        if len(rest[2]):
+                trainer.step(*(x[i : i + BATCH] for x in all_))
+            rest = [x[whole:] for x in all_]
+        if len(rest[0]):
             trainer.step(*rest)
         if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.seen], pa.int64()), pa.array([_pack(trainer.p)], pa.binary())], ["part", "n", "p"])
+            for k, a in trainer.p.items():
+                for i in range(0, len(a), ROWS):
+                    n = trainer.uses[k][i : i + ROWS] + np.float32(1e-6)  # a row without uses keeps its start
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i], pa.int64()), pa.array([n.tobytes()], pa.binary()), pa.array([a[i : i + ROWS].tobytes()], pa.binary())], ["k", "at", "n", "p"])
 
     def mean(table: pa.Table) -> pa.Table:
-        n = np.array(table.column("n").to_pylist(), float)
-        total = sum(np.frombuffer(p, np.float32) * w for p, w in zip(table.column("p").to_pylist(), n)) / n.sum()
-        return pa.table({"part": pa.array([0], pa.int32()), "n": pa.array([int(n.sum())]), "p": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        total = uses = 0.0
+        for n, p in zip(table.column("n").to_pylist(), table.column("p").to_pylist()):
+            n = np.frombuffer(n, np.float32).astype(float)
+            total, uses = total + np.frombuffer(p, np.float32).reshape(len(n), -1) * n[:, None], uses + n
+        return pa.table({"k": table.column("k")[:1], "at": table.column("at")[:1], "n": pa.array([uses.astype(np.float32).tobytes()], pa.binary()), "p": pa.array([(total / uses[:, None]).astype(np.float32).tobytes()], pa.binary())})
+
+    ddl, t = "k string, at long, n binary, p binary", tables.value
+    # so few tasks that their parameters stay a part of the input; without a shuffle
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, n_tokens // (TASK_SHARE * (t.words + 1)))
+    done = stored(docs.select("text").coalesce(tasks).mapInArrow(run, ddl), "parameters")
+    out = initial(t.q, t)
+    for r in done.groupBy("k", "at").applyInArrow(mean, ddl).toArrow().to_pylist():  # as much as one model
+        a = np.frombuffer(r["p"], np.float32)
+        out[r["k"]].reshape(-1)[r["at"] * out[r["k"]][:1].size :][: len(a)] = a
+    return out
 
-    ddl = "part int, n long, p binary"
-    done = stored(docs.select("text").mapInArrow(run, ddl), "parameters")
-    groups = max(1, math.isqrt(done.count()))
-    rows = done.groupBy((F.col("part") % groups).alias("g")).applyInArrow(mean, ddl).collect()  # the square root of the tasks
-    if not rows:
-        return initial(tables.value.q)
-    total = sum(r["n"] for r in rows)
-    return _unpack((sum(np.frombuffer(bytes(r["p"]), np.float32) * r["n"] for r in rows) / total).astype(np.float32).tobytes())
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(axis=1)
+    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
 
 
 def normalisers(p: dict[str, np.ndarray]) -> np.ndarray:
-    """log of the sum over all classes, for each pair of context classes."""
-    out = np.empty((VOCAB + 1, VOCAB + 1), np.float32)
-    for u in range(VOCAB + 1):
-        s = (p["C2"][u] + p["C1"]) @ p["R"].T + p["b"]
-        top = s.max(axis=1)
-        out[u] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-    return out
+    """log of the sum over all groups, for each pair of the first VOCAB + 1 contexts."""
+    n = min(VOCAB + 1, len(p["C1"]))
+    return np.array([_log_sum((p["C2"][u] + p["C1"][:n]) @ p["R"].T + p["b"]) for u in range(n)], np.float32)
 
 
 def class_log_probs(p, z: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """log10 probability of each class w after the classes u, v."""
+    """log10 probability of each group w after the contexts u, v."""
     out = np.empty(len(w))
-    for i in range(0, len(w), 100_000):
-        s = slice(i, i + 100_000)
-        out[s] = np.einsum("ij,ij->i", p["C2"][u[s]] + p["C1"][v[s]], p["R"][w[s]]) + p["b"][w[s]] - z[u[s], v[s]]
+    for i in range(0, len(w), 10_000):
+        s = slice(i, i + 10_000)
+        ctx, norm = p["C2"][u[s]] + p["C1"][v[s]], np.empty(len(w[s]))
+        kept = (u[s] < len(z)) & (v[s] < len(z))
+        norm[kept] = z[u[s][kept], v[s][kept]]
+        if not kept.all():
+            norm[~kept] = _log_sum(ctx[~kept] @ p["R"].T + p["b"])
+        out[s] = np.einsum("ij,ij->i", ctx, p["R"][w[s]]) + p["b"][w[s]] - norm
+    return out / math.log(10)
+
+
+def word_log_probs(p, t: Tables, u: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """log10 probability of each head word x within its group after the contexts u, v; 0 for words beyond the head."""
+    out, groups = np.zeros(len(x)), t.group[x]
+    order = np.argsort(groups, kind="stable")
+    stops = np.searchsorted(groups[order], np.arange(len(t.edges)))
+    for g in np.unique(groups).tolist():
+        a, b = t.edges[g], t.edges[g + 1]
+        for i in range(stops[g], stops[g + 1], 10_000) if b - a > 1 else ():
+            at = order[i : min(i + 10_000, stops[g + 1])]
+            s = (p["C2"][u[at]] + p["C1"][v[at]]) @ p["R2"][a:b].T + p["b2"][a:b]
+            out[at] = s[np.arange(len(at)), x[at] - a] - _log_sum(s)
     return out / math.log(10)
 
 
 def _scorer(tables, model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, (p, z) = tables.value, model.value
-        none, row = len(t.cls) - 1, TaskContext.get().partitionId() << 36
+        none, row = t.words, TaskContext.get().partitionId() << 36
         for batch in chunks(batches):
             lists, flat, sizes = t.look(batch.column("text").to_pylist())
-            cls = t.cls[flat]
-            logp = class_log_probs(p, z, *_contexts(cls, sizes), cls) + t.within[flat]
+            near = _contexts(flat, sizes, t.start)
+            logp = class_log_probs(p, z, *near, t.group[flat]) + word_log_probs(p, t, *near, flat)
             first = np.cumsum(sizes) - sizes
             add = lambda x: np.add.reduceat(x, first) if len(first) else np.empty(0)  # noqa: B023, E731
             rare: list[list] = [[] for _ in lists]
@@ -242,10 +284,10 @@ def scored(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     learn = rows.where("not held_out")
     counts = stored(word_counts(learn), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least, head = _head(counts, HEAD)
+    least, head = _head(counts, max(HEAD, int(n**GROWTH)))
     tables = spark.sparkContext.broadcast(Tables(head, n, v))
-    p = train(learn, tables)
-    model = spark.sparkContext.broadcast(({k: x.astype(np.float32) for k, x in p.items()}, normalisers(p)))
+    p = train(learn, tables, n)
+    model = spark.sparkContext.broadcast((p, normalisers(p)))
     ddl = f"k {kind}, held_out boolean, row long, n_tokens long, known long, base double, logp double, tail array<struct<w: binary, f: long>>"
     part = stored(rows.mapInArrow(_scorer(tables, model), ddl), "scores")
     other = tables.value.n_other + tables.value.v_other + 1

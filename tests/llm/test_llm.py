@@ -237,6 +237,25 @@ def test_lm_is_normalised_and_learns():
     assert lm.class_log_probs(trainer.p, z, u[:4], v[:4], w[:4]).mean() > math.log10(4 / lm.VOCAB)
 
 
+def test_lm_learns_all_head_words():
+    r = random.Random(3)
+    head = sorted([(b"", 500), *((b"w%d" % i, 900 - i // 2) for i in range(1000))], key=lambda x: (-x[1], x[0]))
+    t = lm.Tables(head, sum(c for _, c in head), len(head) + 5)
+    near = [t.index[b"w%d" % i] for i in (700, 800)]  # beyond the first 510
+    after = [t.index[b"w%d" % i] for i in (750, 990)]
+    trainer = lm.Trainer(t.q, 1, t)
+    v = np.array([r.randrange(2) for _ in range(8192)])
+    for _ in range(80):
+        x = np.array(after)[v]
+        trainer.step(np.full(8192, t.start), np.array(near)[v], t.group[x], x)
+    z, every = lm.normalisers(trainer.p), np.arange(t.words + 1)
+    for i in range(2):
+        u, v = np.full(t.words + 1, t.start), np.full(t.words + 1, near[i])
+        p = 10 ** (lm.class_log_probs(trainer.p, z, u, v, t.group[every]) + lm.word_log_probs(trainer.p, t, u, v, every))
+        assert p.sum() == pytest.approx(1, abs=1e-3)
+        assert p[after[i]] > 3 * p[after[1 - i]] and p[after[i]] > 10 / t.words
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/1?x"), (2, "https://www.example.com/en/2"), (3, "http://x.net/es/q#f"), (4, "http://notexample.com/en/"), (5, "http://a.com"), (6, None), (7, "no scheme"), (8, "http://net/fr/a"), (9, "http://x.net/ES/q"), (5, "http://a.com")]
     out = {x.page_id: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
