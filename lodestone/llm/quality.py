@@ -211,7 +211,9 @@ def scored(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def filter_quality(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that pass; all of their columns, under their own names.
 
-    Rows that share a key pass only together (a key of null never passes).
+    Rows are judged by key, text and language, each of which may be null.
     """
-    bad = scored(docs, key).groupBy(key).agg(F.min("kept").alias("_kept")).where("_kept").select(F.col(key).alias("_key"))
-    return docs.join(bad, F.col(key) == F.col("_key"), "left_semi")
+    rows = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64("text").alias("r")).alias("_id"), "lang", "text")
+    good = scored(rows, "_id").where("kept").select(F.col("_id.k").alias("_k"), F.col("_id.r").alias("_r"), F.col("lang").alias("_l")).distinct()
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_rid") == F.col("_r")) & F.col("lang").eqNullSafe(F.col("_l"))
+    return docs.withColumn("_rid", F.xxhash64("text")).join(good, same, "left_semi").drop("_rid")

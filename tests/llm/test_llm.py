@@ -140,6 +140,13 @@ def test_quality(docs, none):
     assert quality.scored(none).count() == 0
 
 
+def test_quality_judges_rows_not_keys(docs):
+    want = sum(x.kept for x in quality.scored(docs).collect())
+    assert 0 < want < len(ROWS)
+    for key in ("null", "1"):
+        assert quality.filter_quality(docs.selectExpr(f"cast({key} as long) as doc_id", "text", "lang")).count() == want
+
+
 def test_kneser_ney_sums_to_one(docs):
     model = quality.train(docs)
     p = [math.exp(quality.log_probs(model, "en", [c.encode()])[0]) for c in "abcdefgh"]
