@@ -58,6 +58,15 @@ class WordHashes(dict):
 
 #: One memo for each Python worker.
 HASHES = WordHashes()
+#: All memos of this package's modules.
+MEMOS: list[dict] = [HASHES]
+
+
+def using(*memos: dict) -> None:
+    """Empties the other memos: a worker goes on to other operators' tasks, and needs one operator's memory only."""
+    for memo in MEMOS:
+        if not any(memo is m for m in memos):
+            memo.clear()
 
 
 def windows(h: np.ndarray, k: int, base: int) -> np.ndarray:

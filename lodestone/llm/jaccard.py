@@ -4,21 +4,26 @@ Documents with equal shingle sets are one class; the product is over classes.
 Two sets reach the threshold only if they share a shingle among the first
 n - ceil(t n) + 1 of each in one common order of all shingles.  The order puts
 shingles that many classes have last, so a common passage seldom stands in a
-prefix.  Columns (shingles) are dealt to blocks by hash; a block holds the prefix
-entries of all classes as packed arrays.
-
-1. In each block, the classes of a column are held against ``PIVOTS`` of them
-   only (stars): those with the largest share of common shingles, as an original
-   has among its edited copies.  Pairs whose sizes cannot reach the threshold,
-   or that share little, wait for step 2.  Exact overlaps of the others give
-   links, and links give components.
-2. In each block, overlap counts of all pairs of *different* components are
-   accumulated where what is left of both sets can still reach the threshold;
-   pairs whose total count is below the bound of their sizes go.  Exact
-   overlaps of the rest complete the links, so none between two components is
-   missing.
-
-Groups of near copies thus cost a few stars, not a square.
+prefix; it decides how much is compared, never what is found.
+
+1. Columns (shingles) are dealt to blocks by hash; a block holds the prefix
+   entries of all classes as packed arrays.  The classes of a column whose sizes
+   fit one another are put in the family of one of them, the pivot: the class
+   with the largest share of common shingles, as an original has among its
+   edited copies.  Classes that can be linked share a column, so a family.
+2. Families that hang together are one, as long as that has at most ``CELL``
+   classes and ``ENTRIES`` shingles.  The others are dealt by hash to parts of
+   that size, each with the pivot.
+3. Of each part the overlap counts of all pairs are accumulated over whole sets,
+   column by column (rare columns pair by pair, others as a matrix product),
+   and pairs below the bound of their sizes go.  A part returns its components
+   as stars, so never more rows than it has classes.
+4. Where a family has several parts, its classes are dealt anew by what they are
+   linked with already, and all pairs of these parts that are not parts of one
+   component are multiplied likewise.
+
+So every pair that reaches the threshold is counted in some part, and none is
+written but for a star.
 """
 
 from __future__ import annotations
@@ -28,19 +33,20 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CHUNK_WORDS, HASHES, chunks, components, mix, stored, windows, words
+from lodestone.llm.common import CHUNK_WORDS, HASHES, chunks, components, mix, stored, using, windows, words
 
 SHINGLE = 5
 PERCENT = 75
 _BASE = 0xC2B2AE3D27D4EB4F
 KEY = 10  # bytes of a class key
 FLUSH = 4 * CHUNK_WORDS  # shingles that a task gathers before it emits blocks
-BLOCK = 1_000_000  # prefix entries in a block
-PIVOTS = 8
-LOCAL_HOT, HOT, HOT_MAX = 4, 16, 200_000
+BLOCK = 1_000_000  # prefix entries in a block, on average
+CELL, ENTRIES = 2_000, 4_000_000  # classes and shingles of a part, on average
+DENSE = 12  # a column that more than one in so many classes of a part have goes into the matrix product
+LOCAL_HOT, HOT, HOT_LEAST = 4, 16, 200_000
 BROADCAST_ROWS = 200_000
 
 
@@ -74,21 +80,24 @@ def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, rid, n, key) of each document, and rows of shingles that several classes of a task have."""
     seen: set[bytes] = set()
     waiting: list[np.ndarray] = []
+    using(HASHES)
 
-    def hot() -> pa.RecordBatch:
+    def hot(kind: pa.DataType) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(waiting), return_counts=True)
         h, c = h[c >= LOCAL_HOT].astype(np.int64), c[c >= LOCAL_HOT].astype(np.int64)
         waiting.clear()
-        nulls = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        nulls = [pa.nulls(1, t) for t in (kind, pa.int64(), pa.int64(), pa.binary())]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (h, c)]
         return pa.RecordBatch.from_arrays([*nulls, *lists], ["doc", "rid", "n", "key", "h", "c"])
 
+    kind = pa.int64()
     for batch in chunks(batches):
+        kind = batch.schema.field("doc").type
         sets = _sets(batch)
         keys = [_key(s) for s in sets]
         for s, k in zip(sets, keys):
             if k not in seen:
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(k)
                 waiting.append(s)
@@ -96,42 +105,45 @@ def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = [pa.nulls(n, pa.list_(pa.int64()))] * 2
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *empty], ["doc", "rid", "n", "key", "h", "c"])
         if sum(map(len, waiting)) > FLUSH:
-            yield hot()
+            yield hot(kind)
     if waiting:
-        yield hot()
+        yield hot(kind)
+
+
+_POSTED = "block int, keys binary, sizes binary, scores binary, counts binary, hs binary"
 
 
 def _poster(hot, blocks: int, percent: int):
-    """Prefix entries by block: class keys, sizes, entries of each class, and 32 bits of each entry's hash."""
+    """Prefix entries by block: class keys, sizes, numbers of common shingles, entries of each class, and 32 bits of each entry's hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = hot.value  # sorted hashes and their ranks by frequency
         seen: set[bytes] = set()
         keys, sizes, scores, parts = [], [], [], []
+        using(HASHES)
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate(parts)
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             block = ((h >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            place = np.concatenate([np.minimum(np.arange(len(p)), 65_535) for p in parts])
-            h, owner, block, place = h[order], owner[order], block[order], place[order].astype(np.uint16)
+            h, owner, block = h[order], owner[order], block[order]
             edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             size, score = np.array(sizes, np.uint32), np.array(scores, np.uint32)
             table = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             for a, b in zip(edges, np.r_[edges[1:], len(h)]):
                 who, counts = np.unique(owner[a:b], return_counts=True)
-                for col, v in zip(out, (int(block[a]), table[who].tobytes(), size[who].tobytes(), score[who].tobytes(), counts.astype(np.uint32).tobytes(), h[a:b].astype(np.uint32).tobytes(), place[a:b].tobytes())):
+                for col, v in zip(out, (int(block[a]), table[who].tobytes(), size[who].tobytes(), score[who].tobytes(), counts.astype(np.uint32).tobytes(), h[a:b].astype(np.uint32).tobytes())):
                     col.append(v)
             keys.clear(), sizes.clear(), scores.clear(), parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["block", "keys", "sizes", "scores", "counts", "hs", "places"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["block", "keys", "sizes", "scores", "counts", "hs"])
 
         for batch in chunks(batches):
             for s in _sets(batch):
                 if not len(s) or (k := _key(s)) in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(k)
                 rank, common_ones = s >> np.uint64(1), 0
@@ -149,204 +161,207 @@ def _poster(hot, blocks: int, percent: int):
     return run
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: class keys (distinct, ascending), sizes, numbers of common shingles, and the entries (hash, class, place in the prefix), by hash, of columns with two classes or more."""
-    read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-    keys = np.concatenate([np.frombuffer(x, f"V{KEY}") for x in table.column("keys").to_pylist()])
-    keys, first, of = np.unique(np.array([bytes(k) + b"\1" for k in keys.tolist()]), return_index=True, return_inverse=True)  # numpy drops trailing zeros
-    sizes = read("sizes", np.uint32)[first].astype(np.int64)
-    scores = read("scores", np.uint32)[first].astype(np.int64)
-    cls = np.repeat(of, read("counts", np.uint32))
-    both, at = np.unique(read("hs", np.uint32).astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64), return_index=True)
-    place = read("places", np.uint16)[at].astype(np.int64)
-    h, cls = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    edge = np.r_[True, h[1:] != h[:-1]]
-    run = np.cumsum(edge) - 1
-    many = np.bincount(run)[run] > 1
-    return keys, sizes, scores, h[many], cls[many], place[many]
-
-
-def _bytes(keys: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.array([k[:KEY] for k in keys[at].tolist()], pa.binary())
-
+_MEMBERS = pa.schema([("pivot", pa.binary()), ("key", pa.binary()), ("n", pa.int64())])
 
-#: Rows of three kinds: pairs (a, b), classes a of the block, and the block's packed columns.
-_BLOCK = "block int, a binary, b binary, na long, nb long, shared long, keys binary, sizes binary, scores binary, counts binary, hs binary, places binary"
 
+def _familiar(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(pivot, key, n): the families of the block's classes.
 
-def _starrer(percent: int):
-    def star(table: pa.Table) -> pa.Table:
-        keys, sizes, common, h, cls, place = _columns(table)
-        schema = pa.schema([("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), *((c, pa.int64()) for c in ("na", "nb", "shared")), *((c, pa.binary()) for c in ("keys", "sizes", "scores", "counts", "hs", "places"))])
-        block = table.column("block")[0].as_py()
+        Different shingles with the same 32 bits make one column, which only
+        makes families larger.
+        """
+        read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+        keys, first, of = np.unique(np.array([bytes(k) + b"\1" for k in read("keys", f"V{KEY}").tolist()]), return_index=True, return_inverse=True)  # numpy drops trailing zeros
+        sizes, scores = read("sizes", np.uint32)[first].astype(np.int64), read("scores", np.uint32)[first].astype(np.int64)
+        cls = np.repeat(of, read("counts", np.uint32))
+        turn = np.empty(len(keys), np.int64)  # pivots first; the same in all blocks
+        turn[np.lexsort((np.arange(len(keys)), -scores / sizes))] = np.arange(len(keys))
+        h = read("hs", np.uint32)
+        order = np.lexsort((sizes[cls], h))
+        h, cls = h[order], cls[order]
+        n = sizes[cls]
+        fits = (h[1:] == h[:-1]) & (cls[1:] != cls[:-1]) & (100 * n[:-1] >= percent * n[1:])  # of next sizes; others are further apart
+        keep = np.r_[fits, False] | np.r_[False, fits]
+        h, cls = h[keep], cls[keep]
         if not len(h):
-            return pa.Table.from_batches([], schema)
-        turn = np.empty(len(keys), np.int64)
-        turn[np.lexsort((np.arange(len(keys)), -common / sizes))] = np.arange(len(keys))
-        order = np.lexsort((turn[cls], h))
-        h, cls, place = h[order], cls[order], place[order]
+            return _MEMBERS.empty_table()
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        lengths = np.diff(np.r_[starts, len(h)])
-        nth = np.arange(len(h)) - np.repeat(starts, lengths)
-        found = []
-        for k in range(PIVOTS):
-            pivot = np.repeat(cls[np.minimum(starts + k, len(h) - 1)], lengths)
-            fits = (nth > k) & (100 * np.minimum(sizes[pivot], sizes[cls]) >= percent * np.maximum(sizes[pivot], sizes[cls]))
-            found.append(np.minimum(pivot, cls)[fits] << 32 | np.maximum(pivot, cls)[fits])
-        pairs, counts = np.unique(np.concatenate(found), return_counts=True)
+        best = np.minimum.reduceat(turn[cls], starts)
+        by_turn = np.argsort(turn)
+        pivot = by_turn[np.repeat(best, np.diff(np.r_[starts, len(h)]))]
+        pairs = np.unique(pivot.astype(np.int64) << 32 | cls)
         x, y = pairs >> 32, pairs & 0xFFFFFFFF
-        used = np.unique(cls)
-        nothing = lambda n, kind=pa.binary(): pa.nulls(n, kind)
-        rows = [
-            pa.RecordBatch.from_arrays([pa.array([block] * len(pairs), pa.int32()), _bytes(keys, x), _bytes(keys, y), pa.array(sizes[x]), pa.array(sizes[y]), pa.array(counts.astype(np.int64)), *[nothing(len(pairs))] * 6], schema=schema),
-            pa.RecordBatch.from_arrays([pa.array([block] * len(used), pa.int32()), _bytes(keys, used), nothing(len(used)), *[nothing(len(used), pa.int64())] * 3, *[nothing(len(used))] * 6], schema=schema),
-        ]
-        # what the second step needs: the classes of the kept entries, and the entries by class
-        order = np.argsort(cls, kind="stable")
-        who, counts = np.unique(cls[order], return_counts=True)
-        blob = [b"".join(k[:KEY] for k in keys[who].tolist()), sizes[who].astype(np.uint32).tobytes(), common[who].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), h[order].astype(np.uint32).tobytes(), place[order].astype(np.uint16).tobytes()]
-        rows.append(pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), nothing(1), nothing(1), *[nothing(1, pa.int64())] * 3, *(pa.array([x], pa.binary()) for x in blob)], schema=schema))
-        return pa.Table.from_batches(rows, schema)
-
-    return star
-
-
-def _need(na, nb, common_a, common_b, percent: int):
-    """The overlap that sets of these sizes must have, and the slack of their count.
-
-    A prefix holds the places where at least ``percent`` of its set is left, so
-    the slack goes no further down than that of the larger set.
-    """
-    need = -(-percent * (na + nb) // (100 + percent))
-    slack = np.minimum(np.minimum(na, nb) // 20, np.maximum(need + (-percent * np.maximum(na, nb) // 100), 0))
-    return need, np.where(np.minimum(common_a, common_b) < need - slack, slack, 0)
-
+        name = lambda at: pa.array([k[:KEY] for k in keys[at].tolist()], pa.binary())
+        return pa.Table.from_arrays([name(x), name(y), pa.array(sizes[y])], schema=_MEMBERS)
 
-def _crosser(percent: int):
-    def cross(table: pa.Table, labels: pa.Table) -> pa.Table:
-        """(a, b, least, shared) for pairs of classes of different components.
+    return run
 
-        In the common order, what two sets share from one shared shingle on is at
-        most what is left of either set there.  So of a pair that reaches its
-        overlap ``need``, all shared shingles but at most need - slack - 1 stand
-        where at least need - slack is left: slack + 1 of them (``least``) do.
-        Only those are counted; the prefixes hold all of them.  The slack is 0 for sets that consist of common
-        shingles, as their columns are long.
-        """
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("least", pa.int64()), ("shared", pa.int64())])
-        if not table.num_rows:
-            return pa.Table.from_batches([], schema)
-        keys, sizes, common, h, cls, place = _columns(table)
-        if not len(h):
-            return pa.Table.from_batches([], schema)
-        root = dict(zip(labels.column("key").to_pylist(), labels.column("root").to_pylist()))
-        _, comp = np.unique(np.array([root.get(k[:KEY], k[:KEY]) + b"\1" for k in keys.tolist()]), return_inverse=True)
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        c = comp[cls]
-        mixed = np.minimum.reduceat(c, edge) != np.maximum.reduceat(c, edge)
-        stops = np.r_[edge[1:], len(h)]
-        found: list[np.ndarray] = []
-        counts: dict[int, int] = {}
-
-        def settle() -> None:
-            if found:
-                p, k = np.unique(np.concatenate(found), return_counts=True)
-                for x, y in zip(p.tolist(), k.tolist()):
-                    counts[x] = counts.get(x, 0) + y
-                found.clear()
-
-        held = 0
-        for a, b in zip(edge[mixed].tolist(), stops[mixed].tolist()):
-            order = a + np.argsort(sizes[cls[a:b]], kind="stable")
-            run, n = cls[order], sizes[cls[order]]
-            left, of = n - place[order], comp[run]
-            far = np.searchsorted(n, 100 * n // percent, side="right")  # partners beyond are too large
-            for i in range(len(run) - 1):
-                j = slice(i + 1, far[i])
-                need, slack = _need(n[i], n[j], common[run[i]], common[run[j]], percent)
-                ok = (of[j] != of[i]) & (np.minimum(left[i], left[j]) >= need - slack)
-                if ok.any():
-                    other = run[j][ok]
-                    found.append(np.minimum(other, run[i]) << 32 | np.maximum(other, run[i]))
-                    held += len(other)
-            if held > 1_000_000:
-                settle()
-                held = 0
-        settle()
-        p = np.fromiter(counts, np.int64, len(counts))
-        a, b = p >> 32, p & 0xFFFFFFFF
-        least = _need(sizes[a], sizes[b], common[a], common[b], percent)[1] + 1
-        return pa.Table.from_arrays([_bytes(keys, a), _bytes(keys, b), pa.array(least), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], schema=schema)
-
-    return cross
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The numbers of common elements of all pairs of sets (sorted arrays of distinct hashes); above the diagonal."""
+    k = len(sets)
+    h = np.concatenate(sets)
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    df = np.diff(np.r_[edge, len(h)])
+    out = np.zeros((k, k), np.float32)  # counts to 2 ** 24 are exact
+    dense = np.flatnonzero((df > 1) & (df * DENSE > k))
+    step = max(1, 4_000_000 // k)
+    for i in range(0, len(dense), step):
+        cols = dense[i : i + step]
+        d = df[cols]
+        at = np.repeat(edge[cols], d) + np.arange(int(d.sum())) - np.repeat(np.cumsum(d) - d, d)
+        x = np.zeros((k, len(cols)), np.float32)
+        x[owner[at], np.repeat(np.arange(len(cols)), d)] = 1
+        out += x @ x.T
+    rare = np.flatnonzero((df > 1) & (df * DENSE <= k))
+    for i in range(0, len(rare), 200_000):
+        cols = rare[i : i + 200_000]
+        for gap in range(1, int(df[cols].max(initial=1))):
+            cols = cols[df[cols] > gap]
+            d = df[cols] - gap
+            at = np.repeat(edge[cols], d) + np.arange(int(d.sum())) - np.repeat(np.cumsum(d) - d, d)
+            pairs, n = np.unique(owner[at] * k + owner[at + gap], return_counts=True)
+            out.ravel()[pairs] += n
+    return out
 
-def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.tobytes() for s in _sets(batch)], pa.binary())], ["key", "set"])
 
+def stars(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Pairs (first, other) of each component of the sets' links."""
+    if len(sets) < 2:
+        return [], []
+    k, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    counts, linked = overlaps(sets), np.zeros((len(sets), len(sets)), bool)
+    for i in range(k - 1):
+        both = counts[i, i + 1 :].astype(np.int64)
+        linked[i, i + 1 :] = 100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)
+    linked |= linked.T
+    left, a, b = np.ones(k, bool), [], []
+    for i in np.flatnonzero(linked.any(axis=0)).tolist():
+        if not left[i]:
+            continue
+        left[i], front = False, np.array([i])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(axis=0) & left)
+            left[front] = False
+            a += [i] * len(front)
+            b += front.tolist()
+    return a, b
+
+
+def _multiplier(percent: int):
+    """Links from the rows (part, key, set) of whole parts, sorted by part and key."""
 
-def _overlapper(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            a, b = stars(sets, percent)
+            out = pa.RecordBatch.from_arrays([pa.array([keys[i] for i in x], pa.binary()) for x in (a, b)], ["a", "b"])
+            keys.clear(), sets.clear()
+            return out
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part, key, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "set"))):
+                if part != now:
+                    if len(keys) > 1:
+                        yield done()
+                    now = part
+                    keys.clear(), sets.clear()
+                if not keys or keys[-1] != key:  # a pivot may be its part's member too
+                    keys.append(key), sets.append(np.frombuffer(raw, np.uint64))
+        if len(keys) > 1:
+            yield done()
 
     return run
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs of class keys (a, b) whose sets reach the threshold."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    one = stored(classes.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc", "rid")).alias("x")).select("key", "x.doc", "x.rid"), "wanted")
-    small = one.count() <= BROADCAST_ROWS
-    other = (F.broadcast(one) if small else one).withColumnsRenamed({"doc": "_d", "rid": "_r"})
-    texts = rows.join(other, (F.col("rid") == F.col("_r")) & F.col("doc").eqNullSafe(F.col("_d"))).select("key", "text")
-    sets = stored(texts.mapInArrow(_set_rows, "key binary, set binary"), "sets")
-    left = pairs.join(sets.withColumnsRenamed({"key": "a", "set": "sa"}), "a")
-    both = left.join(sets.withColumnsRenamed({"key": "b", "set": "sb"}), "b")
-    return stored(both.select("a", "b", "sa", "sb").mapInArrow(_overlapper(percent), "a binary, b binary").distinct(), "links")
+def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    using(HASHES)
+    for batch in chunks(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("parts"), pa.array([s.tobytes() for s in _sets(batch)], pa.binary())], ["key", "parts", "set"])
+
+
+def _multiply(members: DataFrame, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the parts of ``members`` (part, key)."""
+    # a class is in one part or a few; a pivot in as many as its family has, so its rows are dealt too
+    lists = stored(members.groupBy("key", F.pmod("part", F.lit(64)).alias("deal")).agg(F.collect_set("part").alias("parts")), "members")
+    one = classes.join(lists.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc", "rid")).alias("x"))
+    wanted = stored(lists.join(one, "key").select("key", "parts", F.col("x.doc").alias("_d"), F.col("x.rid").alias("_r")), "wanted")
+    other = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = rows.join(other, (F.col("rid") == F.col("_r")) & F.col("doc").eqNullSafe(F.col("_d"))).select("key", "parts", "text")
+    sets = texts.mapInArrow(_set_rows, "key binary, parts array<long>, set binary").select(F.explode("parts").alias("part"), "key", "set")
+    return stored(sets.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_multiplier(percent), "a binary, b binary"), "links")
+
+
+def _parts(count: Column, shingles: Column) -> Column:
+    """How many parts so many classes and shingles take."""
+    return F.greatest(F.ceil(count / CELL), F.ceil(shingles / ENTRIES), F.lit(1)).cast("long")
+
+
+def _first_round(families: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((part, key) of all families; (pivot, key, n) of those of several parts)."""
+    roots = components(families, "pivot", "key").withColumnRenamed("node", "key")
+    each = stored(families.join(roots, "key"), "families")
+    whole = each.select("root", "key", "n").distinct().groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    whole = whole.where((F.col("k") <= CELL) & (F.col("s") <= ENTRIES)).select("root", F.lit(True).alias("small"))
+    each = stored(each.join(whole, "root", "left"), "families")
+    large = each.where("small is null").select("pivot", "key", "n")
+    sizes = large.groupBy("pivot").agg(_parts(F.count("*"), F.sum("n")).alias("of"))
+    large = stored(large.join(sizes, "pivot"), "large")
+    near = each.where("small").select(F.xxhash64("root").alias("part"), "key")
+    far = large.select(F.xxhash64("pivot", F.pmod(F.xxhash64("key"), "of")).alias("part"), "key")
+    pivots = large.where("of > 1").select("pivot", "of").distinct().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    pivots = pivots.select(F.xxhash64("pivot", "i").alias("part"), F.col("pivot").alias("key"))
+    return near.unionByName(far).unionByName(pivots).distinct(), large.where("of > 1").drop("of")
+
+
+def _second_round(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(part, key) for each pair of parts of a family that may hold a link which is not known."""
+    each = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    trees = each.groupBy("pivot", "root").agg(_parts(F.count("*"), F.sum("n")).alias("of"), F.count("*").alias("k"), F.sum("n").alias("s"))
+    rest = trees.where("of = 1").groupBy("pivot").agg(_parts(F.sum("k"), F.sum("s")).alias("rest"))
+    each = each.join(trees.drop("k", "s"), ["pivot", "root"]).join(rest, "pivot", "left")
+    alone = F.col("of") > 1  # a component of several parts; the others share parts
+    tag = F.struct(F.when(alone, F.col("root")).alias("tree"), F.when(alone, F.pmod(F.xxhash64("key"), "of")).otherwise(F.pmod(F.xxhash64("root"), "rest")).alias("i"))
+    each = stored(each.select("pivot", "key", tag.alias("tag")), "dealt")
+    tags = each.select("pivot", "tag").distinct()
+    pairs = tags.join(tags.withColumnRenamed("tag", "to"), "pivot").where((F.col("tag") <= F.col("to")) & ~F.coalesce(F.col("tag.tree") == F.col("to.tree"), F.lit(False)))
+    cells = stored(pairs.select("pivot", "tag", "to", F.xxhash64("pivot", "tag", "to").alias("part")), "cells")
+    sides = cells.select("pivot", "tag", "part").unionByName(cells.select("pivot", F.col("to").alias("tag"), "part")).distinct()
+    return each.join(sides, ["pivot", "tag"]).select("part", "key")
 
 
 def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """((doc, rid, n, key) for every row of ``docs``; links (a, b) of class keys).
 
     The links connect exactly the classes that pairs with 100 * |A & B| >= percent * |A | B|
-    connect; a link within a component that is known already isn't looked for.
+    connect.  The key may have any type that can be ordered.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64("text").alias("rid"), "text")
-    scanned = stored(rows.mapInArrow(_classes, "doc long, rid long, n long, key binary, h array<long>, c array<long>"), "classes")
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64("text").alias("rid"), "text")
+    scanned = stored(rows.mapInArrow(_classes, f"doc {kind}, rid long, n long, key binary, h array<long>, c array<long>"), "classes")
     classes = scanned.where("key is not null").select("doc", "rid", "n", "key")
-    common = scanned.where("key is null").select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.h", "x.c").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT).orderBy(F.desc("c"), "h").limit(HOT_MAX).toArrow()
+    total, entries = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(prefix_size(F.col("n"), percent).cast("long")), F.lit(0))).first()
+    most = max(HOT_LEAST, int(total**0.5))  # what is left out is only ordered as rare
+    common = scanned.where("key is null").select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.h", "x.c").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT).orderBy(F.desc("c"), "h").limit(most).toArrow()
     h, c = common.column("h").to_numpy().astype(np.int64).view(np.uint64), common.column("c").to_numpy()
     order = np.argsort(h)
     rank = np.empty(len(h), np.uint64)
     rank[np.lexsort((h, c))] = np.arange(len(h), dtype=np.uint64)
     hot = spark.sparkContext.broadcast((h[order], rank[order]))
-    entries = classes.agg(F.sum(prefix_size(F.col("n"), percent).cast("long"))).first()[0] or 0
     blocks = max(2 * spark.sparkContext.defaultParallelism, int(-(-entries // BLOCK)))
-    posted = rows.mapInArrow(_poster(hot, blocks, percent), "block int, keys binary, sizes binary, scores binary, counts binary, hs binary, places binary")
-    starred = stored(posted.groupBy("block").applyInArrow(_starrer(percent), _BLOCK), "star")
-    na, nb, n = F.col("na"), F.col("nb"), F.col("shared")
-    after = F.greatest(na - prefix_size(na, percent).cast("long"), nb - prefix_size(nb, percent).cast("long"))
-    total = lambda df: df.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
-    # stars count only the columns in which one of the two is a pivot: a third of what all columns must have will do
-    near = total(starred.where("b is not null")).where((100 + percent) * (3 * n + after) >= percent * (na + nb)).select("a", "b")
-    links = _verify(near, rows, classes, percent)
-    roots = components(links)
-
-    packed = starred.where("keys is not null").select("block", "keys", "sizes", "scores", "counts", "hs", "places")
-    labels = starred.where("a is not null and b is null").select(F.col("block").alias("at"), F.col("a").alias("key")).join(roots.withColumnRenamed("node", "key"), "key").select("at", "key", "root")
-    crossed = packed.groupBy("block").cogroup(labels.groupBy("at")).applyInArrow(_crosser(percent), "a binary, b binary, least long, shared long")
-    crossed = crossed.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
-    more = _verify(crossed, rows, classes, percent)
-    return classes, links.unionByName(more)
+    posted = rows.mapInArrow(_poster(hot, blocks, percent), _POSTED)
+    families = stored(posted.groupBy("block").applyInArrow(_familiar(percent), "pivot binary, key binary, n long").distinct(), "families")
+    members, large = _first_round(families)
+    links = _multiply(members, rows, classes, percent)
+    if not large.isEmpty():
+        links = links.unionByName(_multiply(_second_round(large, components(links)), rows, classes, percent))
+    return classes, links
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:

@@ -113,16 +113,60 @@ def test_jaccard(docs, none):
     assert jaccard.near_components(none).count() == 0
 
 
-@pytest.mark.parametrize(("a", "b", "shared"), [(1060, 1410, 1000), (200, 266, 189), (1000, 1010, 100)])
-def test_jaccard_counts_only_what_prefixes_hold(a, b, shared):
-    for seed in range(20):
-        rng = np.random.default_rng(seed)
-        text = [f"s{seed}w{i}" for i in range(b + 4)]
-        batch = pa.RecordBatch.from_pydict({"text": [" ".join(text[: a + 4]), " ".join(text)]})
-        hot = np.sort(rng.choice(jaccard._sets(batch)[0], shared, replace=False))
-        posted = pa.Table.from_batches(jaccard._poster(SimpleNamespace(value=(hot, np.arange(shared, dtype=np.uint64))), 1, 75)([batch]))
-        out = jaccard._crosser(75)(posted, pa.table({"key": pa.array([], pa.binary()), "root": pa.array([], pa.binary())}))
-        assert [x["shared"] >= x["least"] for x in out.to_pylist()] == [True]
+def linked_components(rows):
+    """doc -> smallest doc reachable by links, by brute force."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    low = [d for d, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if (both := len(sets[a] & sets[b])) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    return {d: x for (d, _), x in zip(rows, low)}
+
+
+def edited(r, words, share):
+    return " ".join(f"e{r.getrandbits(40)}" if r.random() < share else w for w in words)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_families(spark, monkeypatch, small):
+    """Links between sets of common shingles; large families of near copies, some of them under the threshold."""
+    if small:  # families of many parts
+        monkeypatch.setattr(jaccard, "CELL", 7)
+    rows, r = [], random.Random(8)
+    for f in range(2):
+        word = lambda n, tag: [f"f{f}{tag}{i}" for i in range(n)]  # noqa: B023, E731
+        p, d = word(754, "p"), word(2000, "d")
+        texts = [word(250, "a") + p, p, *(p[:44] + d + word(3, f"x{i}y") for i in range(8)), *(d + word(100, f"z{i}y") for i in range(10)), *(p[40:] + word(3000, f"q{i}y") for i in range(16))]
+        base = word(300, "base")
+        texts += [edited(r, base, r.choice([0.01, 0.03, 0.05, 0.06, 0.08])).split() for _ in range(60)]
+        rows += [(1000 * f + i, " ".join(t)) for i, t in enumerate(texts)]
+    out = {x.doc_id: x.component_id for x in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert out[1] == 0 and out[1001] == 1000
+    assert out == linked_components(rows)
+
+
+def test_jaccard_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64) ** 2) for _ in range(90)]
+    got_counts = jaccard.overlaps(sets)
+    for i in range(90):
+        for j in range(i + 1, 90):
+            assert got_counts[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_jaccard_string_keys_and_nulls(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", text), ("a", text.upper()), ("c", text + " tail"), (None, text), ("d", "only"), ("e", None)]
+    out = {x.name: x.component_id for x in jaccard.near_components(spark.createDataFrame(rows, "name string, text string"), "name").collect()}
+    assert out == {"a": "a", "b": "a", "c": "a", None: "a", "d": "d", "e": "e"}
 
 
 def test_quality(docs, none):
