@@ -1,16 +1,18 @@
 """N-gram Jaccard join: a blocked sparse product of the document by shingle incidence with itself.
 
 Documents with equal shingle sets are one class; the product is over classes.
-Two sets reach the threshold only if they share a shingle among the first
-n - ceil(t n) + 1 of each in one common order of all shingles.  The order puts
-shingles that many classes have last, so a common passage seldom stands in a
-prefix; it decides how much is compared, never what is found.
+Two sets that reach the threshold share at least r of the first n - ceil(t n) + r
+shingles of each in one common order of all shingles, r being ``RESERVE`` percent
+of the smaller.  The order puts shingles that many classes have last, so a common
+passage seldom stands in a prefix; it decides how much is compared, never what
+is found.
 
 1. Columns (shingles) are dealt to blocks by hash; a block holds the prefix
    entries of all classes as packed arrays.  The classes of a column whose sizes
    fit one another are put in the family of one of them, the pivot: the class
    with the largest share of common shingles, as an original has among its
-   edited copies.  Classes that can be linked share a column, so a family.
+   edited copies.  Classes that can be linked share a column, so a family; a
+   class with fewer columns of this kind than its size demands has no link.
 2. Families that hang together are one, as long as that has at most ``CELL``
    classes and ``ENTRIES`` shingles.  The others are dealt by hash to parts of
    that size, each with the pivot.
@@ -45,6 +47,7 @@ KEY = 10  # bytes of a class key
 FLUSH = 4 * CHUNK_WORDS  # shingles that a task gathers before it emits blocks
 BLOCK = 1_000_000  # prefix entries in a block, on average
 CELL, ENTRIES = 2_000, 4_000_000  # classes and shingles of a part, on average
+RESERVE = 8  # percent of a set that its prefix holds beyond the least
 DENSE = 12  # a column that more than one in so many classes of a part have goes into the matrix product
 LOCAL_HOT, HOT, HOT_LEAST = 4, 16, 200_000
 BROADCAST_ROWS = 200_000
@@ -70,10 +73,14 @@ def _key(shingles: np.ndarray) -> bytes:
     return blake2b(shingles.tobytes(), digest_size=KEY).digest()
 
 
-def prefix_size(n, percent: int = PERCENT):
-    """How many of n shingles, in the common order, a partner must share one of."""
-    rest = (100 - percent) * n
-    return (rest - rest % 100) / 100 + 1
+def prefix_size(n: int, percent: int = PERCENT) -> int:
+    """How many of n shingles, in the common order, stand in the prefix."""
+    return (100 - percent) * n // 100 + max(1, RESERVE * n // 100)
+
+
+def least_shared(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many entries the prefixes of a set of n and of a partner, perhaps a smaller one, share at least."""
+    return np.maximum(1, RESERVE * -(-percent * n // 100) // 100)
 
 
 def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +159,7 @@ def _poster(hot, blocks: int, percent: int):
                     is_common = common[0][at] == s
                     rank, common_ones = np.where(is_common, np.uint64(1 << 63) + common[1][at], rank), int(is_common.sum())
                 keys.append(k), sizes.append(len(s)), scores.append(common_ones)
-                parts.append(s[np.argsort(rank, kind="stable")[: int(prefix_size(len(s), percent))]])
+                parts.append(s[np.argsort(rank, kind="stable")[: prefix_size(len(s), percent)]])
             if sum(map(len, parts)) > FLUSH // 3:
                 yield flush()
         if parts:
@@ -161,39 +168,40 @@ def _poster(hot, blocks: int, percent: int):
     return run
 
 
-_MEMBERS = pa.schema([("pivot", pa.binary()), ("key", pa.binary()), ("n", pa.int64())])
+_MEMBERS = pa.schema([("pivot", pa.binary()), ("key", pa.binary()), ("n", pa.int64()), ("least", pa.int64()), ("shared", pa.int64())])
 
 
 def _familiar(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """(pivot, key, n): the families of the block's classes.
+        """(pivot, key, n, least, shared): the families of the block's classes, and in how many entries.
 
         Different shingles with the same 32 bits make one column, which only
-        makes families larger.
+        makes families and counts larger.
         """
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
         keys, first, of = np.unique(np.array([bytes(k) + b"\1" for k in read("keys", f"V{KEY}").tolist()]), return_index=True, return_inverse=True)  # numpy drops trailing zeros
         sizes, scores = read("sizes", np.uint32)[first].astype(np.int64), read("scores", np.uint32)[first].astype(np.int64)
         cls = np.repeat(of, read("counts", np.uint32))
+        # several tasks may have posted a class; a shingle's rows of one class are one entry
+        entry, many = np.unique(read("hs", np.uint32).astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64), return_counts=True)
+        h, cls = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
         turn = np.empty(len(keys), np.int64)  # pivots first; the same in all blocks
         turn[np.lexsort((np.arange(len(keys)), -scores / sizes))] = np.arange(len(keys))
-        h = read("hs", np.uint32)
         order = np.lexsort((sizes[cls], h))
-        h, cls = h[order], cls[order]
+        h, cls, many = h[order], cls[order], many[order]
         n = sizes[cls]
-        fits = (h[1:] == h[:-1]) & (cls[1:] != cls[:-1]) & (100 * n[:-1] >= percent * n[1:])  # of next sizes; others are further apart
+        fits = (h[1:] == h[:-1]) & (100 * n[:-1] >= percent * n[1:])  # of next sizes; others are further apart
         keep = np.r_[fits, False] | np.r_[False, fits]
-        h, cls = h[keep], cls[keep]
+        h, cls, many = h[keep], cls[keep], many[keep]
         if not len(h):
             return _MEMBERS.empty_table()
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         best = np.minimum.reduceat(turn[cls], starts)
-        by_turn = np.argsort(turn)
-        pivot = by_turn[np.repeat(best, np.diff(np.r_[starts, len(h)]))]
-        pairs = np.unique(pivot.astype(np.int64) << 32 | cls)
+        pivot = np.argsort(turn)[np.repeat(best, np.diff(np.r_[starts, len(h)]))]
+        pairs, at = np.unique(pivot.astype(np.int64) << 32 | cls, return_inverse=True)
         x, y = pairs >> 32, pairs & 0xFFFFFFFF
         name = lambda at: pa.array([k[:KEY] for k in keys[at].tolist()], pa.binary())
-        return pa.Table.from_arrays([name(x), name(y), pa.array(sizes[y])], schema=_MEMBERS)
+        return pa.Table.from_arrays([name(x), name(y), pa.array(sizes[y]), pa.array(least_shared(sizes[y], percent)), pa.array(np.bincount(at, weights=many).astype(np.int64))], schema=_MEMBERS)
 
     return run
 
@@ -307,9 +315,9 @@ def _first_round(families: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(families, "pivot", "key").withColumnRenamed("node", "key")
     each = stored(families.join(roots, "key"), "families")
     whole = each.select("root", "key", "n").distinct().groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
-    whole = whole.where((F.col("k") <= CELL) & (F.col("s") <= ENTRIES)).select("root", F.lit(True).alias("small"))
-    each = stored(each.join(whole, "root", "left"), "families")
-    large = each.where("small is null").select("pivot", "key", "n")
+    whole = whole.select("root", ((F.col("k") <= CELL) & (F.col("s") <= ENTRIES)).alias("small"), "k").where("k > 1").drop("k")
+    each = stored(each.join(whole, "root"), "families")
+    large = each.where("not small").select("pivot", "key", "n")
     sizes = large.groupBy("pivot").agg(_parts(F.count("*"), F.sum("n")).alias("of"))
     large = stored(large.join(sizes, "pivot"), "large")
     near = each.where("small").select(F.xxhash64("root").alias("part"), "key")
@@ -346,7 +354,7 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> tuple[
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64("text").alias("rid"), "text")
     scanned = stored(rows.mapInArrow(_classes, f"doc {kind}, rid long, n long, key binary, h array<long>, c array<long>"), "classes")
     classes = scanned.where("key is not null").select("doc", "rid", "n", "key")
-    total, entries = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(prefix_size(F.col("n"), percent).cast("long")), F.lit(0))).first()
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     most = max(HOT_LEAST, int(total**0.5))  # what is left out is only ordered as rare
     common = scanned.where("key is null").select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.h", "x.c").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT).orderBy(F.desc("c"), "h").limit(most).toArrow()
     h, c = common.column("h").to_numpy().astype(np.int64).view(np.uint64), common.column("c").to_numpy()
@@ -354,9 +362,12 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> tuple[
     rank = np.empty(len(h), np.uint64)
     rank[np.lexsort((h, c))] = np.arange(len(h), dtype=np.uint64)
     hot = spark.sparkContext.broadcast((h[order], rank[order]))
-    blocks = max(2 * spark.sparkContext.defaultParallelism, int(-(-entries // BLOCK)))
+    blocks = max(2 * spark.sparkContext.defaultParallelism, -(-total * (100 - percent + RESERVE) // 100 // BLOCK))
     posted = rows.mapInArrow(_poster(hot, blocks, percent), _POSTED)
-    families = stored(posted.groupBy("block").applyInArrow(_familiar(percent), "pivot binary, key binary, n long").distinct(), "families")
+    families = posted.groupBy("block").applyInArrow(_familiar(percent), "pivot binary, key binary, n long, least long, shared long")
+    families = stored(families.groupBy("pivot", "key", "n", "least").agg(F.sum("shared").alias("shared")), "families")
+    enough = families.groupBy("key", "least").agg(F.sum("shared").alias("all")).where("all >= least").select("key")
+    families = stored(families.join(enough, "key", "left_semi").select("pivot", "key", "n"), "families")
     members, large = _first_round(families)
     links = _multiply(members, rows, classes, percent)
     if not large.isEmpty():
