@@ -12,7 +12,9 @@ is found.
    fit one another are put in the family of one of them, the pivot: the class
    with the largest share of common shingles, as an original has among its
    edited copies.  Classes that can be linked share a column, so a family; a
-   class with fewer columns of this kind than its size demands has no link.
+   class with fewer columns of this kind than its size demands has no link.  Since
+   linked classes share r columns, each may leave the families in which it has
+   fewest columns, up to half of r in all: chance passages go.
 2. Families that hang together are one, as long as that has at most ``CELL``
    classes and ``ENTRIES`` shingles.  The others are dealt by hash to parts of
    that size, each with the pivot.
@@ -35,7 +37,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import CHUNK_WORDS, HASHES, chunks, components, mix, stored, using, windows, words
@@ -47,7 +49,8 @@ KEY = 10  # bytes of a class key
 FLUSH = 4 * CHUNK_WORDS  # shingles that a task gathers before it emits blocks
 BLOCK = 1_000_000  # prefix entries in a block, on average
 CELL, ENTRIES = 2_000, 4_000_000  # classes and shingles of a part, on average
-RESERVE = 8  # percent of a set that its prefix holds beyond the least
+PEELS = 2
+RESERVE = 12  # percent of a set that its prefix holds beyond the least
 DENSE = 12  # a column that more than one in so many classes of a part have goes into the matrix product
 LOCAL_HOT, HOT, HOT_LEAST = 4, 16, 200_000
 BROADCAST_ROWS = 200_000
@@ -310,6 +313,17 @@ def _parts(count: Column, shingles: Column) -> Column:
     return F.greatest(F.ceil(count / CELL), F.ceil(shingles / ENTRIES), F.lit(1)).cast("long")
 
 
+def _trimmed(families: DataFrame) -> DataFrame:
+    """(pivot, key, n) without classes that have too few shared entries, and without each class's weakest families."""
+    for _ in range(PEELS):
+        enough = families.groupBy("key", "least").agg(F.sum("shared").alias("all")).where("all >= least").select("key")
+        families = families.join(enough, "key", "left_semi")
+        families = stored(families.join(families.groupBy("pivot").count().where("count > 1").select("pivot"), "pivot", "left_semi"), "families")
+    upto = F.sum("shared").over(Window.partitionBy("key").orderBy("shared", "pivot").rowsBetween(Window.unboundedPreceding, 0))
+    families = families.withColumn("upto", upto).where(2 * F.col("upto") > F.col("least") - 1)
+    return stored(families.join(families.groupBy("pivot").count().where("count > 1").select("pivot"), "pivot", "left_semi").select("pivot", "key", "n"), "families")
+
+
 def _first_round(families: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((part, key) of all families; (pivot, key, n) of those of several parts)."""
     roots = components(families, "pivot", "key").withColumnRenamed("node", "key")
@@ -366,8 +380,7 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> tuple[
     posted = rows.mapInArrow(_poster(hot, blocks, percent), _POSTED)
     families = posted.groupBy("block").applyInArrow(_familiar(percent), "pivot binary, key binary, n long, least long, shared long")
     families = stored(families.groupBy("pivot", "key", "n", "least").agg(F.sum("shared").alias("shared")), "families")
-    enough = families.groupBy("key", "least").agg(F.sum("shared").alias("all")).where("all >= least").select("key")
-    families = stored(families.join(enough, "key", "left_semi").select("pivot", "key", "n"), "families")
+    families = _trimmed(families)
     members, large = _first_round(families)
     links = _multiply(members, rows, classes, percent)
     if not large.isEmpty():
