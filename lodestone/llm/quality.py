@@ -2,46 +2,46 @@
 
 The model is an interpolated modified Kneser-Ney model of order 4 over the
 characters of words (with start and end marks), one for each language.  Spark
-counts the n-grams of all documents; discounts, continuation counts and back-off
-weights are DataFrame aggregates.  The finished weights go to the workers as
-sorted hash arrays: an n-gram's slot is its packed value modulo a prime, so an
-array never has more than ``SLOTS`` entries, however large the corpus is.
+counts the n-grams of all documents that pass the counting rules; discounts,
+continuation counts and back-off weights are DataFrame aggregates, and so is the
+log probability of every n-gram that occurs in any document.  These go to the
+workers as sorted arrays of 64-bit hashes of whole n-grams, one pair of arrays
+for each language; where they are more than ``BROADCAST_GRAMS``, documents meet
+them in a join instead.
 
 A document is rejected when its log perplexity lies more than ``FENCE`` times the
-interquartile range of its language (over all documents with a word), or half
-of ``LEAST_WIDTH`` where that range is small, outside the quartiles.
+interquartile range of its language (over all documents that pass the counting
+rules), or ``LEAST_WIDTH`` where that is more, outside the quartiles.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import HASHES, MEMO_WORDS, chunks, stored, windows, words
+from lodestone.llm.common import HASHES, MEMO_WORDS, chunks, mix, stored, using, windows, words
 
 ORDER = 4
-BITS = 15  # of a symbol; code points above 16383 share the upper half
-SLOTS = 4_194_301  # a prime
+BITS = 21  # of a symbol: any code point, and the two marks beyond them
 MIN_WORDS, MAX_REPEAT = 50, 50
-FENCE, LEAST_WIDTH = 6.0, 1.0
+FENCE, LEAST_WIDTH = 4.0, 0.05
 BROADCAST_ROWS = 10_000  # languages
-_START, _END = 1, 2
+BROADCAST_GRAMS = 5_000_000
+_START, _END = 0x110000, 0x110001
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
-_TASK_WORDS = 300_000  # distinct words that a counting task holds before it emits their n-grams
+_TASK_WORDS = 200_000  # distinct words that a counting task holds before it emits their n-grams
 
 
-def _symbols(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of order 4 of all words, one for each character and one for the end; and the word each belongs to."""
+def _symbols(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First symbols, and the packed other three, of the 4-grams of all words: one for each character and one for the end; and the word each belongs to."""
     text = b"".join(tokens).decode("utf-8", "surrogatepass")
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    cps = np.where(cps < 1 << (BITS - 1), cps, (1 << (BITS - 1)) + cps % (1 << (BITS - 1)))
     sizes = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in tokens), np.int64, len(tokens))
     pad = ORDER - 1
     total = sizes + pad + 1
@@ -50,92 +50,118 @@ def _symbols(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(tokens)), sizes)
     seq[np.arange(len(cps)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner] + pad] = cps
     seq[first + total - 1] = _END
-    packed = np.zeros(len(seq) - pad, np.int64)
-    for k in range(ORDER):
-        packed = (packed << BITS) | seq[k : len(seq) - pad + k]
+    packed = seq[1:-2] << 2 * BITS | seq[2:-1] << BITS | seq[3:]
     of = np.repeat(np.arange(len(tokens)), total)[pad:]
     whole = np.arange(pad, len(seq)) - first[of] >= pad
-    return packed[whole], of[whole]
+    return seq[:-pad][whole], packed[whole], of[whole]
+
+
+def _hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(y.astype(np.uint64) ^ mix(x.astype(np.uint64)))
+
+
+def failed(n_words, n_repeat_words):
+    """Whether the counting rules reject; of numbers, arrays or columns alike."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT * n_words)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(lang, seen):
-        packed, of = _symbols(list(seen))
-        weights = np.fromiter(seen.values(), np.int64, len(seen))[of]
-        grams, at = np.unique(packed, return_inverse=True)
-        sums = np.bincount(at, weights=weights, minlength=len(grams)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(sums)], ["lang", "g", "c"])
-
-    counts: dict = defaultdict(Counter)
+    """(lang, x, y, c): the n-grams, and how often they occur in documents that pass the counting rules."""
+    using(HASHES)
+    good: dict = defaultdict(Counter)
+    bad: dict = defaultdict(set)
+
+    def flush(lang: str) -> pa.RecordBatch:
+        seen = good.pop(lang, Counter())
+        other = [w for w in bad.pop(lang, ()) if w not in seen]
+        x, y, of = _symbols([*seen, *other])
+        weights = np.array([*seen.values(), *[0] * len(other)], np.int64)[of]
+        order = np.lexsort((x, y))
+        x, y, weights = x[order], y[order], weights[order]
+        edge = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(edge), pa.string()), pa.array(x[edge]), pa.array(y[edge]), pa.array(np.add.reduceat(weights, edge))], ["lang", "x", "y", "c"])
+
     for batch in chunks(batches):
-        by_lang = defaultdict(list)
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            by_lang[lang or ""].append(text)
-        for lang, texts in by_lang.items():
-            for text in texts:
-                counts[lang].update(words(text))
-        if sum(map(len, counts.values())) > _TASK_WORDS:
-            for lang in [x for x in counts if counts[x]]:
-                yield flush(lang, counts.pop(lang))
-    for lang in [x for x in counts if counts[x]]:
-        yield flush(lang, counts.pop(lang))
-
-
-def _slot(packed, lang, order: int):
-    return F.pmod(F.col(packed).bitwiseXOR(F.shiftleft(F.crc32(F.col(lang)), 28)) + F.lit(order * 1_000_003), F.lit(SLOTS))
-
-
-def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted (slot, weight) arrays: for each order from 4 down to 1 the discounted shares, then the back-off weights."""
-    grams = stored(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(_count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")), "grams")
-    level, parts = grams, []
+        token_lists, counts = rules(batch.column("text").to_pylist())
+        fails = failed(counts["n_words"], counts["n_repeat_words"]).tolist()
+        for lang, tokens, fail in zip(batch.column("lang").to_pylist(), token_lists, fails):
+            if tokens:
+                (bad if fail else good)[lang or ""].update(tokens)
+        if sum(map(len, good.values())) + sum(map(len, bad.values())) > _TASK_WORDS:
+            for lang in {*good, *bad}:
+                yield flush(lang)
+    for lang in {*good, *bad}:
+        yield flush(lang)
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(lang, x, y, c) of all 4-grams of all documents; c counts those that pass the rules and may be 0."""
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    return rows.mapInArrow(_count, "lang string, x long, y long, c long").groupBy("lang", "x", "y").agg(F.sum("c").alias("c"))
+
+
+def _last(order: int) -> Column:
+    """The packed last symbols of an n-gram of ``order`` symbols (of three for order 4)."""
+    return F.col("y").bitwiseAND(F.lit((1 << BITS * min(order, 3)) - 1))
+
+
+def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lang, x, y, p): the probability of the last symbol after the three before it, for each of ``wanted`` (lang, x, y).
+
+    counts: (lang, x, y, c) of the training text.  The order below 1 is uniform
+    over the symbols that stand last in any wanted n-gram of the language.
+    """
+    level = counts.where("c > 0")
+    table: dict[int, tuple[DataFrame, DataFrame]] = {}
     for order in range(ORDER, 0, -1):
-        if order < ORDER:  # continuation counts: how many symbols stand before the shorter n-gram
-            level = level.groupBy("lang", F.col("g").bitwiseAND(F.lit((1 << (BITS * order)) - 1)).alias("g")).agg(F.count("*").alias("c"))
-        n = level.groupBy("lang").agg(*[F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        cut = lambda k: F.when(F.col("n1") * F.col("n2") * F.col(f"n{k}") > 0, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(0.5 * k))
+        if order == ORDER - 1:  # continuation counts: how many symbols stand before the shorter n-gram
+            level = level.groupBy("lang", "y").agg(F.count("*").alias("c")).select("lang", F.lit(0).cast("long").alias("x"), "y", "c")
+        elif order < ORDER:
+            level = level.groupBy("lang", _last(order).alias("y")).agg(F.count("*").alias("c")).select("lang", F.lit(0).cast("long").alias("x"), "y", "c")
+        level = stored(level, "grams")
+        n = stored(level.groupBy("lang").agg(*[F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]), "discounts")
+        share = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        cut = lambda k: F.when(F.col("n1") * F.col("n2") * F.col(f"n{k}") > 0, F.least(F.greatest(k - (k + 1) * share * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(0.5 * k))  # noqa: B023, E731
+        few = n.count() <= BROADCAST_ROWS
         n = n.select("lang", *[cut(k).alias(f"d{k}") for k in (1, 2, 3)])
-        rows = level.withColumn("ctx", F.shiftright("g", BITS)).join(F.broadcast(n), "lang")  # a row for each language
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        ctx = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("s"), F.sum(d).alias("cut"))
-        share = rows.join(ctx, ["lang", "ctx"]).select(_slot("g", "lang", order).alias("slot"), ((F.col("c") - d) / F.col("s")).alias("w"))
-        back = ctx.select(_slot("ctx", "lang", order).alias("slot"), (F.col("cut") / F.col("s")).alias("w"))
-        for kind, df in enumerate((share, back)):
-            parts.append(df.groupBy("slot").agg(F.max("w").alias("w")).select(F.lit(2 * (ORDER - order) + kind).alias("kind"), F.col("slot").cast("int"), F.col("w").cast("float")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    got = out.toArrow()  # at most 8 * SLOTS rows
-    kind, slot, w = (got.column(i).to_numpy() for i in range(3))
-    arrays = []
-    for k in range(2 * ORDER):
-        order = np.argsort(slot[kind == k])
-        arrays.append((slot[kind == k][order], w[kind == k][order]))
-    return arrays
-
-
-def _find(arrays: tuple[np.ndarray, np.ndarray], slots: np.ndarray, missing: float) -> np.ndarray:
-    keys, weights = arrays
-    if not len(keys):
-        return np.full(len(slots), missing)
-    at = np.minimum(np.searchsorted(keys, slots), len(keys) - 1)
-    return np.where(keys[at] == slots, weights[at], missing)
-
-
-def log_probs(model, lang: str, tokens: list[bytes]) -> np.ndarray:
-    """Natural log probability of each word, its end included."""
-    if not tokens:
-        return np.empty(0)
-    packed, of = _symbols(tokens)
-    tag = zlib.crc32(lang.encode()) << 28
-    p = np.full(len(packed), 1.0 / (1 << BITS))
+        rows = level.join(F.broadcast(n) if few else n, "lang").withColumn("ctx", F.shiftright("y", BITS))
+        rows = rows.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        ctx = stored(rows.groupBy("lang", "x", "ctx").agg(F.sum("c").alias("s"), F.sum("d").alias("cut")), "contexts")
+        table[order] = (rows.select("lang", "x", "y", (F.col("c") - F.col("d")).alias("left")), ctx)
+    last = wanted.select("lang", _last(1).alias("y")).distinct()
+    sizes = last.groupBy("lang").agg((1.0 / F.count("*")).alias("p"))
+    p = last.join(sizes, "lang").select("lang", F.lit(0).cast("long").alias("x"), "y", "p")
     for order in range(1, ORDER + 1):
-        i = 2 * (ORDER - order)
-        gram = packed & ((1 << (BITS * order)) - 1)
-        slots = lambda x: ((x ^ tag) + order * 1_000_003) % SLOTS  # noqa: B023, E731
-        p = _find(model[i], slots(gram), 0.0) + _find(model[i + 1], slots(gram >> BITS), 1.0) * p
-    return np.bincount(of, weights=np.log(np.maximum(p, 1e-12)), minlength=len(tokens))
+        if order > 1:  # what the shorter n-gram has is the start
+            x = F.col("x") if order == ORDER else F.lit(0).cast("long")
+            longer = wanted.select("lang", x.alias("x"), _last(order).alias("y")).distinct() if order < ORDER else wanted.select("lang", "x", "y")
+            p = longer.withColumn("z", _last(order - 1)).join(p.select("lang", F.col("y").alias("z"), "p"), ["lang", "z"]).drop("z")
+        left, ctx = table[order]
+        p = p.withColumn("ctx", F.shiftright("y", BITS)).join(left, ["lang", "x", "y"], "left").join(ctx, ["lang", "x", "ctx"], "left")
+        own = F.when(F.col("s") > 0, (F.coalesce("left", F.lit(0.0)) + F.col("cut") * F.col("p")) / F.col("s")).otherwise(F.col("p"))
+        p = stored(p.select("lang", "x", "y", own.alias("p")), "probabilities")
+    return p
+
+
+class Model(dict):
+    """language -> (sorted hashes of n-grams, their log probabilities)."""
+
+    def __init__(self, table: pa.Table):
+        super().__init__()
+        lang = np.array(table.column("lang").to_pylist(), object)
+        h, p = _hash(*(table.column(c).to_numpy() for c in ("x", "y"))), np.log(table.column("p").to_numpy())
+        for name in set(lang):
+            mine = lang == name
+            order = np.argsort(h[mine])
+            self[name] = h[mine][order], p[mine][order]
+
+    def log_probs(self, lang: str, tokens: list[bytes]) -> np.ndarray:
+        """Natural log probability of each word, its end included; all of them occur in the documents that were counted."""
+        if not tokens:
+            return np.empty(0)
+        x, y, of = _symbols(tokens)
+        keys, logp = self[lang]
+        return np.bincount(of, weights=logp[np.searchsorted(keys, _hash(x, y))], minlength=len(tokens))
 
 
 def rules(texts: list[str | None]) -> tuple[list[list[bytes]], dict[str, np.ndarray]]:
@@ -165,28 +191,53 @@ def rules(texts: list[str | None]) -> tuple[list[list[bytes]], dict[str, np.ndar
     return token_lists, {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dups, "n_repeat_words": repeats}
 
 
+_COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+
+
 def _scorer(model):
+    """The other columns, the five counts, and the log probability of the whole text; without a model, the text's n-grams instead."""
+
+    def grams(tokens: list[bytes]) -> list[dict]:
+        x, y, _ = _symbols(tokens)
+        n = Counter(zip(x.tolist(), y.tolist()))
+        return [{"x": a, "y": b, "f": f} for (a, b), f in n.items()]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, memo = model.value, defaultdict(dict)
+        using(HASHES)
+        memo: dict = defaultdict(dict)
         for batch in chunks(batches):
             langs = [x or "" for x in batch.column("lang").to_pylist()]
             token_lists, counts = rules(batch.column("text").to_pylist())
-            for lang in set(langs):
-                known = memo[lang]
-                if len(known) > MEMO_WORDS:
-                    known.clear()
-                new = list({w for x, t in zip(langs, token_lists) if x == lang for w in t if w not in known})
-                for i in range(0, len(new), 50_000):
-                    part = new[i : i + 50_000]
-                    known.update(zip(part, log_probs(arrays, lang, part).tolist()))
-            logp = np.array([sum(map(memo[x].__getitem__, t)) for x, t in zip(langs, token_lists)], float)
-            symbols = counts["word_chars"] + counts["n_words"]
-            ppl = pa.array(-logp / np.maximum(symbols, 1), mask=counts["n_words"] == 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), *map(pa.array, counts.values()), ppl], [*(c for c in batch.schema.names if c != "text"), *counts, "log_ppl"])
+            if model:
+                if sum(map(len, memo.values())) > MEMO_WORDS:
+                    memo.clear()
+                for lang in set(langs):
+                    known = memo[lang]
+                    new = list({w for x, t in zip(langs, token_lists) if x == lang for w in t if w not in known})
+                    for i in range(0, len(new), 50_000):
+                        part = new[i : i + 50_000]
+                        known.update(zip(part, model.value.log_probs(lang, part).tolist()))
+                last = pa.array([sum(map(memo[x].__getitem__, t)) for x, t in zip(langs, token_lists)], pa.float64())
+            else:
+                last = pa.array([grams(t) if t else [] for t in token_lists], pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64()), ("f", pa.int64())])))
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, counts.values()), last], [*kept, *counts, "last"])
 
     return run
 
 
+def _log_probs(rows: DataFrame, p: DataFrame, kinds: str) -> DataFrame:
+    """rows (key, lang, text) with the five counts and ``log_p`` in place of the text."""
+    spark = rows.sparkSession
+    if p.count() <= BROADCAST_GRAMS:
+        model = spark.sparkContext.broadcast(Model(p.toArrow()))
+        return rows.mapInArrow(_scorer(model), f"{kinds}, {_COUNTS}, last double").withColumnRenamed("last", "log_p")
+    part = stored(rows.mapInArrow(_scorer(None), f"{kinds}, {_COUNTS}, last array<struct<x: long, y: long, f: long>>").withColumn("_row", F.expr("uuid()")), "grams")
+    each = part.select("_row", F.coalesce("lang", F.lit("")).alias("lang"), F.explode("last").alias("g")).select("_row", "lang", "g.*")
+    sums = each.join(p, ["lang", "x", "y"]).groupBy("_row").agg(F.sum(F.col("f") * F.log("p")).alias("log_p"))
+    return part.drop("last").join(sums, "_row", "left").drop("_row").withColumn("log_p", F.coalesce("log_p", F.lit(0.0)))
+
+
 def scored(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, lang, the five counts, log_ppl, base_failed, kept) for every row of ``docs`` (key, text, lang; more columns are ignored).
 
@@ -194,18 +245,18 @@ def scored(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     language is the language "".  An empty table gives an empty one.  Repeated
     rows stay and are judged alike.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs))
-    rows = docs.select(key, "lang", "text")
-    kind = rows.schema[key].dataType.simpleString()
-    rows = stored(rows.mapInArrow(_scorer(model), f"{key} {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"), "quality")
-    bands = rows.where("log_ppl is not null").groupBy(F.coalesce("lang", F.lit("")).alias("band")).agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
-    wide = F.greatest(FENCE * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST_WIDTH / 2))
+    rows = docs.select(F.col(key).alias("_key"), "lang", "text")
+    counts = stored(count_grams(rows), "counts")
+    p = probabilities(counts, counts.select("lang", "x", "y"))
+    rows = _log_probs(rows, p, f"_key {docs.schema[key].dataType.simpleString()}, lang string")
+    rows = stored(rows.withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("log_p") / (F.col("word_chars") + F.col("n_words")))).drop("log_p"), "quality")
+    rows = rows.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"))).withColumn("band", F.coalesce("lang", F.lit("")))
+    bands = rows.where("not base_failed").groupBy("band").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
+    wide = F.greatest(FENCE * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST_WIDTH))
     bands = stored(bands.select("band", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high")), "bands")
     bands = F.broadcast(bands) if bands.count() <= BROADCAST_ROWS else bands
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
-    return rows.withColumn("band", F.coalesce("lang", F.lit(""))).join(bands, "band", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & inside).drop("band")
+    return rows.join(bands, "band", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("band").withColumnRenamed("_key", key)
 
 
 def filter_quality(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -191,10 +191,39 @@ def test_quality_judges_rows_not_keys(docs):
         assert quality.filter_quality(docs.selectExpr(f"cast({key} as long) as doc_id", "text", "lang")).count() == want
 
 
-def test_kneser_ney_sums_to_one(docs):
-    model = quality.train(docs)
-    p = [math.exp(quality.log_probs(model, "en", [c.encode()])[0]) for c in "abcdefgh"]
-    assert 0 < sum(p) < 1
+def test_kneser_ney_sums_to_one(spark, docs):
+    counts = quality.count_grams(docs.withColumn("lang", quality.F.lit("en")).where("length(text) > 300"))
+    seen = counts.collect()
+    symbols = {g.y & 0x1FFFFF for g in seen}
+    before = {(g.x, g.y >> 21) for g in seen[:300]} | {(0x110000, 5 << 21 | 6)}
+    wanted = spark.createDataFrame([("en", x, y << 21 | s) for x, y in before for s in symbols], "lang string, x long, y long")
+    sums = collections.Counter()
+    for g in quality.probabilities(counts, wanted).collect():
+        assert g.p > 0
+        sums[g.x, g.y >> 21] += g.p
+    assert len(sums) > 50 and all(x == pytest.approx(1) for x in sums.values())
+
+
+def test_quality_by_join_equals_by_arrays(spark, docs, monkeypatch):
+    far = docs.withColumn("text", quality.F.when(quality.F.col("doc_id") % 9 == 1, quality.F.concat("text", quality.F.lit(" \u4e00\u8e00\U0001f600 \u4e01\x01\x02"))).otherwise(quality.F.col("text")))
+    a = quality.scored(far).collect()
+    monkeypatch.setattr(quality, "BROADCAST_GRAMS", 0)
+    b = quality.scored(far).collect()
+    key = lambda x: (x.doc_id, x.lang or "", x.n_words, x.log_ppl or 0.0)
+    for x, y in zip(sorted(a, key=key), sorted(b, key=key)):
+        assert (x.doc_id, x.n_words, x.kept) == (y.doc_id, y.n_words, y.kept) and (x.log_ppl or 0) == pytest.approx(y.log_ppl or 0)
+
+
+def test_quality_rejects_other_text(spark):
+    """Prose of one kind stays; noise and a repeated rare alphabet go by their perplexity alone."""
+    r = random.Random(1)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ou", "ea", "es", "st", "en", "at"]
+    prose = lambda n: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(n))
+    noise = lambda n: " ".join("".join(r.choice("qzxjkvw0123456789#@") for _ in range(7)) for _ in range(n))
+    rows = [(i, prose(r.randint(60, 200)), "en") for i in range(200)] + [(1000 + i, noise(90), "en") for i in range(4)]
+    out = {x.doc_id: x for x in quality.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(x.base_failed for x in out.values())
+    assert all(x.kept == (i < 1000) for i, x in out.items())
 
 
 def test_tokens(spark, docs, none):
