@@ -5,14 +5,18 @@ Each document's id stream (its end id included) is cut where a rolling hash of
 A chunk's address is the BLAKE2b digest of its ids.  The store is three Parquet
 tables under one folder:
 
-* ``placements``: (digest, doc_id, doc, seq, ids_left, n, payload), sorted by
-  digest within each file; the payload (zstd over little-endian ids, two bytes
-  each where they fit) stands in one row of a digest only;
-* ``recipes``: (doc_id, start, n_tokens, leaf, chunks), files and rows in
-  ascending doc_id order, nulls first; ``start`` counts all ids before it;
-* ``manifest``: (level, node, hash), a Merkle tree of fan-in ``FAN`` over the recipes.
-
-``doc`` is a digest of the whole id stream, so rows that share a doc_id stay apart.
+* ``objects``: rows of kind 0 are chunks (digest, n, payload), each digest once
+  and sorted within a file; the payload is zstd over little-endian ids, two bytes
+  each where they fit.  Rows of kind 1 are documents in no order, from which
+  recipes are made;
+* ``recipes``: (index, doc_id, doc, start, n_tokens, leaf, chunks), files and rows
+  in ascending doc_id order, nulls first; ``start`` counts all ids before it;
+* ``manifest``: (level, node, hash), a Merkle tree of fan-in ``FAN`` over the
+  recipes; a leaf is the hash of all that its recipe says.
+
+``doc`` is a digest of the whole id stream; documents that share a doc_id are in
+its order.  Readers put documents together by their recipes, and verify: chunks
+against their addresses, sums against recipes, recipes against the manifest.
 """
 
 from __future__ import annotations
@@ -27,29 +31,31 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestone.llm.common import chunks, mix, shared_path, windows
+from lodestone.llm.common import MEMOS, chunks, mix, shared_path, stored, using, windows
 
 END_ID = 1
 WINDOW, LEAST, MASK, LARGEST = 16, 64, 0xFF, 2048
-MEMO, SEEN, FAN = 400_000, 100_000, 1024
-_MARKS = b".,!?;:$%&*#|"
+MEMO, SEEN, FAN = 250_000, 100_000, 1024
 _ENCODERS: dict = {}
+MEMOS.append(_ENCODERS)
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 class Encoder(dict):
-    """word -> its ids as little-endian 32-bit integers.
+    """word -> its ids as little-endian 32-bit integers; words of the last ``MEMO`` and up to as many before.
 
     The tokenizer (NFC, lower case, letters or digits or others as pieces, BPE
     within a piece) never joins characters across white space, so a text's ids
-    are those of its words one after another; each distinct word is encoded by
-    the library once.  ``by_word=False`` encodes whole texts, for tokenizers
-    that see white space.
+    are those of its words one after another; the library encodes each distinct
+    word once.  ``by_word=False`` encodes whole texts, for tokenizers that see
+    white space.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -57,52 +63,55 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        #: Whether letters are lowered and pieces are runs of letters, digits or marks, as the checks below show.
+        self.tokenizer, self.by_word, self.before = Tokenizer.from_file(path), by_word, {}
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.mark = (ids("|") or [-1])[0]
-        self.lowers = by_word and ids("a | b") == ids("a") + [self.mark] + ids("b") and ids("Abc") == ids("abc") and ids("abc,.") == ids("abc") + ids(",.") and ids("a b") == ids("a") + ids("b")
+        #: Whether letters are lowered and a mark between white space is a piece of its own.
+        self.lowers = by_word and ids("a, | b") == ids("a,") + [self.mark] + ids("b") and ids("Abc") == ids("abc") and ids("a b") == ids("a") + ids("b")
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self) > MEMO:
+            self.before = dict(self)
             self.clear()
         token_lists = [self._words(t) for t in texts]
         tokens = list(chain.from_iterable(token_lists))
         got = list(map(self.get, tokens))
         missing = [i for i, ids in enumerate(got) if ids is None]
-        self._learn({tokens[i] for i in missing})
+        new = {tokens[i] for i in missing}
+        known = self.before.keys() & new
+        self.update(zip(known, map(self.before.__getitem__, known)))
+        self._learn(list(new - known))
         for i in missing:
             got[i] = self[tokens[i]]
-        ends = np.cumsum([0, *map(len, token_lists)]).tolist()
-        return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
-
-    def _learn(self, new: set[bytes]) -> None:
-        # a word that ends in marks is its letters' ids, then its marks': they are pieces of their own
-        ends = {w: (core, w[len(core) :]) for w in new if len(core := w.rstrip(_MARKS)) < len(w) and core and (core[-1:].isalpha() or core.decode("utf-8", "replace")[-1].isalpha())} if self.lowers else {}
-        alone = [w for w in {x for w in new for x in ends.get(w, (w,))} if w not in self]
-        letters = [w for w in alone if w.isalpha() or w.decode("utf-8", "replace").isalpha()] if self.lowers else []
-        for i in range(0, len(letters), 2_000):
-            self._learn_letters(letters[i : i + 2_000])
-        alone = [w for w in alone if w not in self]
+        out, at = [], 0
+        for t in token_lists:
+            out.append(b"".join(got[at : at + len(t)]))
+            at += len(t)
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain = [w for w in new if b"|" not in w] if self.lowers else []
+        alone = [w for w in new if b"|" in w] if self.lowers else new
+        for i in range(0, len(plain), 2_000):
+            alone += self._learn_many(plain[i : i + 2_000])
         for i in range(0, len(alone), 20_000):
             part = alone[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
                 ids = e.ids
                 self[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, (core, marks) in ends.items():
-            self[w] = self[core] + self[marks]
 
-    def _learn_letters(self, part: list[bytes]) -> None:
-        """Words of letters only, encoded in one call with a mark between them; left out if the marks do not come back one each."""
+    def _learn_many(self, part: list[bytes]) -> list[bytes]:
+        """Encodes words in one call with a mark between them; gives them back if the marks do not come back one each."""
         text = b" | ".join(part).decode("utf-8", "replace")
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(ids == self.mark)
-        if len(at) == len(part) - 1:
-            raw = ids.tobytes()
-            for w, a, b in zip(part, [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]):
-                self[w] = raw[a:b]
+        at = 4 * np.flatnonzero(ids == self.mark)
+        if len(at) != len(part) - 1:
+            return part
+        raw = ids.tobytes()
+        self.update(zip(part, map(raw.__getitem__, map(slice, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)]))))
+        return []
 
     def _words(self, text: str | None) -> list[bytes]:
         """Words in lower case where the tokenizer lowers them anyway; not if a special token's brackets are about."""
@@ -152,39 +161,56 @@ def unpack(payload: bytes) -> bytes:
 
 
 def _placer(path: str, by_word: bool, end_id: int, schema: pa.Schema):
+    """A row for each chunk that is new to the task, and one for each document; ``deal`` spreads the rows."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using(_ENCODERS)
         enc, end, seen = encoder(path, by_word), np.array([end_id], "<u4").tobytes(), set()
+        task, row = TaskContext.get().partitionId(), 0
         for batch in chunks(batches):
-            cols: list[list] = [[] for _ in range(7)]
-            keys = batch.column(0).to_pylist()
-            for key, ids in zip(keys, enc.texts(batch.column("text").to_pylist())):
+            cols: list[list] = [[] for _ in schema]
+            for key, ids in zip(batch.column(0).to_pylist(), enc.texts(batch.column("text").to_pylist())):
                 ids += end
-                doc, a, start = blake2b(ids, digest_size=16).digest(), np.frombuffer(ids, "<u4"), 0
-                for seq, stop in enumerate(cuts(a)):
+                doc, a, start, parts = blake2b(ids, digest_size=16).digest(), np.frombuffer(ids, "<u4"), 0, []
+                for stop in cuts(a):
                     part = ids[4 * start : 4 * stop]
                     digest = blake2b(part, digest_size=16).digest()
-                    fresh = digest not in seen
-                    if fresh:
+                    parts.append(digest)
+                    if digest not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(digest)
-                    for col, v in zip(cols, (digest, key, doc, seq, len(a) - stop, stop - start, pack(part) if fresh else None)):
-                        col.append(v)
+                        for col, v in zip(cols, (0, digest, None, None, stop - start, None, pack(part))):
+                            col.append(v)
                     start = stop
+                row += 1
+                for col, v in zip(cols, (1, struct.pack("<qq", task, row), key, doc, len(a), parts, None)):
+                    col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 
 
-def _first_payload(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by digest, a payload before nulls: keeps the payload of a digest's first row only."""
+def _first_of_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by kind and digest: of equal chunks the first; all documents."""
     last = None
     for batch in batches:
-        digests = batch.column("digest").to_pylist()
-        keep = [d != p for d, p in zip(digests, [last, *digests])]
-        last = digests[-1] if digests else last
-        at = batch.schema.get_field_index("payload")
-        yield batch.set_column(at, batch.schema.field(at), pa.compute.if_else(pa.array(keep), batch.column(at), None))
+        names = batch.column("deal").to_pylist()
+        keep = [d != p for d, p in zip(names, [last, *names])]
+        last = names[-1] if names else last
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to the rows of a sorted part its number, and the ids and documents of it before each row."""
+    ids = docs = 0
+    part = TaskContext.get().partitionId()
+    for batch in batches:
+        upto = ids + np.cumsum(batch.column("n").to_numpy())
+        n = batch.num_rows
+        extra = [np.full(n, part, np.int64), upto - batch.column("n").to_numpy(), docs + np.arange(n)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, extra)], [*batch.schema.names, "part", "ids_before", "docs_before"])
+        ids, docs = int(upto[-1]) if n else ids, docs + n
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,80 +254,111 @@ def shift_crc(crc: np.ndarray, zero_bytes: np.ndarray) -> np.ndarray:
     return crc
 
 
-def _shifter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the lengths and checksums of a document's chunks, in order, together."""
     for batch in batches:
-        moved = shift_crc(batch.column("crc").to_numpy(), 4 * batch.column("ids_left").to_numpy())
-        at = batch.schema.get_field_index("crc")
-        yield batch.set_column(at, "crc", pa.array(moved.astype(np.int64)))
+        lists = batch.column("parts")
+        sizes = pc.list_value_length(lists).to_numpy()
+        flat = lists.flatten()
+        n, crc = (pc.struct_field(flat, i).to_numpy().astype(np.int64) for i in (1, 2))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        upto = np.cumsum(n)
+        ends = np.cumsum(sizes)
+        left = upto[ends - 1][doc] - upto if len(n) else n
+        moved = shift_crc(crc, 4 * left)
+        total = np.bincount(doc, weights=n, minlength=len(sizes)).astype(np.int64)
+        whole = np.bitwise_xor.reduceat(moved, ends - sizes).astype(np.int64) if len(n) else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "parts"), pa.array(total), pa.array(whole)], [*(c for c in batch.schema.names if c != "parts"), "got", "ids_crc32"])
+
+
+def _leaf() -> Column:
+    """What a recipe says, hashed."""
+    return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), "index", "start", "n_tokens", F.hex("doc"), F.array_join(F.transform("chunks", F.hex), ",")), 256)
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    """The next level of (node, hash)."""
+    return nodes.groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", by_word: bool = True, end_id: int = END_ID) -> None:
-    """Encodes every whole text (null: empty) and writes placements, recipes and manifest under ``path``."""
+    """Encodes every whole text (null: empty) and writes objects, recipes and manifest under ``path``."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    ddl = f"digest binary, doc_id {kind}, doc binary, seq int, ids_left long, n long, payload binary"
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    ddl = f"kind int, deal binary, doc_id {kind}, doc binary, n long, chunks array<binary>, payload binary"
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
-    placed = docs.select(key, "text").mapInArrow(_placer(tokenizer, by_word, end_id, schema), ddl)
-    placed = placed.repartition("digest").sortWithinPartitions("digest", F.col("payload").isNull(), "doc_id", "doc", "seq")
-    placed.mapInArrow(_first_payload, ddl).write.option("compression", "zstd").parquet(f"{path}/placements")
-
-    lists = spark.read.schema(ddl).parquet(f"{path}/placements").groupBy("doc_id", "doc").agg(F.sort_array(F.collect_set(F.struct("seq", "digest"))).alias("chunks"), F.count("*").alias("all"), F.max(F.when(F.col("seq") == 0, F.col("ids_left") + F.col("n"))).alias("n_tokens"))
-    lists = lists.withColumn("chunks", F.col("chunks.digest")).withColumn("leaf", F.sha2(F.array_join(F.transform("chunks", F.hex), ""), 256))
-    lists = lists.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("all") / F.size("chunks")).cast("int")))).drop("all")
-    lists.repartitionByRange(F.col("doc_id").asc_nulls_first(), "doc", "copy").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc", "copy").withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/lists")
-    lists = spark.read.parquet(f"{path}/lists")
-    parts = lists.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("docs"))
+    made = docs.select(key, "text").mapInArrow(_placer(tokenizer, by_word, end_id, schema), ddl)
+    made = made.repartition("deal").sortWithinPartitions("kind", "deal").mapInArrow(_first_of_each, ddl)
+    made.write.option("compression", "none").parquet(f"{path}/objects")
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("doc")]
+    lists = spark.read.schema(ddl).parquet(f"{path}/objects").where("kind = 1").select("doc_id", "doc", "n", "chunks")
+    lists = lists.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_number, f"doc_id {kind}, doc binary, n long, chunks array<binary>, part long, ids_before long, docs_before long")
+    lists = stored(lists, "lists")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = lists.groupBy("part").agg(F.sum("n").alias("ids"), F.count("*").alias("docs"))
     parts = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids"), F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("docs"))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "doc", "copy")
-    start = F.col("ids") + F.sum("n_tokens").over(inside) - F.col("n_tokens")
-    index = F.col("docs") + F.row_number().over(inside) - 1
-    recipes = lists.join(F.broadcast(parts), "part").select("part", "doc_id", "doc", start.alias("start"), "n_tokens", index.alias("index"), "leaf", "chunks")  # a row for each partition
-    recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    recipes = lists.join(F.broadcast(parts), "part")  # a row for each partition
+    recipes = recipes.select((F.col("docs") + F.col("docs_before")).alias("index"), "doc_id", "doc", (F.col("ids") + F.col("ids_before")).alias("start"), F.col("n").alias("n_tokens"), "chunks").withColumn("leaf", _leaf())
+    recipes.repartitionByRange("index").sortWithinPartitions("index").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     level, nodes, rows = 0, spark.read.parquet(f"{path}/recipes").select(F.col("index").alias("node"), F.col("leaf").alias("hash")), None
     while rows is None or rows > 1:
         level += 1
-        nodes = nodes.groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"))
-        nodes.select(F.lit(level).alias("level"), "node", "hash").write.mode("append").parquet(f"{path}/manifest")
+        _parents(nodes).select(F.lit(level).alias("level"), "node", "hash").write.mode("append").parquet(f"{path}/manifest")
         nodes = spark.read.parquet(f"{path}/manifest").where(F.col("level") == level).drop("level")
         rows = nodes.count()
 
 
+def verify_recipes(spark: SparkSession, path: str) -> str | None:
+    """Works the Merkle tree out again from the recipes; raises ValueError if it is not the manifest's, else returns the root (None without recipes)."""
+    nodes = spark.read.parquet(f"{path}/recipes").select(F.col("index").alias("node"), _leaf().alias("hash"))
+    manifest = stored(spark.read.parquet(f"{path}/manifest"), "manifest")
+    top = manifest.agg(F.max("level")).first()[0] or 0
+    for level in range(1, top + 1):
+        nodes = stored(_parents(nodes), "nodes")
+        there = manifest.where(F.col("level") == level).select("node", F.col("hash").alias("want"))
+        if not nodes.join(there, "node", "full").where(~F.col("hash").eqNullSafe(F.col("want"))).isEmpty():
+            raise ValueError(f"recipes and manifest differ at level {level}")
+    root = nodes.limit(2).collect() if top else []
+    if len(root) > 1 or (not top and not nodes.isEmpty()):
+        raise ValueError("the manifest has no root")
+    return root[0]["hash"] if root else None
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, merkle_leaf) of each document, from the files alone.
 
-    Every stored chunk is unpacked and held against its address; a document's
-    checksum is put together from those of the chunks in its recipe.
+    Every stored chunk is unpacked and held against its address, and the recipes
+    against the manifest; a document's checksum is put together from those of
+    the chunks its recipe names.
     """
-    placed = spark.read.parquet(f"{path}/placements")
-    sums = placed.where("payload is not null").select("digest", "n", "payload").mapInArrow(_verify, "digest binary, read long, crc long")
-    kind = placed.schema["doc_id"].dataType.simpleString()
-    parts = placed.select("doc_id", "doc", "seq", "ids_left", "digest").join(sums, "digest").drop("digest").mapInArrow(_shifter, f"doc_id {kind}, doc binary, seq int, ids_left long, read long, crc long")
-    each = parts.groupBy("doc_id", "doc").agg(F.collect_set(F.struct("seq", "read", "crc")).alias("c"))
-    each = each.select("doc_id", "doc", F.size("c").alias("got"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["read"]).alias("n_tokens"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["crc"])).alias("ids_crc32"))
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "doc", "start", F.size("chunks").alias("want"), F.col("leaf").alias("merkle_leaf"))
-    both = recipes.join(each, recipes.doc_id.eqNullSafe(each.doc_id) & (recipes.doc == each.doc), "left").select(recipes.doc_id, "start", "n_tokens", "ids_crc32", "merkle_leaf", "got", "want")
-    return both.where(F.when(F.col("got") == F.col("want"), True).otherwise(F.raise_error(F.lit("a recipe's chunk is missing")).isNull())).drop("got", "want")
+    verify_recipes(spark, path)
+    sums = spark.read.parquet(f"{path}/objects").where("kind = 0").select(F.col("deal").alias("digest"), "n", "payload").mapInArrow(_verify, "digest binary, read long, crc long")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    kind = recipes.schema["doc_id"].dataType.simpleString()
+    each = recipes.select("index", F.posexplode("chunks").alias("seq", "digest")).join(sums, "digest", "left")
+    each = each.groupBy("index").agg(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("read", F.lit(-1)).alias("read"), F.coalesce("crc", F.lit(0)).alias("crc")))).alias("parts"))
+    each = recipes.select("index", "doc_id", "start", "n_tokens", F.col("leaf").alias("merkle_leaf")).join(each, "index", "left")
+    each = each.mapInArrow(_sums, f"index long, doc_id {kind}, start long, n_tokens long, merkle_leaf string, got long, ids_crc32 long")
+    right = F.when(F.col("got") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe's chunk is missing")).cast("long"))
+    return each.select("doc_id", "start", right.alias("n_tokens"), "ids_crc32", "merkle_leaf")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids array<int>): every document put together again from its recipe."""
-    placed = spark.read.parquet(f"{path}/placements")
-    payloads = placed.where("payload is not null").select("digest", "payload")
-    parts = placed.select("digest", "doc_id", "doc", "seq").distinct().join(payloads, "digest")
+    verify_recipes(spark, path)
+    payloads = spark.read.parquet(f"{path}/objects").where("kind = 0").select(F.col("deal").alias("digest"), "payload")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    parts = recipes.select("index", F.posexplode("chunks").alias("seq", "digest")).join(payloads, "digest")
 
     def build(batches):
         for batch in batches:
             ids = [[i for p in row for i in np.frombuffer(unpack(p["payload"]), "<u4").tolist()] for row in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "doc", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("index"), pa.array(ids, pa.list_(pa.int32()))], ["index", "ids"])
 
-    kind = placed.schema["doc_id"].dataType.simpleString()
-    whole = parts.groupBy("doc_id", "doc").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("parts")).mapInArrow(build, f"doc_id {kind}, doc binary, ids array<int>")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    return recipes.join(whole, recipes.doc_id.eqNullSafe(whole.doc_id) & (recipes.doc == whole.doc)).select(recipes.doc_id, "start", "ids")
+    whole = parts.groupBy("index").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("parts")).mapInArrow(build, "index long, ids array<int>")
+    return recipes.join(whole, "index").select("doc_id", "start", "ids")
 
 
 def token_table(docs: DataFrame, tokenizer: str, key: str = "doc_id", **how) -> DataFrame:

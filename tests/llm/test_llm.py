@@ -255,6 +255,34 @@ def test_token_reconstruction_and_crc(spark, docs):
     assert spark.read.parquet(f"{path}/manifest").count() >= 1
 
 
+@pytest.mark.parametrize("what", ["objects", "recipes", "manifest", "lost recipe", "lost chunk"])
+def test_token_store_sees_damage(spark, docs, what, monkeypatch):
+    monkeypatch.setattr(tokens, "FAN", 8)  # a manifest of several levels
+    F = tokens.F
+    path = common.shared_path(spark, "damage")
+    tokens.write_store(docs, path, queries.TOKENIZER)
+    assert tokens.read_store(spark, path).count() == len(ROWS)
+    name = {"lost recipe": "recipes", "lost chunk": "objects"}.get(what, what)
+    table = spark.read.parquet(f"{path}/{name}")
+    if what == "objects":
+        chunk = table.where("kind = 0").orderBy("deal").first()["deal"]
+        bad = table.withColumn("payload", F.when(F.col("deal") == F.lit(bytes(chunk)), F.lit(tokens.pack(b"\1\0\0\0"))).otherwise(F.col("payload")))
+    elif what == "lost chunk":
+        chunk = table.where("kind = 0").orderBy("deal").first()["deal"]
+        bad = table.where(F.col("deal") != F.lit(bytes(chunk)))
+    elif what == "recipes":  # two chunks change places
+        bad = table.withColumn("chunks", F.when(F.size("chunks") > 1, F.reverse("chunks")).otherwise(F.col("chunks")))
+    elif what == "lost recipe":
+        bad = table.where("index <> 11")
+    else:
+        bad = table.withColumn("hash", F.when((F.col("level") == 1) & (F.col("node") == 2), F.lit("0" * 64)).otherwise(F.col("hash")))
+    other = common.shared_path(spark, "damaged")
+    for t in ("objects", "recipes", "manifest"):
+        (bad if t == name else spark.read.parquet(f"{path}/{t}")).write.parquet(f"{other}/{t}")
+    with pytest.raises(Exception, match="damaged|differ|missing"):
+        tokens.read_store(spark, other).collect()
+
+
 def test_mixing(docs, none):
     out = mixing.mix_table(docs).collect()
     assert len(out) == len(ROWS)
