@@ -6,8 +6,8 @@ A chunk's address is the BLAKE2b digest of its ids.  The store is three Parquet
 tables under one folder:
 
 * ``objects``: rows of kind 0 are chunks (digest, n, payload), each digest once
-  and sorted within a file; the payload is zstd over little-endian ids, two bytes
-  each where they fit.  Rows of kind 1 are documents in no order, from which
+  and sorted within a file; the payload is little-endian ids, two bytes each where
+  they fit, after their width.  Rows of kind 1 are documents in no order, from which
   recipes are made;
 * ``recipes``: (index, doc_id, doc, start, n_tokens, leaf, chunks), files and rows
   in ascending doc_id order, nulls first; ``start`` counts all ids before it;
@@ -21,6 +21,7 @@ against their addresses, sums against recipes, recipes against the manifest.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -32,7 +33,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,9 +43,9 @@ from lodestone.llm.common import MEMOS, chunks, mix, shared_path, stored, using,
 END_ID = 1
 WINDOW, LEAST, MASK, LARGEST = 16, 64, 0xFF, 2048
 MEMO, SEEN, FAN = 250_000, 100_000, 1024
+_MARKS = b".,!?;:$%&*#|"
 _ENCODERS: dict = {}
 MEMOS.append(_ENCODERS)
-_ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 class Encoder(dict):
@@ -60,14 +60,22 @@ class Encoder(dict):
 
     def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only cost on short words
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
         self.tokenizer, self.by_word, self.before = Tokenizer.from_file(path), by_word, {}
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.mark = (ids("|") or [-1])[0]
+        #: The same model for lower-case ASCII letters between spaces, which need no normalising.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         #: Whether letters are lowered and a mark between white space is a piece of its own.
-        self.lowers = by_word and ids("a, | b") == ids("a,") + [self.mark] + ids("b") and ids("Abc") == ids("abc") and ids("a b") == ids("a") + ids("b")
+        self.lowers = by_word and ids("a, | b") == ids("a,") + [self.mark] + ids("b") and ids("Abc") == ids("abc") and ids("a b") == ids("a") + ids("b") and ids("abc,.") == ids("abc") + ids(",.")
+        text = "lower case ascii letters qxzjv"
+        self.lowers = self.lowers and self.plain.encode(text, add_special_tokens=False).ids == ids(text) and self.last[ids(text)].sum() == 5
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
@@ -76,42 +84,62 @@ class Encoder(dict):
             self.before = dict(self)
             self.clear()
         token_lists = [self._words(t) for t in texts]
-        tokens = list(chain.from_iterable(token_lists))
-        got = list(map(self.get, tokens))
-        missing = [i for i, ids in enumerate(got) if ids is None]
-        new = {tokens[i] for i in missing}
-        known = self.before.keys() & new
+        new = set().union(*token_lists).difference(self)
+        known = new & self.before.keys()
         self.update(zip(known, map(self.before.__getitem__, known)))
-        self._learn(list(new - known))
-        for i in missing:
-            got[i] = self[tokens[i]]
-        out, at = [], 0
-        for t in token_lists:
-            out.append(b"".join(got[at : at + len(t)]))
-            at += len(t)
-        return out
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if b"|" not in w] if self.lowers else []
-        alone = [w for w in new if b"|" in w] if self.lowers else new
-        for i in range(0, len(plain), 2_000):
-            alone += self._learn_many(plain[i : i + 2_000])
-        for i in range(0, len(alone), 20_000):
-            part = alone[i : i + 20_000]
+        self._learn(new - known)
+        of = self.__getitem__
+        return [b"".join(map(of, t)) for t in token_lists]
+
+    def _learn(self, new: set[bytes]) -> None:
+        # a word that ends in marks is its letters' ids, then its marks': they are pieces of their own
+        ends = {}
+        if self.lowers:
+            for w in new:
+                core = w.rstrip(_MARKS)
+                if core and len(core) < len(w) and (core[-1:].isalpha() or (core[-1] > 127 and core.decode("utf-8", "replace")[-1].isalpha())):
+                    ends[w] = core, w[len(core) :]
+        alone = ({w for w in new if w not in ends} | {x for pair in ends.values() for x in pair}).difference(self)
+        kinds: tuple[list, ...] = [], [], [], []
+        for w in alone:
+            kinds[3 if not self.lowers else 0 if w.isalpha() else 1 if w.decode("utf-8", "replace").isalpha() else 2 if b"|" not in w else 3].append(w)
+        for kind, learn in ((0, self._learn_ascii), (1, self._learn_letters), (2, self._learn_marked)):
+            for i in range(0, len(kinds[kind]), 2_000):
+                part = kinds[kind][i : i + 2_000]
+                if not learn(part):
+                    kinds[3].extend(part)
+        for i in range(0, len(kinds[3]), 20_000):
+            part = kinds[3][i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
                 ids = e.ids
                 self[w] = struct.pack(f"<{len(ids)}I", *ids)
+        self.update((w, self[core] + self[marks]) for w, (core, marks) in ends.items())
 
-    def _learn_many(self, part: list[bytes]) -> list[bytes]:
-        """Encodes words in one call with a mark between them; gives them back if the marks do not come back one each."""
-        text = b" | ".join(part).decode("utf-8", "replace")
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        at = 4 * np.flatnonzero(ids == self.mark)
-        if len(at) != len(part) - 1:
-            return part
+    def _ids(self, tokenizer, part: list[bytes], between: bytes) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([between.join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+
+    def _put(self, part: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> bool:
+        """Ids of several words: whether there are as many pieces as words; if so, they are kept."""
+        if len(starts) != len(part):
+            return False
         raw = ids.tobytes()
-        self.update(zip(part, map(raw.__getitem__, map(slice, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)]))))
-        return []
+        self.update(zip(part, map(raw.__getitem__, map(slice, (4 * starts).tolist(), (4 * stops).tolist()))))
+        return True
+
+    def _learn_letters(self, part: list[bytes], tokenizer=None) -> bool:
+        """Words of letters only: each is one piece, whose last id ends a word."""
+        ids = self._ids(tokenizer or self.tokenizer, part, b" ")
+        stops = np.flatnonzero(self.last[ids]) + 1
+        return self._put(part, ids, np.r_[0, stops[:-1]], stops)
+
+    def _learn_ascii(self, part: list[bytes]) -> bool:
+        return self._learn_letters(part, self.plain)
+
+    def _learn_marked(self, part: list[bytes]) -> bool:
+        """Words without a bar, with a bar between them."""
+        ids = self._ids(self.tokenizer, part, b" | ")
+        at = np.flatnonzero(ids == self.mark)
+        return self._put(part, ids, np.r_[0, at + 1], np.r_[at, len(ids)])
 
     def _words(self, text: str | None) -> list[bytes]:
         """Words in lower case where the tokenizer lowers them anyway; not if a special token's brackets are about."""
@@ -152,12 +180,11 @@ def cuts(ids: np.ndarray) -> list[int]:
 def pack(ids: bytes) -> bytes:
     a = np.frombuffer(ids, "<u4")
     small = not len(a) or int(a.max()) < 65536
-    return (b"\x02" if small else b"\x04") + _ZSTD.compress(a.astype("<u2").tobytes() if small else ids)
+    return b"\x02" + a.astype("<u2").tobytes() if small else b"\x04" + ids
 
 
 def unpack(payload: bytes) -> bytes:
-    raw = _UNZSTD.decompress(payload[1:])
-    return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if payload[0] == 2 else raw
+    return np.frombuffer(payload, "<u2", offset=1).astype("<u4").tobytes() if payload[0] == 2 else payload[1:]
 
 
 def _placer(path: str, by_word: bool, end_id: int, schema: pa.Schema):
@@ -165,6 +192,7 @@ def _placer(path: str, by_word: bool, end_id: int, schema: pa.Schema):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using(_ENCODERS)
+        gc.disable()  # nothing here is cyclic, and the memo is large
         enc, end, seen = encoder(path, by_word), np.array([end_id], "<u4").tobytes(), set()
         task, row = TaskContext.get().partitionId(), 0
         for batch in chunks(batches):
@@ -187,6 +215,7 @@ def _placer(path: str, by_word: bool, end_id: int, schema: pa.Schema):
                 for col, v in zip(cols, (1, struct.pack("<qq", task, row), key, doc, len(a), parts, None)):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        gc.enable()
 
     return run
 
@@ -289,7 +318,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     made = docs.select(key, "text").mapInArrow(_placer(tokenizer, by_word, end_id, schema), ddl)
     made = made.repartition("deal").sortWithinPartitions("kind", "deal").mapInArrow(_first_of_each, ddl)
-    made.write.option("compression", "none").parquet(f"{path}/objects")
+    made.write.option("compression", "lz4_raw").parquet(f"{path}/objects")
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("doc")]
     lists = spark.read.schema(ddl).parquet(f"{path}/objects").where("kind = 1").select("doc_id", "doc", "n", "chunks")
