@@ -319,6 +319,56 @@ def test_tiling_catches_reordered_passages(spark, docs, none):
     assert tiling.contaminated(docs, bench).count() == 0 and tiling.contaminated(none, bench).count() == 0
 
 
+def brute_tiles(item, doc, seed=5):
+    """Greedy string tiling by its definition."""
+    used_i, used_d, out = [False] * len(item), [False] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                k = 0
+                while a + k < len(item) and b + k < len(doc) and item[a + k] == doc[b + k] and not used_i[a + k] and not used_d[b + k]:
+                    k += 1
+                if (-k, a, b) < (-best[0], best[1], best[2]):
+                    best = (k, a, b)
+        if best[0] < seed:
+            return out
+        k, a, b = best
+        used_i[a : a + k], used_d[b : b + k] = [True] * k, [True] * k
+        out.append(best)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_tiling_equals_brute_force(spark, kind, monkeypatch):
+    monkeypatch.setattr(tiling, "FILTER_BITS", 256)  # a filter that lets nearly all through
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(14)]
+    boiler = "now read what stands below and say what is right".split()
+    items = [boiler + [r.choice(vocab) for _ in range(r.randint(0, 30))] for _ in range(14)]
+    items += [items[2], ["short", "one"], []]
+    docs = []
+    for _ in range(50):
+        parts = [r.choice(items) for _ in range(r.randint(1, 3))]
+        cuts = [p[(k := r.randint(0, max(0, len(p) - 3))) : k + r.randint(3, 25)] for p in parts for _ in range(3)]
+        r.shuffle(cuts)
+        docs.append([w for c in cuts for w in [*c, *[r.choice(vocab) for _ in range(r.randint(0, 3))]]])
+    want = []
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            t = brute_tiles(item, doc)
+            if t and 2 * sum(x[0] for x in t) >= len(item):
+                want.append((d, str(i), len(item), sum(x[0] for x in t), len(t), max(x[0] for x in t)))
+    assert len(want) > 30 and any(x[4] > 2 for x in want)
+    bench = spark.createDataFrame([(i, " ".join(t), 0) for i, t in enumerate(items)] + [(99, None, 0)], "item_id int, text string, k int").withColumn("item_id", tiling.F.col("item_id").cast(kind))
+    table = spark.createDataFrame([(d, " ".join(t).upper() + ".", 1) for d, t in enumerate(docs)] + [(None, None, 1)], "doc_id int, text string, rid int")
+    out = tiling.contaminated(table, bench)
+    assert dict(out.dtypes)["item_id"] == kind
+    assert sorted((x.doc_id, str(x.item_id), x.item_words, x.covered_words, x.tiles, x.longest_tile) for x in out.collect()) == sorted(want)
+    left = tiling.clean(table, bench)
+    assert left.columns == table.columns
+    assert {x.doc_id for x in left.collect()} == {None, *range(50)} - {x[0] for x in want}
+
+
 def test_lm(docs, none):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     tok = lambda t: [*(t or "").encode().lower().split(), b""]
