@@ -43,17 +43,15 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return level.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * line).alias("target"))
 
 
-def mix_table(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: str = "mix", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(key, source, size, source_size, target, taken, copies) for every row of ``docs``.
-
-    size counts words, 0 for null; taken is copies * size.  Rows of size 0 take
-    part (and give nothing).  Repeated rows are documents of their own.  An
-    empty table gives an empty one; reruns agree.
-    """
-    rows = stored(docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+def _queued(docs: DataFrame, key: str, source: str, seed: str, weights: Sequence[float], share: float, most: int) -> DataFrame:
+    """(_k, _s, _r, size, source_size, target, h, copy, finish, in): every copy of every row in the common queue, and whether it is taken."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.xxhash64("text").alias("_r"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    rows = stored(rows, "sizes")
     bins = max(1, math.isqrt(rows.count()))
     tag = F.coalesce(F.concat(F.lit("s"), "_s"), F.lit("n"))
-    rows = rows.withColumns({"tag": tag, "h": F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_k").cast("string"), F.lit(""))))})
+    name = F.coalesce(F.col("_k").cast("string"), F.concat(F.lit("#"), F.col("_r").cast("string")))  # rows without a key are shuffled by text
+    rows = rows.withColumns({"tag": tag, "h": F.md5(F.concat_ws(":", F.lit(seed), name))})
     rows = rows.withColumn("bin", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * bins, 32))  # keeps the order of h
     sums = rows.groupBy("tag", "_s", "bin").agg(F.sum("size").alias("n"))
     per_source = sums.groupBy("_s").agg(F.sum("n").alias("source_size")).withColumnRenamed("_s", "source")
@@ -64,32 +62,43 @@ def mix_table(docs: DataFrame, key: str = "doc_id", source: str = "source", seed
     rows = rows.join(sums, ["tag", "bin"]).withColumn("upto", F.col("ahead") + F.sum("size").over(inside))
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     finish = F.when(F.col("target") > 0, (F.col("upto") + F.col("copy") * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
-    copies = stored(copies.select("_k", "_s", "size", "source_size", "target", "h", "copy", finish.alias("finish")).withColumn("slot", F.least(F.floor(F.col("finish") * bins), F.lit(2 * bins))), "finish")
+    copies = stored(copies.select("_k", "_s", "_r", "size", "source_size", "target", "h", "copy", finish.alias("finish")).withColumn("slot", F.least(F.floor(F.col("finish") * bins), F.lit(2 * bins))), "finish")
     budget = plan.agg(F.sum("target")).first()[0] or 0.0
     slots = copies.groupBy("slot").agg(F.sum("size").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     edge = slots.where(F.col("ahead") <= budget).orderBy(F.desc("slot")).first()
     at, ahead = (edge["slot"], edge["ahead"]) if edge else (0, 0)
     narrow = Window.partitionBy("slot").orderBy("finish", "h", "_k", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
     border = copies.where(F.col("slot") == at).withColumn("sum", F.sum("size").over(narrow) + F.lit(ahead)).withColumn("in", 2 * F.col("sum") - F.col("size") <= F.lit(2 * budget)).drop("sum")
-    judged = copies.where(F.col("slot") != at).withColumn("in", F.col("slot") < at).unionByName(border)
-    # a document's copies differ in their finish times, so the first copies stand for the rows
+    return copies.where(F.col("slot") != at).withColumn("in", F.col("slot") < at).unionByName(border)
+
+
+def mix_table(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: str = "mix", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(key, source, size, source_size, target, taken, copies) for every row of ``docs``.
+
+    size counts words, 0 for null; taken is copies * size.  Rows of size 0 take
+    part (and give nothing).  A null source is a source, the last; rows without
+    a key queue by their text.  Repeated rows are documents of their own.  An
+    empty table gives an empty one; reruns agree; other columns are ignored.
+    """
+    # a row's copies differ in their number, so the first copies stand for the rows
     again = [F.sum(F.col("in").cast("int")).alias("taken"), F.sum((F.col("copy") == 0).cast("int")).alias("rows")]
-    got = judged.groupBy("_k", "_s", "size", "source_size", "target", "h").agg(*again)
-    # repeated rows (same key, source and size) are dealt their copies evenly
+    got = _queued(docs, key, source, seed, weights, share, most).groupBy("_k", "_s", "_r", "size", "source_size", "target", "h").agg(*again)
+    # repeated rows are dealt their copies evenly
     got = got.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     each = (F.floor(F.col("taken") / F.col("rows")) + (F.col("i") < F.col("taken") % F.col("rows")).cast("int")).cast("int")
     return got.select(F.col("_k").alias(key), F.col("_s").alias(source), "size", "source_size", "target", (each * F.col("size")).alias("taken"), each.alias("copies"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """The mix itself: rows of ``docs``, those taken twice two times; all columns under their own names.
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: str = "mix", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself, range-sorted by virtual finish time: rows of ``docs``, those taken twice two times; all columns under their own names.
 
-    Rows that share key, source and size are taken as often as the least taken of them.
+    Rows that share key, source and text are taken as often as the least taken of them.
     """
-    plan = mix_table(docs, key, source, **how).groupBy(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_n")).agg(F.min("copies").alias("_c")).where("_c > 0")
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    on = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    return sized.join(plan, on).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*docs.columns)
+    # a copy's number is the same for repeated rows: of each number, all rows or none
+    plan = _queued(docs, key, source, seed, weights, share, most).groupBy("_k", "_s", "_r", "copy").agg(F.min("in").alias("in"), F.min("finish").alias("_f")).where(F.col("in"))
+    on = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & F.col("_row").eqNullSafe(F.col("_r"))
+    taken = docs.withColumn("_row", F.xxhash64("text")).join(plan, on)
+    return taken.repartitionByRange("_f", "_row").sortWithinPartitions("_f", "_row").select(*docs.columns)
 
 
 ORACLE = r"""

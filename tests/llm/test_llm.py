@@ -307,7 +307,15 @@ def test_mixing(docs, none):
     most = max(x.size for x in out)
     for k in names:
         assert abs(sum(x.taken for x in out if x.source == k) - target[k]) <= most
-    assert mixing.mixed(docs).columns == docs.columns
+    mix = mixing.mixed(docs)
+    assert mix.columns == docs.columns
+    # fair order: what stands before any place has about the sources' shares
+    sizes, upto = [(x.source, len(words(x.text))) for x in mix.collect()], collections.Counter()
+    total = sum(target.values())
+    for name, n in sizes:
+        upto[name] += n
+        for k in names:
+            assert abs(upto[k] - target[k] * sum(upto.values()) / total) <= 3 * most
     assert mixing.mix_table(none).count() == 0
 
 
