@@ -5,9 +5,9 @@ Each document's id stream (its end id included) is cut where a rolling hash of
 A chunk's address is the BLAKE2b digest of its ids.  The store is three Parquet
 tables under one folder:
 
-* ``objects``: rows of kind 0 are chunks (digest, n, payload), each digest once
-  and sorted within a file; the payload is little-endian ids, two bytes each where
-  they fit, after their width.  Rows of kind 1 are documents in no order, from which
+* ``objects``: rows of kind 0 are chunks (digest, n, payload), each digest once;
+  the payload is little-endian ids, two bytes each where
+  they fit, after their width as a digit.  Rows of kind 1 are documents in no order, from which
   recipes are made;
 * ``recipes``: (index, doc_id, doc, start, n_tokens, leaf, chunks), files and rows
   in ascending doc_id order, nulls first; ``start`` counts all ids before it;
@@ -28,7 +28,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 from hashlib import blake2b
-from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -88,8 +88,7 @@ class Encoder(dict):
         known = new & self.before.keys()
         self.update(zip(known, map(self.before.__getitem__, known)))
         self._learn(new - known)
-        of = self.__getitem__
-        return [b"".join(map(of, t)) for t in token_lists]
+        return [b"".join(itemgetter(*t)(self)) if len(t) > 1 else self[t[0]] if t else b"" for t in token_lists]
 
     def _learn(self, new: set[bytes]) -> None:
         # a word that ends in marks is its letters' ids, then its marks': they are pieces of their own
@@ -155,20 +154,22 @@ def encoder(path: str, by_word: bool) -> Encoder:
     return _ENCODERS[path, by_word]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where the chunks of an id stream end."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def breaks(ids: np.ndarray) -> np.ndarray:
+    """Places after a window of ids whose rolling hash has its lowest bits zero; a window may reach over documents."""
     rolled = windows(mix(ids.astype(np.uint64)), WINDOW, 0x2545F4914F6CDD1D)
+    return np.flatnonzero((rolled & np.uint64(MASK)) == 0) + WINDOW
+
+
+def cuts(n: int, at: Iterable[int]) -> list[int]:
+    """Where the chunks of a stream of n ids end; at: its breaks, ascending."""
     out, last = [], 0
-    for at in (np.flatnonzero((rolled & np.uint64(MASK)) == 0) + WINDOW).tolist():
-        while at - last > LARGEST:
+    for x in at:
+        while x - last > LARGEST:
             last += LARGEST
             out.append(last)
-        if at - last >= LEAST:
-            out.append(at)
-            last = at
+        if x - last >= LEAST:
+            out.append(x)
+            last = x
     while n - last > LARGEST:
         last += LARGEST
         out.append(last)
@@ -177,14 +178,14 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
-def pack(ids: bytes) -> bytes:
+def pack(ids: bytes) -> tuple[bytes, int]:
+    """The ids at the width they need, and that width."""
     a = np.frombuffer(ids, "<u4")
-    small = not len(a) or int(a.max()) < 65536
-    return b"\x02" + a.astype("<u2").tobytes() if small else b"\x04" + ids
+    return (a.astype("<u2").tobytes(), 2) if not len(a) or int(a.max()) < 65536 else (ids, 4)
 
 
 def unpack(payload: bytes) -> bytes:
-    return np.frombuffer(payload, "<u2", offset=1).astype("<u4").tobytes() if payload[0] == 2 else payload[1:]
+    return np.frombuffer(payload, "<u2", offset=1).astype("<u4").tobytes() if payload[:1] == b"2" else payload[1:]
 
 
 def _placer(path: str, by_word: bool, end_id: int, schema: pa.Schema):
@@ -196,37 +197,44 @@ def _placer(path: str, by_word: bool, end_id: int, schema: pa.Schema):
         enc, end, seen = encoder(path, by_word), np.array([end_id], "<u4").tobytes(), set()
         task, row = TaskContext.get().partitionId(), 0
         for batch in chunks(batches):
-            cols: list[list] = [[] for _ in schema]
-            for key, ids in zip(batch.column(0).to_pylist(), enc.texts(batch.column("text").to_pylist())):
-                ids += end
-                doc, a, start, parts = blake2b(ids, digest_size=16).digest(), np.frombuffer(ids, "<u4"), 0, []
-                for stop in cuts(a):
-                    part = ids[4 * start : 4 * stop]
-                    digest = blake2b(part, digest_size=16).digest()
+            digests, sizes, payloads, names, docs, totals, lists = ([] for _ in range(7))
+            streams = [ids + end for ids in enc.texts(batch.column("text").to_pylist())]
+            at = breaks(np.frombuffer(b"".join(streams), "<u4"))
+            lengths = np.array([len(ids) // 4 for ids in streams])
+            ends = np.cumsum(lengths)
+            firsts = np.searchsorted(at, ends - lengths + WINDOW), np.searchsorted(at, ends, side="right")  # breaks of windows within a document
+            for ids, n, first, low, high in zip(streams, lengths.tolist(), (ends - lengths).tolist(), *(x.tolist() for x in firsts)):
+                start, parts = 0, []
+                packed, width = pack(ids)
+                for stop in cuts(n, (at[low:high] - first).tolist()) if n > LEAST else (n,):
+                    digest = blake2b(ids[4 * start : 4 * stop], digest_size=16).digest()
                     parts.append(digest)
                     if digest not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(digest)
-                        for col, v in zip(cols, (0, digest, None, None, stop - start, None, pack(part))):
-                            col.append(v)
+                        digests.append(digest), sizes.append(stop - start), payloads.append(b"%d" % width + packed[width * start : width * stop])
                     start = stop
                 row += 1
-                for col, v in zip(cols, (1, struct.pack("<qq", task, row), key, doc, len(a), parts, None)):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                names.append(struct.pack("<qq", task, row)), docs.append(blake2b(ids, digest_size=16).digest()), totals.append(n), lists.append(parts)
+            none = lambda k, i: pa.nulls(k, schema.types[i])
+            k = len(digests)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(digests, pa.binary()), none(k, 2), none(k, 3), pa.array(sizes, pa.int64()), none(k, 5), pa.array(payloads, pa.binary())], schema=schema)
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(names, pa.binary()), batch.column(0), pa.array(docs, pa.binary()), pa.array(totals, pa.int64()), pa.array(lists, pa.list_(pa.binary())), none(k, 6)], schema=schema)
         gc.enable()
 
     return run
 
 
 def _first_of_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by kind and digest: of equal chunks the first; all documents."""
-    last = None
+    """Of equal chunks of a partition the first; all documents."""
+    seen: set[bytes] = set()
     for batch in batches:
-        names = batch.column("deal").to_pylist()
-        keep = [d != p for d, p in zip(names, [last, *names])]
-        last = names[-1] if names else last
+        keep = []
+        for name in batch.column("deal").to_pylist():
+            keep.append(name not in seen)
+            seen.add(name)
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -317,8 +325,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     ddl = f"kind int, deal binary, doc_id {kind}, doc binary, n long, chunks array<binary>, payload binary"
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     made = docs.select(key, "text").mapInArrow(_placer(tokenizer, by_word, end_id, schema), ddl)
-    made = made.repartition("deal").sortWithinPartitions("kind", "deal").mapInArrow(_first_of_each, ddl)
-    made.write.option("compression", "lz4_raw").parquet(f"{path}/objects")
+    made = made.repartition("deal").mapInArrow(_first_of_each, ddl)
+    made.write.option("compression", "snappy").parquet(f"{path}/objects")
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("doc")]
     lists = spark.read.schema(ddl).parquet(f"{path}/objects").where("kind = 1").select("doc_id", "doc", "n", "chunks")

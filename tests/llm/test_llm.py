@@ -266,7 +266,7 @@ def test_token_store_sees_damage(spark, docs, what, monkeypatch):
     table = spark.read.parquet(f"{path}/{name}")
     if what == "objects":
         chunk = table.where("kind = 0").orderBy("deal").first()["deal"]
-        bad = table.withColumn("payload", F.when(F.col("deal") == F.lit(bytes(chunk)), F.lit(tokens.pack(b"\1\0\0\0"))).otherwise(F.col("payload")))
+        bad = table.withColumn("payload", F.when(F.col("deal") == F.lit(bytes(chunk)), F.lit(b"2\1\0")).otherwise(F.col("payload")))
     elif what == "lost chunk":
         chunk = table.where("kind = 0").orderBy("deal").first()["deal"]
         bad = table.where(F.col("deal") != F.lit(bytes(chunk)))
