@@ -47,7 +47,7 @@ PERCENT = 75
 _BASE = 0xC2B2AE3D27D4EB4F
 KEY = 10  # bytes of a class key
 FLUSH = 4 * CHUNK_WORDS  # shingles that a task gathers before it emits blocks
-BLOCK = 1_000_000  # prefix entries in a block, on average
+BLOCK = 4_000_000  # prefix entries in a block, on average; a class has a row for each family of each block
 CELL, ENTRIES = 2_000, 4_000_000  # classes and shingles of a part, on average
 PEELS = 2
 RESERVE = 12  # percent of a set that its prefix holds beyond the least
@@ -181,21 +181,28 @@ def _familiar(percent: int):
         Different shingles with the same 32 bits make one column, which only
         makes families and counts larger.
         """
-        read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+        read = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
         keys, first, of = np.unique(np.array([bytes(k) + b"\1" for k in read("keys", f"V{KEY}").tolist()]), return_index=True, return_inverse=True)  # numpy drops trailing zeros
         sizes, scores = read("sizes", np.uint32)[first].astype(np.int64), read("scores", np.uint32)[first].astype(np.int64)
-        cls = np.repeat(of, read("counts", np.uint32))
+        order = np.argsort(sizes, kind="stable")  # classes by size from here on
+        keys, sizes, scores = keys[order], sizes[order], scores[order]
+        place = np.empty(len(order), np.uint64)
+        place[order] = np.arange(len(order))
         # several tasks may have posted a class; a shingle's rows of one class are one entry
-        entry, many = np.unique(read("hs", np.uint32).astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64), return_counts=True)
-        h, cls = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        turn = np.empty(len(keys), np.int64)  # pivots first; the same in all blocks
-        turn[np.lexsort((np.arange(len(keys)), -scores / sizes))] = np.arange(len(keys))
-        order = np.lexsort((sizes[cls], h))
-        h, cls, many = h[order], cls[order], many[order]
+        entry = read("hs", np.uint32).astype(np.uint64) << np.uint64(32)
+        entry |= np.repeat(place[of], read("counts", np.uint32))
+        entry.sort()
+        edge = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+        many = np.diff(np.r_[edge, len(entry)]).astype(np.int32)
+        entry = entry[edge]
+        h, cls = (entry >> np.uint64(32)).astype(np.uint32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        del entry, edge
         n = sizes[cls]
         fits = (h[1:] == h[:-1]) & (100 * n[:-1] >= percent * n[1:])  # of next sizes; others are further apart
         keep = np.r_[fits, False] | np.r_[False, fits]
-        h, cls, many = h[keep], cls[keep], many[keep]
+        h, cls, many = h[keep], cls[keep].astype(np.int64), many[keep]
+        turn = np.empty(len(keys), np.int64)  # pivots first; the same in all blocks
+        turn[np.lexsort((keys, -scores / sizes))] = np.arange(len(keys))
         if not len(h):
             return _MEMBERS.empty_table()
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])

@@ -35,6 +35,7 @@ BROADCAST_GRAMS = 5_000_000
 _START, _END = 0x110000, 0x110001
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
+_SLICE = 80_000  # words whose n-grams are worked out at once
 _TASK_WORDS = 200_000  # distinct words that a counting task holds before it emits their n-grams
 
 
@@ -71,15 +72,17 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     good: dict = defaultdict(Counter)
     bad: dict = defaultdict(set)
 
-    def flush(lang: str) -> pa.RecordBatch:
+    def flush(lang: str) -> Iterator[pa.RecordBatch]:
         seen = good.pop(lang, Counter())
-        other = [w for w in bad.pop(lang, ()) if w not in seen]
-        x, y, of = _symbols([*seen, *other])
-        weights = np.array([*seen.values(), *[0] * len(other)], np.int64)[of]
-        order = np.lexsort((x, y))
-        x, y, weights = x[order], y[order], weights[order]
-        edge = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(edge), pa.string()), pa.array(x[edge]), pa.array(y[edge]), pa.array(np.add.reduceat(weights, edge))], ["lang", "x", "y", "c"])
+        tokens = [*seen, *(w for w in bad.pop(lang, ()) if w not in seen)]
+        for i in range(0, len(tokens), _SLICE):
+            part = tokens[i : i + _SLICE]
+            x, y, of = _symbols(part)
+            weights = np.array([seen[w] for w in part], np.int64)[of]  # 0 for words of failing documents only
+            order = np.lexsort((x, y))
+            x, y, weights = x[order], y[order], weights[order]
+            edge = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(edge), pa.string()), pa.array(x[edge]), pa.array(y[edge]), pa.array(np.add.reduceat(weights, edge))], ["lang", "x", "y", "c"])
 
     for batch in chunks(batches):
         token_lists, counts = rules(batch.column("text").to_pylist())
@@ -89,9 +92,9 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (bad if fail else good)[lang or ""].update(tokens)
         if sum(map(len, good.values())) + sum(map(len, bad.values())) > _TASK_WORDS:
             for lang in {*good, *bad}:
-                yield flush(lang)
+                yield from flush(lang)
     for lang in {*good, *bad}:
-        yield flush(lang)
+        yield from flush(lang)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -214,8 +217,8 @@ def _scorer(model):
                 for lang in set(langs):
                     known = memo[lang]
                     new = list({w for x, t in zip(langs, token_lists) if x == lang for w in t if w not in known})
-                    for i in range(0, len(new), 50_000):
-                        part = new[i : i + 50_000]
+                    for i in range(0, len(new), 25_000):
+                        part = new[i : i + 25_000]
                         known.update(zip(part, model.value.log_probs(lang, part).tolist()))
                 last = pa.array([sum(map(memo[x].__getitem__, t)) for x, t in zip(langs, token_lists)], pa.float64())
             else:
