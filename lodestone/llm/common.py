@@ -8,10 +8,12 @@ is done on UTF-8 bytes.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,22 @@ def using(*memos: dict) -> None:
             memo.clear()
 
 
+@cache
+def one_thread() -> bool:
+    """Keeps this process's matrix products to one thread: a task has one core.  Whether a library was found that can be told so."""
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split(maxsplit=5)[5].strip() for line in f if "openblas" in line}
+        for path in paths:
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(lib := ctypes.CDLL(path), name):
+                    getattr(lib, name)(ctypes.c_int(1))
+                    return True
+    except OSError:
+        pass
+    return False
+
+
 def windows(h: np.ndarray, k: int, base: int) -> np.ndarray:
     """Hashes of all k consecutive values: a polynomial in an odd base modulo 2^64, by doubling."""
     n = len(h) - k + 1

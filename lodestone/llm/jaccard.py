@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CHUNK_WORDS, HASHES, chunks, components, mix, stored, using, windows, words
+from lodestone.llm.common import CHUNK_WORDS, HASHES, chunks, components, mix, one_thread, stored, using, windows, words
 
 SHINGLE = 5
 PERCENT = 75
@@ -275,6 +275,7 @@ def _multiplier(percent: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, sets = None, [], []
+        using(), one_thread()
 
         def done() -> pa.RecordBatch:
             a, b = stars(sets, percent)

@@ -1,27 +1,32 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation.
 
-The model predicts a word from the two words before it.  All head words (the
-most frequent ``HEAD``, or n ** ``GROWTH`` of n training tokens if that is more)
-and the end of a text have vectors, as contexts and as targets; only the words
-beyond share one context and the group OTHER, within which a word has its
-smoothed relative frequency.  The output is factored: head words are dealt by
-frequency to about as many groups as the square root of their number, and
+The model predicts a word from the two words before it.  The most frequent words
+(``VECTORS``, or n ** ``GROWTH`` of n training tokens if that is more) and the end
+of a text have vectors of their own, as contexts and as targets.  All other
+words share vectors by a hash of their last ``SUFFIX`` bytes: each such class is a
+context and a group of targets, within which a word has its smoothed relative
+frequency.  The output is factored: words with vectors are dealt by frequency to
+about as many groups as the square root of their number, and
 P(w | u, v) = P(group | u, v) P(w | group, u, v), both softmaxes of
 (C2[u] + C1[v]) . R[x] + b[x].  So every text has a probability.
 
-Training words are counted by Spark.  Each training task runs over all of its
-documents once, in numpy, against noise drawn from the groups' and the words'
-frequencies; a row of the parameters is averaged over the tasks by its uses.
-Token log probabilities are exact: groups and members are summed for each token,
-but for pairs of the most frequent contexts, whose sums over groups are kept.
-
-Counts of the head words go to the workers; those of all other words meet the
-documents in a join.
+Training words are counted by Spark.  Documents are dealt by hash to shards of a
+size that only the counts decide, and sorted there; so the model depends on the
+documents, not on how they lie in files or tasks.  In each of ``ROUNDS`` rounds
+every shard is run over once, in numpy, from the common parameters, against noise
+drawn from the groups' and the words' frequencies; a row of the parameters is
+averaged over the shards by its uses.  Token log probabilities are exact: groups
+and members are summed for each token, but for pairs of the most frequent
+contexts, whose sums over groups are kept.
+
+Counts of ``HEAD`` words (or n ** 0.6) go to the workers; those of all other words
+meet the documents in a join.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -31,15 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, stored
+from lodestone.llm.common import chunks, one_thread, stored, using
 
-VOCAB, DIM, NOISE, BATCH, RATE = 512, 16, 48, 8192, 0.05
-HEAD, GROWTH = 120_000, 0.6
-WORD_NOISE, TASK_SHARE, ROWS = 8, 40, 8192  # noise words of a target's group; tokens of a task for each word with a vector at least; parameter rows in a record
+VOCAB, DIM, NOISE, BATCH, RATE = 512, 16, 32, 2048, 0.15
+HEAD, COUNTED = 120_000, 0.6
+VECTORS, GROWTH, SUFFIX, ROUNDS = 4096, 0.5, 3, 1
+WORD_NOISE, SHARD, SHARD_SHARE, ROWS = 2, 2_000_000, 40, 8192  # noise words of a target's group; tokens of a shard, and for each word with a vector, at least; parameter rows in a record
+ROW_BLOCK = 1024  # tokens whose scores are worked out at once: they stay in the cache
 FOLD, FOLDS = 2, 7
 END = b""  # no word is empty
 _FLUSH = 300_000
-OTHER = 0  # the group of all words beyond the head
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -76,31 +82,57 @@ def _head(counts: DataFrame, most: int) -> tuple[int, list]:
     return least, sorted(zip(rows["w"], rows["c"]), key=lambda x: (-x[1], x[0]))
 
 
+def bucket(word: bytes, buckets: int) -> int:
+    """The class of a word without vectors of its own."""
+    return zlib.crc32(word[-SUFFIX:]) % buckets
+
+
 class Tables:
-    """What a worker needs to know of the counts: groups and log frequencies of the head words."""
+    """What a worker needs to know of the counts: contexts, groups and log frequencies of the head words.
+
+    Contexts and output groups from 0 are the classes of words without vectors;
+    then come words (as contexts) or groups of words.  tail: (words, tokens) of
+    each class beyond the head.
+    """
 
-    def __init__(self, head: list, n: int, v: int):
+    def __init__(self, head: list, n: int, v: int, most: int, tail=lambda buckets: {}):
         self.index = {w: i for i, (w, _) in enumerate(head)}
-        self.words, self.start = len(head), len(head) + 1  # contexts: the head words, all others, the start
         c = np.array([c for _, c in head], float)
-        root = np.cumsum(np.sqrt(c))
-        _, group = np.unique(np.floor(root / (root[-1] + 1) * math.ceil(math.sqrt(len(c)))) if len(c) else c, return_inverse=True)
-        self.group = np.r_[group + 1, OTHER].astype(np.int64)  # the last is for words beyond the head
-        self.edges = np.searchsorted(self.group[:-1], np.arange(self.group.max() + 2))  # the members of group g stand from edges[g] to edges[g + 1]
-        self.n_other, self.v_other = max(0, n - int(c.sum())), v - len(head)
-        in_group = np.bincount(self.group[:-1], weights=c, minlength=int(self.group.max()) + 1)
-        in_group[OTHER] = self.n_other
+        words = next((w for w in range(min(most, len(head)), 0, -1) if w == len(head) or c[w - 1] > c[w]), 0)  # equal counts are treated alike
+        self.buckets = max(16, math.ceil(math.sqrt(words)))
+        self.words, self.unknown = words, len(head)
+        of = np.array([bucket(w, self.buckets) for w, _ in head[words:]], np.int64)
+        root = np.cumsum(np.sqrt(c[:words]))
+        _, group = np.unique(np.floor(root / (root[-1] + 1) * math.ceil(math.sqrt(words))), return_inverse=True) if words else (None, np.empty(0, np.int64))
+        self.group = np.r_[self.buckets + group, of].astype(np.int64)  # of each head word
+        self.context = np.r_[self.buckets + np.arange(words), of].astype(np.int64)
+        self.groups, self.contexts = int(self.group.max(initial=self.buckets - 1)) + 1, self.buckets + words + 1
+        self.start = self.contexts - 1
+        self.edges = np.searchsorted(self.group[:words], np.arange(self.groups + 1))  # the words of group g stand from edges[g] to edges[g + 1]
+        far, near = tail(self.buckets), np.bincount(of, minlength=self.buckets)
+        types = near + [far.get(k, (0, 0))[0] for k in range(self.buckets)]
+        tokens = np.bincount(of, weights=c[words:], minlength=self.buckets) + [far.get(k, (0, 0))[1] for k in range(self.buckets)]
+        in_group = np.r_[tokens, np.bincount(group, weights=c[:words], minlength=self.groups - self.buckets)]
         self.q = (in_group + 1) / (in_group.sum() + len(in_group))
-        self.cum = np.r_[0.0, np.cumsum(c)]
-        self.share = np.log(c / in_group[self.group[:-1]]).astype(np.float32)
+        self.cum = np.r_[0.0, np.cumsum(c[:words])]
+        self.share = np.log(c[:words] / in_group[self.group[:words]]).astype(np.float32)
+        self.rest = np.log10(tokens + types + 1)  # a word beyond has (count + 1) / (tokens + types + 1) of its class
+        self.within = np.r_[np.zeros(words), np.log10(c[words:] + 1) - self.rest[of]]
         self.base = np.array([*np.log10((c + 1) / (n + v + 1)), 0.0])
 
-    def look(self, texts: list) -> tuple[list, np.ndarray, np.ndarray]:
-        """The token lists, the tokens' head indices (the last for none), and their number in each text."""
+    def look(self, texts: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The token lists, the tokens' head indices (the last for none), their contexts and groups, and their number in each text."""
         lists = [tokens(t) for t in texts]
-        none, get = self.words, self.index.get
+        none, get = self.unknown, self.index.get
         flat = np.fromiter((get(w, none) for t in lists for w in t), np.int64, sum(map(len, lists)))
-        return lists, flat, np.array([len(t) for t in lists])
+        sizes = np.array([len(t) for t in lists])
+        far = np.flatnonzero(flat == none)
+        known = np.minimum(flat, max(none - 1, 0))
+        context, group = (x[known] if none else np.zeros(len(flat), np.int64) for x in (self.context, self.group))
+        if len(far):
+            first, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+            context[far] = group[far] = [bucket(lists[d][i], self.buckets) for d, i in zip(doc[far].tolist(), (far - first[doc[far]]).tolist())]
+        return lists, flat, context, group, sizes
 
 
 def _contexts(at: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +148,7 @@ def _contexts(at: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray
 def initial(q: np.ndarray, t: Tables | None = None) -> dict[str, np.ndarray]:
     """Parameters over the groups of frequencies q, and over the head words of t."""
     rng = np.random.default_rng(7)
-    contexts = t.start + 1 if t else len(q) + 1
+    contexts = t.contexts if t else len(q) + 1
     of = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
     p = {"R": of(len(q)), "C1": of(contexts), "C2": of(contexts), "b": np.log(q).astype(np.float32)}
     return p | ({"R2": of(t.words), "b2": t.share.copy()} if t else {})
@@ -125,32 +157,44 @@ def initial(q: np.ndarray, t: Tables | None = None) -> dict[str, np.ndarray]:
 class Trainer:
     """Noise-contrastive steps (with Adagrad for each row) from the common start."""
 
-    def __init__(self, q: np.ndarray, seed: int, t: Tables | None = None):
-        self.p, self.t, self.rng = initial(q, t), t, np.random.default_rng(seed)
-        self.sq = {k: np.full(len(v), 1e-2, np.float32) for k, v in self.p.items()}
+    def __init__(self, q: np.ndarray, seed: int, t: Tables | None = None, p: dict | None = None):
+        self.p, self.t, self.rng = {k: v.copy() for k, v in p.items()} if p else initial(q, t), t, np.random.default_rng(seed)
+        self.sq = {k: np.full(len(v), 1.0, np.float32) for k, v in self.p.items()}
         self.uses = {k: np.zeros(len(v), np.float32) for k, v in self.p.items()}
-        self.noise = np.log(NOISE * q).astype(np.float32)
-        self.cum, self.seen = np.cumsum(q), 0
-
-    def _move(self, key: str, at: np.ndarray, grad: np.ndarray, uses: np.ndarray | None = None) -> None:
-        """Adds to the rows ``at`` the mean of their gradients; a row may come more than once."""
-        rows, of = np.unique(at, return_inverse=True)
-        grad = grad.reshape(len(at), -1)
-        n = np.bincount(of, weights=uses, minlength=len(rows))
-        g = np.stack([np.bincount(of, weights=grad[:, k], minlength=len(rows)) for k in range(grad.shape[1])], axis=1) / n[:, None]
+        self.noise, self.weight, self.seen = np.log(NOISE * q).astype(np.float32), (NOISE * q).astype(np.float32), 0
+
+    def _move(self, key: str, at: np.ndarray, grad: np.ndarray) -> None:
+        """Moves the rows ``at`` along their gradients' sums; a row may come more than once."""
+        order = np.argsort(at.astype(np.uint16) if len(self.p[key]) <= 65536 else at, kind="stable")  # 16 bits are sorted by radix
+        at = at[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        g = np.add.reduceat(grad.reshape(len(at), -1)[order].astype(np.float32, copy=False), first, axis=0)
+        self._along(key, at[first], g, np.diff(np.r_[first, len(at)]).astype(np.float32))
+
+    def _along(self, key: str, rows, g: np.ndarray, uses) -> None:
         self.sq[key][rows] += (g * g).mean(axis=1)
         self.p[key][rows] += (RATE * g / np.sqrt(self.sq[key][rows])[:, None]).reshape(self.p[key][rows].shape)
-        self.uses[key][rows] += n
+        self.uses[key][rows] += uses
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, x: np.ndarray | None = None) -> None:
-        """Contexts u, v; groups w; head words x."""
+        """Contexts u, v; groups w; head words x.
+
+        The noise over groups is taken at its expectation, so no group's share of
+        it depends on the draw; that over the words of a group is drawn.
+        """
         p, n = self.p, len(w)
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
-        ctx, target, other = p["C2"][u] + p["C1"][v], p["R"][w], p["R"][noise]
-        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", ctx, target) + p["b"][w] - self.noise[w], -30, 30)))  # 1 - P(true)
-        down = 1 / (1 + np.exp(-np.clip(ctx @ other.T + p["b"][noise] - self.noise[noise], -30, 30)))
-        d_ctx = up[:, None] * target - down @ other
-        moves = [("R", np.r_[w, noise], np.r_[up[:, None] * ctx, -(down.T @ ctx)], np.r_[np.ones(n), np.full(NOISE, n)]), ("b", np.r_[w, noise], np.r_[up, -down.sum(axis=0)], np.r_[np.ones(n), np.full(NOISE, n)])]
+        ctx = p["C2"][u] + p["C1"][v]
+        pull = ctx @ p["R"].T
+        pull += np.clip(p["b"] - self.noise, -60, 60)
+        np.clip(pull, -30, 30, out=pull)
+        true = 1 / (1 + np.exp(pull[np.arange(n), w]))  # 1 - P(true)
+        np.exp(np.negative(pull, out=pull), out=pull)
+        pull += 1
+        np.divide(-self.weight, pull, out=pull)  # noise of a group, times how likely it is taken for true
+        pull[np.arange(n), w] += true
+        d_ctx, every = pull @ p["R"], np.bincount(w, minlength=len(self.weight)).astype(np.float32)
+        moves = []
+        whole = [("R", pull.T @ ctx), ("b", pull.sum(axis=0)[:, None])]
         if x is not None and len(inner := np.flatnonzero(x < self.t.words)):
             t, y, c = self.t, x[inner], ctx[inner]
             low, high = t.cum[t.edges[w[inner]]], t.cum[t.edges[w[inner] + 1]]
@@ -161,53 +205,67 @@ class Trainer:
             down = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", c, known) + p["b2"][drawn] - t.share[drawn] - k, -30, 30)))
             d_ctx[inner] += up[:, None] * p["R2"][y] - np.einsum("ik,ikj->ij", down, known)
             at = np.r_[y, drawn.ravel()]
-            moves += [("R2", at, np.r_[up[:, None] * c, -(down[:, :, None] * c[:, None, :]).reshape(-1, DIM)], None), ("b2", at, np.r_[up, -down.ravel()], None)]
-        for move in (("C1", v, d_ctx, None), ("C2", u, d_ctx, None), *moves):
+            moves += [("R2", at, np.r_[up[:, None] * c, -(down[:, :, None] * c[:, None, :]).reshape(-1, DIM)]), ("b2", at, np.r_[up, -down.ravel()])]
+        for key, grad in whole:
+            self._along(key, slice(None), grad, every)
+        for move in (("C1", v, d_ctx), ("C2", u, d_ctx), *moves):
             self._move(*move)
         self.seen += n
 
 
 def train(docs: DataFrame, tables, n_tokens: int = 0) -> dict[str, np.ndarray]:
-    """One pass of every task over its documents, then the mean of each row by its uses in the tasks."""
+    """Rounds over all shards; each ends in the mean of each row of the parameters by its uses in the shards.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tables.value
-        trainer, rest = Trainer(t.q, TaskContext.get().partitionId(), t), [np.empty(0, np.int64)] * 4
-        for batch in chunks(batches):
-            _, flat, sizes = t.look(batch.column("text").to_pylist())
-            all_ = [np.concatenate(x) for x in zip(rest, (*_contexts(flat, sizes, t.start), t.group[flat], flat))]
-            whole = len(flat) + len(rest[0])
-            whole -= whole % BATCH
-            for i in range(0, whole, BATCH):
-                trainer.step(*(x[i : i + BATCH] for x in all_))
-            rest = [x[whole:] for x in all_]
-        if len(rest[0]):
-            trainer.step(*rest)
-        if trainer.seen:
-            for k, a in trainer.p.items():
-                for i in range(0, len(a), ROWS):
-                    n = trainer.uses[k][i : i + ROWS] + np.float32(1e-6)  # a row without uses keeps its start
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i], pa.int64()), pa.array([n.tobytes()], pa.binary()), pa.array([a[i : i + ROWS].tobytes()], pa.binary())], ["k", "at", "n", "p"])
+    docs: (k, text).
+    """
+    t, spark = tables.value, docs.sparkSession
+    shards = max(1, n_tokens // max(SHARD, SHARD_SHARE * (t.words + 1)))
+    rows = docs.select("text", F.xxhash64(F.col("k").cast("string"), "text").alias("h")).repartition(shards, "h").sortWithinPartitions("h")
+
+    def run(start, turn: int):
+        def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            using(), one_thread()
+            t = tables.value
+            trainer, rest = Trainer(t.q, 1000 * turn + TaskContext.get().partitionId(), t, start.value if start else None), [np.empty(0, np.int64)] * 4
+            for batch in chunks(batches):
+                _, flat, context, group, sizes = t.look(batch.column("text").to_pylist())
+                all_ = [np.concatenate(x) for x in zip(rest, (*_contexts(context, sizes, t.start), group, flat))]
+                whole = len(all_[0]) - len(all_[0]) % BATCH
+                for i in range(0, whole, BATCH):
+                    trainer.step(*(x[i : i + BATCH] for x in all_))
+                rest = [x[whole:] for x in all_]
+            if len(rest[0]):
+                trainer.step(*rest)
+            if trainer.seen:
+                for k, a in trainer.p.items():
+                    for i in range(0, len(a), ROWS):
+                        n = trainer.uses[k][i : i + ROWS] + np.float32(1e-6)  # a row without uses keeps its start
+                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i], pa.int64()), pa.array([n.tobytes()], pa.binary()), pa.array([a[i : i + ROWS].tobytes()], pa.binary())], ["k", "at", "n", "p"])
+
+        return steps
 
     def mean(table: pa.Table) -> pa.Table:
         total = uses = 0.0
-        for n, p in zip(table.column("n").to_pylist(), table.column("p").to_pylist()):
+        for n, p in sorted(zip(table.column("n").to_pylist(), table.column("p").to_pylist())):  # sums in one order
             n = np.frombuffer(n, np.float32).astype(float)
             total, uses = total + np.frombuffer(p, np.float32).reshape(len(n), -1) * n[:, None], uses + n
         return pa.table({"k": table.column("k")[:1], "at": table.column("at")[:1], "n": pa.array([uses.astype(np.float32).tobytes()], pa.binary()), "p": pa.array([(total / uses[:, None]).astype(np.float32).tobytes()], pa.binary())})
 
-    ddl, t = "k string, at long, n binary, p binary", tables.value
-    # so few tasks that their parameters stay a part of the input; without a shuffle
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, n_tokens // (TASK_SHARE * (t.words + 1)))
-    done = stored(docs.select("text").coalesce(tasks).mapInArrow(run, ddl), "parameters")
-    out = initial(t.q, t)
-    for r in done.groupBy("k", "at").applyInArrow(mean, ddl).toArrow().to_pylist():  # as much as one model
-        a = np.frombuffer(r["p"], np.float32)
-        out[r["k"]].reshape(-1)[r["at"] * out[r["k"]][:1].size :][: len(a)] = a
+    ddl, start, out = "k string, at long, n binary, p binary", None, initial(t.q, t)
+    for turn in range(ROUNDS):
+        done = stored(rows.mapInArrow(run(start, turn), ddl), "parameters")
+        out = {k: v.copy() for k, v in out.items()}
+        for r in done.groupBy("k", "at").applyInArrow(mean, ddl).toArrow().to_pylist():  # as much as one model
+            a = np.frombuffer(r["p"], np.float32)
+            out[r["k"]].reshape(-1)[r["at"] * out[r["k"]][:1].size :][: len(a)] = a
+        start = spark.sparkContext.broadcast(out)
     return out
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over each row of a small array."""
+    if s.size and -60 < float(s.min()) and float(s.max()) < 60:
+        return np.log(np.exp(s).sum(axis=1))
     top = s.max(axis=1)
     return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
 
@@ -221,8 +279,8 @@ def normalisers(p: dict[str, np.ndarray]) -> np.ndarray:
 def class_log_probs(p, z: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """log10 probability of each group w after the contexts u, v."""
     out = np.empty(len(w))
-    for i in range(0, len(w), 10_000):
-        s = slice(i, i + 10_000)
+    for i in range(0, len(w), ROW_BLOCK):
+        s = slice(i, i + ROW_BLOCK)
         ctx, norm = p["C2"][u[s]] + p["C1"][v[s]], np.empty(len(w[s]))
         kept = (u[s] < len(z)) & (v[s] < len(z))
         norm[kept] = z[u[s][kept], v[s][kept]]
@@ -234,26 +292,29 @@ def class_log_probs(p, z: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarra
 
 def word_log_probs(p, t: Tables, u: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
     """log10 probability of each head word x within its group after the contexts u, v; 0 for words beyond the head."""
-    out, groups = np.zeros(len(x)), t.group[x]
-    order = np.argsort(groups, kind="stable")
-    stops = np.searchsorted(groups[order], np.arange(len(t.edges)))
-    for g in np.unique(groups).tolist():
+    out = np.r_[t.within, 0.0][x]
+    own = np.flatnonzero(x < t.words)
+    own = own[np.argsort(x[own], kind="stable")]
+    stops = np.searchsorted(t.group[x[own]], np.arange(t.groups + 1))
+    for g in np.flatnonzero(np.diff(stops)).tolist():
         a, b = t.edges[g], t.edges[g + 1]
-        for i in range(stops[g], stops[g + 1], 10_000) if b - a > 1 else ():
-            at = order[i : min(i + 10_000, stops[g + 1])]
+        for i in range(stops[g], stops[g + 1], ROW_BLOCK) if b - a > 1 else ():
+            at = own[i : min(i + ROW_BLOCK, stops[g + 1])]
             s = (p["C2"][u[at]] + p["C1"][v[at]]) @ p["R2"][a:b].T + p["b2"][a:b]
-            out[at] = s[np.arange(len(at)), x[at] - a] - _log_sum(s)
-    return out / math.log(10)
+            out[at] = (s[np.arange(len(at)), x[at] - a] - _log_sum(s)) / math.log(10)
+    return out
 
 
 def _scorer(tables, model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using(), one_thread()
         t, (p, z) = tables.value, model.value
-        none, row = t.words, TaskContext.get().partitionId() << 36
+        none, row = t.unknown, TaskContext.get().partitionId() << 36
         for batch in chunks(batches):
-            lists, flat, sizes = t.look(batch.column("text").to_pylist())
-            near = _contexts(flat, sizes, t.start)
-            logp = class_log_probs(p, z, *near, t.group[flat]) + word_log_probs(p, t, *near, flat)
+            lists, flat, context, group, sizes = t.look(batch.column("text").to_pylist())
+            near = _contexts(context, sizes, t.start)
+            logp = class_log_probs(p, z, *near, group) + word_log_probs(p, t, *near, flat)
+            logp[flat == none] -= t.rest[group[flat == none]]  # and the join adds log10(count + 1)
             first = np.cumsum(sizes) - sizes
             add = lambda x: np.add.reduceat(x, first) if len(first) else np.empty(0)  # noqa: B023, E731
             rare: list[list] = [[] for _ in lists]
@@ -284,15 +345,19 @@ def scored(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     learn = rows.where("not held_out")
     counts = stored(word_counts(learn), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least, head = _head(counts, max(HEAD, int(n**GROWTH)))
-    tables = spark.sparkContext.broadcast(Tables(head, n, v))
+    least, head = _head(counts, max(HEAD, int(n**COUNTED)))
+
+    def tail(buckets: int) -> dict:
+        each = counts.where(F.col("c") < least).groupBy((F.crc32(F.expr(f"substring(w, -{SUFFIX}, {SUFFIX})")) % buckets).alias("b"))
+        return {r["b"]: (r["v"], r["n"]) for r in each.agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}  # a row for each class
+
+    tables = spark.sparkContext.broadcast(Tables(head, n, v, max(VECTORS, int(n**GROWTH)), tail))
     p = train(learn, tables, n)
     model = spark.sparkContext.broadcast((p, normalisers(p)))
     ddl = f"k {kind}, held_out boolean, row long, n_tokens long, known long, base double, logp double, tail array<struct<w: binary, f: long>>"
     part = stored(rows.mapInArrow(_scorer(tables, model), ddl), "scores")
-    other = tables.value.n_other + tables.value.v_other + 1
     words = part.select("row", F.explode("tail").alias("x")).select("row", "x.w", "x.f")
     c = F.coalesce("c", F.lit(0))
-    rare = words.join(counts.where(F.col("c") < least), "w", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("f")).otherwise(0)).alias("k2"), F.sum(F.col("f") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("b2"), F.sum(F.col("f") * F.log10((c + 1) / F.lit(float(other)))).alias("s2"))
+    rare = words.join(counts.where(F.col("c") < least), "w", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("f")).otherwise(0)).alias("k2"), F.sum(F.col("f") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("b2"), F.sum(F.col("f") * F.log10(c + F.lit(1.0))).alias("s2"))
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return part.drop("tail").join(rare, "row", "left").select(F.col("k").alias(key), "held_out", "n_tokens", add("known", "k2").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), add("base", "b2").alias("base_score"), add("logp", "s2").alias("score"))

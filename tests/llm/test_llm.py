@@ -403,23 +403,39 @@ def test_lm_is_normalised_and_learns():
     assert lm.class_log_probs(trainer.p, z, u[:4], v[:4], w[:4]).mean() > math.log10(4 / lm.VOCAB)
 
 
-def test_lm_learns_all_head_words():
+@pytest.mark.parametrize("most", [2000, 400])
+def test_lm_learns_words_and_classes(most):
+    """Probabilities over all words and the unseen sum to one; words in and beyond the vectors are learnt."""
     r = random.Random(3)
-    head = sorted([(b"", 500), *((b"w%d" % i, 900 - i // 2) for i in range(1000))], key=lambda x: (-x[1], x[0]))
-    t = lm.Tables(head, sum(c for _, c in head), len(head) + 5)
-    near = [t.index[b"w%d" % i] for i in (700, 800)]  # beyond the first 510
-    after = [t.index[b"w%d" % i] for i in (750, 990)]
+    head = sorted([(b"", 500), *((b"w%03d" % i, 900 - i // 2) for i in range(1000))], key=lambda x: (-x[1], x[0]))
+    t = lm.Tables(head, sum(c for _, c in head), len(head), most)
+    assert t.words == min(most, len(head)) or t.words == most - most % 2 or most - 2 <= t.words
+    near = [t.index[b"w%03d" % i] for i in (700, 801)]
+    after = [t.index[b"w%03d" % i] for i in (750, 993)]
     trainer = lm.Trainer(t.q, 1, t)
     v = np.array([r.randrange(2) for _ in range(8192)])
     for _ in range(80):
         x = np.array(after)[v]
-        trainer.step(np.full(8192, t.start), np.array(near)[v], t.group[x], x)
-    z, every = lm.normalisers(trainer.p), np.arange(t.words + 1)
+        trainer.step(np.full(8192, t.start), t.context[np.array(near)[v]], t.group[x], x)
+    z, every = lm.normalisers(trainer.p), np.arange(t.unknown)
     for i in range(2):
-        u, v = np.full(t.words + 1, t.start), np.full(t.words + 1, near[i])
-        p = 10 ** (lm.class_log_probs(trainer.p, z, u, v, t.group[every]) + lm.word_log_probs(trainer.p, t, u, v, every))
-        assert p.sum() == pytest.approx(1, abs=1e-3)
-        assert p[after[i]] > 3 * p[after[1 - i]] and p[after[i]] > 10 / t.words
+        u, v = np.full(t.unknown, t.start), np.full(t.unknown, t.context[near[i]])
+        p = 10 ** (lm.class_log_probs(trainer.p, z, u, v, t.group[:-1] if len(t.group) > t.unknown else t.group) + lm.word_log_probs(trainer.p, t, u, v, every))
+        unseen = 10 ** (lm.class_log_probs(trainer.p, z, u[: t.buckets], v[: t.buckets], np.arange(t.buckets)) - t.rest)
+        assert p.sum() + unseen.sum() == pytest.approx(1, abs=1e-3)
+        assert p[after[i]] > 3 * p[after[1 - i]]
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 300)  # several shards
+    monkeypatch.setattr(lm, "SHARD_SHARE", 0)
+    monkeypatch.setattr(lm, "HEAD", 60)
+    monkeypatch.setattr(lm, "COUNTED", 0.1)
+    table = spark.createDataFrame(ROWS, SCHEMA)
+    scores = [sorted((x.doc_id, x.n_tokens, x.n_known, round(x.base_score, 6), round(x.score, 6)) for x in lm.scored(table.repartition(k)).collect()) for k in (1, 7)]
+    assert scores[0] == scores[1]
+    for i, n_tokens, *_ in scores[0]:
+        assert n_tokens == len(words(next(t for d, t, *_ in ROWS if d == i))) + 1
 
 
 def test_urls(spark):
