@@ -183,10 +183,11 @@ def rules(texts: list[str | None]) -> tuple[list[list[bytes]], dict[str, np.ndar
     doc = np.repeat(np.arange(len(texts)), n)
     repeats = np.zeros(len(texts), np.int64)
     if len(h) >= 3:
-        inside = doc[2:] == doc[:-2]
-        keys = windows(h, 3, 0x9E3779B97F4A7C15) + doc[:-2].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        inside = np.flatnonzero(doc[2:] == doc[:-2])  # windows of one text
+        keys = (windows(h, 3, 0x9E3779B97F4A7C15) + doc[:-2].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[inside]
         _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        twice = (counts[at] > 1) & inside
+        twice = np.zeros(len(h) - 2, bool)
+        twice[inside] = counts[at] > 1
         covered = np.zeros(len(h), bool)
         for k in range(3):
             covered[k : k + len(twice)] |= twice
@@ -197,6 +198,19 @@ def rules(texts: list[str | None]) -> tuple[list[list[bytes]], dict[str, np.ndar
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+def _counter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    using(HASHES)
+    for batch in chunks(batches):
+        _, counts = rules(batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts.values())], [batch.schema.names[0], *counts])
+
+
+def counted(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, the five counts, base_failed) for every row: the counting rules alone."""
+    rows = docs.select(F.col(key).alias("_key"), "text").mapInArrow(_counter, f"_key {docs.schema[key].dataType.simpleString()}, {_COUNTS}")
+    return rows.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"))).withColumnRenamed("_key", key)
+
+
 def _scorer(model):
     """The other columns, the five counts, and the log probability of the whole text; without a model, the text's n-grams instead."""
 
@@ -271,3 +285,17 @@ def filter_quality(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     good = scored(rows, "_id").where("kept").select(F.col("_id.k").alias("_k"), F.col("_id.r").alias("_r"), F.col("lang").alias("_l")).distinct()
     same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_rid") == F.col("_r")) & F.col("lang").eqNullSafe(F.col("_l"))
     return docs.withColumn("_rid", F.xxhash64("text")).join(good, same, "left_semi").drop("_rid")
+
+
+#: The counting rules; the verdict of the model cannot be said in SQL.
+ORACLE_COUNTS = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+m AS (SELECT rid, k FROM g GROUP BY rid, k HAVING count(*) > 1),
+c AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(generate_series(i, i + 2)) AS j FROM g JOIN m USING (rid, k)) GROUP BY rid),
+l AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN c USING (rid) LEFT JOIN l USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a
+"""

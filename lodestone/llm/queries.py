@@ -51,6 +51,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).withColumn("ratio", F.round("ratio", 6))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's rules alone, which SQL can say."""
+    return urls.ruled(table(spark, sf_dir, "pages"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
@@ -59,9 +64,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents")).drop("lang").withColumn("log_ppl", F.round("log_ppl", 6))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's counting rules alone, which SQL can say."""
+    return quality.counted(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_decontamination, op3_substring_dedup, op4_secret_scan, op5_token_store, op6_mixing, op7_ngram_jaccard, op8_url_filter, op9_lm_scoring, op10_quality_rules)
+    for f in (op1_license_scan, op2_decontamination, op3_substring_dedup, op4_secret_scan, op5_token_store, op6_mixing, op7_ngram_jaccard, op8_url_filter, op9_lm_scoring, op10_quality_rules, url_rules, quality_counts)
 }
 
-ORACLE = {"op6_mixing": mixing.ORACLE}
+ORACLE = {"op3_substring_dedup": substrings.ORACLE, "op6_mixing": mixing.ORACLE, "op7_ngram_jaccard": jaccard.ORACLE, "url_rules": urls.ORACLE_RULES, "quality_counts": quality.ORACLE_COUNTS}

@@ -217,3 +217,16 @@ def dedup_digest(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     whole, cut = dedup(docs, key)
     whole = whole.select(F.col("doc").alias(key), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return whole.unionByName(cut.select(F.col("doc").alias(key), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, doc_id, w, unnest(generate_series(1, greatest(len(w) - 49, 0))) AS i FROM d),
+x AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM x GROUP BY k),
+r AS (SELECT DISTINCT rid, unnest(generate_series(i, i + 49)) AS j FROM x JOIN f USING (k) WHERE first < doc_id),
+e AS (SELECT rid, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM d),
+k AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM e ANTI JOIN r USING (rid, j) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""

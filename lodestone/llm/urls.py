@@ -3,8 +3,8 @@
 Two variable-order Markov models with Witten-Bell smoothing (orders 0 to
 ``ORDER``) are counted from the host and path of the urls that the rules accept
 and reject.  A url without a rule is judged by the mean over its characters of
-log P(accepted) - log P(rejected), against a threshold calibrated on the judged
-urls: the point as many standard deviations from one class's mean as from the
+log P(accepted) - log P(rejected), against a threshold calibrated on held-out
+judged urls: the point as many standard deviations from one class's mean as from the
 other's.
 
 Only DataFrame operations: contexts are counted as strings, probabilities are
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import stored
 
 ORDER = 4
+HELD, FOLDS = 0, 5  # urls whose hash falls in the held-out fold set the threshold and are not counted
 ALPHABET = 256  # symbols of the order below 0
 BROADCAST_ROWS = 200_000
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -77,29 +78,61 @@ def ratios(judged: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select("g", (F.log("pa") - F.log("pb")).alias("r"))
 
 
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """(key, host, path, rule, verdict, ratio) for every row; ratio is the mean log ratio of the method.
+def ruled(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+    """(key, host, path, rule, ruled) for every row; rule and ruled are null where no rule fits."""
+    rows = pages.select(F.col(key).alias("_key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = rows.withColumn("f", rule_of(F.col("host"), F.col("path"), rules)).select("_key", "host", "path", "f.rule", F.col("f.verdict").alias("ruled"))
+    return rows if key in rows.columns else rows.withColumnRenamed("_key", key)
+
+
+def threshold(scores: DataFrame) -> float | None:
+    """The ratio as many standard deviations from one class's mean as from the other's; None without both classes.  scores: (ruled, ratio)."""
+    fit = {r["ruled"]: r for r in scores.where("ruled is not null").groupBy("ruled").agg(F.avg("ratio").alias("m"), F.coalesce(F.stddev_pop("ratio"), F.lit(0.0)).alias("s")).collect()}
+    if len(fit) < 2:
+        return None
+    a, b = fit["allow"], fit["block"]
+    spread = a["s"] + b["s"]
+    return (a["m"] * b["s"] + b["m"] * a["s"]) / spread if spread > 0 else (a["m"] + b["m"]) / 2
 
-    Without urls judged both ways there is nothing to learn: the rest is allowed.
+
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+    """(key, host, path, rule, verdict, ratio, held_out) for every row; ratio is the mean log ratio of the method.
+
+    A fifth of the urls with a rule, by hash, is held out of the counts and sets
+    the threshold (all of them, if either class has none held out).  Without urls
+    judged both ways there is nothing to learn: the rest is allowed.  A null url
+    or one without a scheme has empty host and path, no rule, and the verdict of
+    the empty url; repeated rows are counted once and judged alike; an empty
+    table gives an empty one.  The key may have any name.
     """
-    rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rows = rows.withColumn("f", rule_of(F.col("host"), F.col("path"), rules)).select(key, "host", "path", "f.rule", F.col("f.verdict").alias("ruled"))
+    rows = ruled(pages, key, url, rules)
+    name = "_key" if "_key" in rows.columns else key
     # equal urls are one url: counted together, judged once
-    urls = stored(rows.groupBy("host", "path", "ruled").agg(F.count("*").alias("n")), "urls")
+    fold = F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)) == HELD
+    urls = stored(rows.groupBy("host", "path", "ruled").agg(F.count("*").alias("n")).withColumn("held_out", fold), "urls")
     grams = _grams(urls)
-    judged = grams.where("ruled is not null").select("g", (F.col("ruled") == "allow").alias("allow"))
+    judged = grams.where("ruled is not null and not held_out").select("g", (F.col("ruled") == "allow").alias("allow"))
+    # each n-gram of a url once, with how often it has it
+    mine = grams.groupBy("host", "path", "g").agg(F.count("*").alias("f"))
     table = stored(ratios(judged, grams.select("g").distinct()), "ratios")
     small = table.count() <= BROADCAST_ROWS
-    scores = grams.join(F.broadcast(table) if small else table, "g").groupBy("host", "path", "ruled", "n").agg(F.avg("r").alias("ratio"))
-    scores = stored(scores, "scores")
-    fit = {r["ruled"]: r for r in scores.where("ruled is not null").groupBy("ruled").agg(F.avg("ratio").alias("m"), F.coalesce(F.stddev_pop("ratio"), F.lit(0.0)).alias("s")).collect()}
-    if len(fit) == 2:
-        a, b = fit["allow"], fit["block"]
-        spread = a["s"] + b["s"]
-        line = (a["m"] * b["s"] + b["m"] * a["s"]) / spread if spread > 0 else (a["m"] + b["m"]) / 2
-        verdict = F.when(F.col("ratio") >= line, "allow").otherwise("block")
-    else:
-        verdict = F.lit("allow")
-    known = scores.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "ratio", verdict.alias("_v"))
+    scores = mine.join(F.broadcast(table) if small else table, "g").groupBy("host", "path").agg((F.sum(F.col("r") * F.col("f")) / F.sum("f")).alias("ratio"))
+    scores = stored(urls.join(scores, ["host", "path"]), "scores")
+    line = threshold(scores.where("held_out"))
+    line = threshold(scores) if line is None else line
+    verdict = F.lit("allow") if line is None else F.when(F.col("ratio") >= line, "allow").otherwise("block")
+    known = scores.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "ratio", "held_out", verdict.alias("_v"))
     both = rows.join(known, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")))
-    return both.select(key, "host", "path", "rule", F.coalesce("ruled", "_v").alias("verdict"), "ratio")
+    return both.select(F.col(name).alias(key), *(F.col(c) for c in ("host", "path", "rule")), F.coalesce("ruled", "_v").alias("verdict"), "ratio", "held_out")
+
+
+#: The rules; the verdict of the method cannot be said in SQL.
+ORACLE_RULES = r"""
+WITH u AS (SELECT page_id, coalesce(strpos(url, '://'), 0) AS place, url FROM pages),
+p AS (SELECT page_id, CASE WHEN place > 0 THEN substr(url, place + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+r(name, start, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+b AS (SELECT page_id, arg_max(name || start, length(name || start)) AS rule, arg_max(verdict, length(name || start)) AS ruled
+      FROM h JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, ruled FROM h LEFT JOIN b USING (page_id)
+"""

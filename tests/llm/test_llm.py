@@ -438,6 +438,38 @@ def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
         assert n_tokens == len(words(next(t for d, t, *_ in ROWS if d == i))) + 1
 
 
+def test_rules_do_not_look_over_texts():
+    _, counts = quality.rules(["a b c d a b", "c e f", "x a b", "c"])
+    assert counts["n_repeat_words"].tolist() == [0, 0, 0, 0]
+
+
+def test_url_ratio_learns_and_sums(spark):
+    """Judged urls of two kinds: unruled ones of either kind go the right way; both models sum to one over the alphabet."""
+    r = random.Random(2)
+    good = lambda: "".join(r.choice(["news", "shop", "blog"]) + "/" for _ in range(3))
+    bad = lambda: "".join(r.choice(["xxz9", "qq7v", "zz0k"]) + "/" for _ in range(3))
+    rows = [(i, f"http://a{i % 7}.com/{good()}") for i in range(150)] + [(500 + i, f"http://b{i % 5}.net/es/{bad()}") for i in range(150)]
+    rows += [(1000 + i, f"http://c.org/{good()}{i}") for i in range(20)] + [(2000 + i, f"http://d.org/{bad()}{i}") for i in range(20)] + [(3000, None)]
+    out = urls.judge(spark.createDataFrame([(*x, "h") for x in rows], "host long, url string, path string"), key="host").select("*").collect()
+    assert len(out) == len(rows)
+    named = [(x[0], x[4]) for x in out if x[3] is None]
+    assert sum(v == "allow" for i, v in named if 1000 <= i < 1020) >= 18 and sum(v == "block" for i, v in named if 2000 < i < 2020) >= 17
+    judged = spark.createDataFrame([("\x02\x02\x02\x02" + c, k % 3 > 0) for k, c in enumerate("abcabdaaef")], "g string, allow boolean")
+    every = spark.createDataFrame([("\x02\x02\x02\x02" + chr(c),) for c in range(1, 1 + urls.ALPHABET)], "g string")
+    seen = {x.g[-1]: x.r for x in urls.ratios(judged, every).collect()}
+    allowed = collections.Counter(c for k, c in enumerate("abcabdaaef") if k % 3)
+    blocked = collections.Counter(c for k, c in enumerate("abcabdaaef") if not k % 3)
+
+    def witten_bell(counts):
+        p = {chr(c): 1 / urls.ALPHABET for c in range(1, 1 + urls.ALPHABET)}
+        for _ in range(urls.ORDER + 1):  # all orders have the same counts here
+            p = {c: (counts[c] + len(counts) * p[c]) / (sum(counts.values()) + len(counts)) for c in p}
+        return p
+
+    a, b = witten_bell(allowed), witten_bell(blocked)
+    assert sum(a.values()) == pytest.approx(1) and all(seen[c] == pytest.approx(math.log(a[c] / b[c])) for c in a)
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/1?x"), (2, "https://www.example.com/en/2"), (3, "http://x.net/es/q#f"), (4, "http://notexample.com/en/"), (5, "http://a.com"), (6, None), (7, "no scheme"), (8, "http://net/fr/a"), (9, "http://x.net/ES/q"), (5, "http://a.com")]
     out = {x.page_id: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
