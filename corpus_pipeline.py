@@ -13,27 +13,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the counting rules or their language's perplexity band go."""
+    """Documents that fail the counting rules or their language's perplexity band go; wordless and null texts fail.  Repeated rows are judged alike."""
     return quality.filter_quality(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
+    """Of each component of near copies the document with the smallest doc_id stays, once; of null ids, one stays where no other is.  Rows without words stay."""
     return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a benchmark item's tiles are found in go."""
+    """Documents that a benchmark item's tiles are found in go; null ids and texts are like any other, an empty benchmark removes nothing."""
     return tiling.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is mixed to the sources' target weights; a document taken twice is there twice."""
+    """What is left is mixed to the sources' target weights; a document taken twice is there twice, a null source is the last source."""
     return mixing.mixed(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the mix, written to a content-addressed store and read back."""
+    """Token ids of the mix, written to a content-addressed store and read back; repeated rows and null ids stay, a null text is the end id."""
     return tokens.token_table(docs, queries.TOKENIZER)
 
 
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each stage's rows are written as Parquet and reread by the next."""
+    """Applies the stages to ``documents``; each stage's rows are written as Parquet and reread by the next.
+
+    More columns go along to the last stage; an empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -99,9 +99,10 @@ class Table:
 
 
 def split_multi(col: Column, delimiter: str = ",") -> Column:
-    r"""Values of a delimited column; a backslash before a delimiter keeps it in the value."""
-    parts = F.split(F.regexp_replace(col, r"\\\\" + _quoted(delimiter), "\x00"), _quoted(delimiter))
-    return F.filter(F.transform(parts, lambda x: F.trim(F.replace(x, F.lit("\x00"), F.lit(delimiter)))), lambda x: x != "")
+    r"""Values of a delimited column; a backslash before a delimiter or a backslash keeps that in the value."""
+    bare = F.replace(F.replace(col, F.lit("\\\\"), F.lit("\x01")), F.lit("\\" + delimiter), F.lit("\x00"))
+    value = lambda x: F.replace(F.replace(x, F.lit("\x00"), F.lit(delimiter)), F.lit("\x01"), F.lit("\\"))
+    return F.filter(F.transform(F.split(bare, _quoted(delimiter)), lambda x: value(F.trim(x))), lambda x: x != "")
 
 
 def _quoted(s: str) -> str:

@@ -87,7 +87,7 @@ class Engine:
         if self.strict:
             if r.get("query"):
                 raise EngineError("Queries are not supported", "json.query")
-            r = {k: v for k, v in r.items() if k != "groupBy"} | {"size": min(int(r.get("size", 10)), self.STRICT_SIZE)}
+            r = {k: v for k, v in r.items() if k != "groupBy"} | {"size": min(int(self.STRICT_SIZE if r.get("size", 10) is None else r.get("size", 10)), self.STRICT_SIZE)}
         t = self.table
         pred, score = self.where(r)
         matched = t.df.where(pred)
@@ -101,7 +101,7 @@ class Engine:
         grouped = scored
         if group and group.get("columns"):
             grouped = hits.collapse(scored, t, list(group["columns"]), keys, group.get("top"), (r.get("distinct") or [None])[0] if group["columns"] != r.get("distinct") else None)
-        shown = hits.page(grouped, keys, int(r.get("from", 0)), int(r.get("size", 10)))
+        shown = hits.page(grouped, keys, int(r.get("from", 0)), None if r.get("size", 10) is None else int(r.get("size", 10)))
         shown = hits.project(shown, t, r.get("select"), bool(r.get("fetchStored")), list((r.get("termVectors") or [])))
         f = F.coalesce(pred, F.lit(False))
         counted = [F.sum(f.cast("long")).alias("numhits"), F.count("*").alias("totaldocs")]

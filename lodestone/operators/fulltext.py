@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,11 +48,21 @@ def _glob(pattern: str) -> str:
 
 
 def _wildcard(table: Table, field: str, pattern: str) -> Column:
+    """``*`` and ``?``; a pattern with stars at its ends only is a comparison that sources can take over."""
     if _is_text(table, field):
-        return F.exists(tokens(F.col(field)), lambda x: x.rlike(_glob(pattern.lower())))
+        return F.exists(tokens(F.col(field)), lambda x: _like(x, pattern.lower()))
     f = table.facet(field)
-    like = lambda x: x.cast("string").rlike("(?s)" + _glob(pattern))
-    return F.exists(f.expr, like) if f.is_multi else like(f.expr)
+    return F.exists(f.expr, lambda x: _like(x.cast("string"), pattern)) if f.is_multi else _like(f.expr.cast("string"), pattern)
+
+
+def _like(x: Column, pattern: str) -> Column:
+    inner = pattern.strip("*")
+    if "*" in inner or "?" in inner:
+        return x.rlike("(?s)" + _glob(pattern))
+    if not inner:
+        return x.isNotNull() if pattern else x == ""
+    first, last = pattern.startswith("*"), pattern.endswith("*")
+    return x.contains(inner) if first and last else x.startswith(inner) if last else x.endswith(inner) if first else x == inner
 
 
 def _phrase(col: Column, words: list[str]) -> Column:
@@ -85,13 +96,20 @@ def _pairing(spans: Column, in_order: bool) -> Callable[[Column], Column]:
     return pair
 
 
-def _near(parts: list[Column], slop: int, in_order: bool) -> Column:
-    """Spans that hold one span of each part, with at most ``slop`` positions between them in all."""
+def _near(parts: list[Column], slop: int, in_order: bool, longest: int | None = 1) -> Column:
+    """Spans that hold one span of each part, with at most ``slop`` positions between them in all.
+
+    longest: what a part's span can be at most.  A further part can fill no more
+    than that of the positions between, so what is too wide goes at once.
+    """
 
     def build(p: list[Column]) -> Column:
         made = F.transform(p[0], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"]).alias("n"), x["s"].alias("last")))
-        for other in p[1:]:
+        for k, other in enumerate(p[1:]):
             made = F.flatten(F.transform(made, _pairing(other, in_order)))
+            if longest is not None and k < len(p) - 2:
+                spare = slop + longest * (len(p) - 2 - k)
+                made = F.filter(made, lambda x: x["e"] - x["s"] - x["n"] <= spare)  # noqa: B023
         return F.transform(F.filter(made, lambda x: x["e"] - x["s"] - x["n"] <= slop), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
     return _bound(parts, build)
@@ -101,25 +119,41 @@ def spans_exist(spans: Column) -> Column:
     return F.coalesce(F.size(spans) > 0, F.lit(False))
 
 
+def _may_match(node: dict) -> Column:
+    """What a text must contain for a span query to match: a cheap test before its tokens are looked at."""
+    op, spec = next(iter(node.items()))
+    if op == "span_term":
+        field, v = next((k, v) for k, v in spec.items() if k != "boost")
+        return F.coalesce(F.lower(F.col(field)).contains((v["value"] if isinstance(v, dict) else v).lower()), F.lit(False))
+    if op in ("span_or", "span_near"):
+        return reduce(lambda a, b: a | b if op == "span_or" else a & b, map(_may_match, spec["clauses"]))
+    return _may_match(spec["include" if op == "span_not" else "match"])
+
+
 def compile_span(table: Table, node: dict) -> tuple[str, Column]:
-    """(field, spans)."""
+    """(field, spans); no spans where the text cannot match."""
+    field, spans = _compile_span(table, node)
+    return field, F.when(_may_match(node), spans).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+
+def _compile_span(table: Table, node: dict) -> tuple[str, Column]:
     op, spec = next(iter(node.items()))
     if op == "span_term":
         field, v = next((k, v) for k, v in spec.items() if k != "boost")
         return field, _term(F.col(field), v["value"] if isinstance(v, dict) else v)
     if op in ("span_or", "span_near"):
-        parts = [compile_span(table, c) for c in spec["clauses"]]
+        parts = [_compile_span(table, c) for c in spec["clauses"]]
         if len({f for f, _ in parts}) != 1:
             raise EngineError("Clauses must have same field.", "json.query")
         field = parts[0][0]
         if op == "span_or":
             return field, F.array_distinct(F.concat(*(s for _, s in parts)))
-        return field, _near([s for _, s in parts], int(spec.get("slop", 12)), bool(spec.get("in_order", False)))
+        return field, _near([s for _, s in parts], int(spec.get("slop", 12)), bool(spec.get("in_order", False)), 1 if all("span_term" in c for c in spec["clauses"]) else None)
     if op == "span_not":
-        (field, keep), (_, out) = compile_span(table, spec["include"]), compile_span(table, spec["exclude"])
+        (field, keep), (_, out) = _compile_span(table, spec["include"]), _compile_span(table, spec["exclude"])
         return field, _bound([keep, out], lambda p: F.filter(p[0], lambda x: ~F.exists(p[1], lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"]))))
     if op == "span_first":
-        field, spans = compile_span(table, spec["match"])
+        field, spans = _compile_span(table, spec["match"])
         return field, F.filter(spans, lambda x: x["e"] <= int(spec.get("end", 3)))
     raise EngineError(f"Unknown span query: {op}", "json.query")
 

@@ -22,14 +22,11 @@ def sort_keys(table: Table, sort: list | str | None) -> list[Column]:
     return [*keys, *([F.col(table.uid).asc()] if table.uid and tie else [])]
 
 
-#: From this size on a page is all rows: a top-k queue of that length would not fit a task.
-UNLIMITED = 1_000_000_000
-
-
-def page(df: DataFrame, keys: list[Column], offset: int, size: int) -> DataFrame:
+def page(df: DataFrame, keys: list[Column], offset: int, size: int | None) -> DataFrame:
+    """``size`` rows from ``offset`` on; None is all of them."""
     out = df.orderBy(*keys) if keys else df
     out = out.offset(offset) if offset else out
-    return out if size >= UNLIMITED else out.limit(size)
+    return out if size is None else out.limit(size)
 
 
 def collapse(df: DataFrame, table: Table, columns: list[str], keys: list[Column], top: int | None = None, distinct: str | None = None) -> DataFrame:
@@ -47,18 +44,28 @@ def collapse(df: DataFrame, table: Table, columns: list[str], keys: list[Column]
     df = df.withColumn("_which", which)
     value = F.coalesce(*[F.when(F.col("_which") == i, F.col(f"_g{i}")) for i in range(len(columns))])
     df = df.withColumns({"groupfield": F.element_at(F.array(*map(F.lit, columns)), F.col("_which") + 1), "groupvalue": value})
-    w = Window.partitionBy("_which", "groupvalue")
-    df = df.withColumns({"_rank": F.row_number().over(w.orderBy(*keys)), "_grouphitscount": F.count("*").over(w)})
-    if top and table.uid:
-        inside = F.col("_rank")
-        if distinct:
-            d = Window.partitionBy("_which", "groupvalue", table.facet(distinct).expr)
-            df = df.withColumn("_first", F.row_number().over(d.orderBy("_rank")) == 1)
-            inside = F.when(F.col("_first"), F.sum(F.col("_first").cast("int")).over(w.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)))
-        shown = F.sort_array(F.collect_list(F.when(inside <= top, F.struct("_rank", F.col(table.uid).alias("uid")))).over(w))
-        df = df.withColumn("grouphits", F.transform(shown, lambda x: x["uid"]))
+    group = ["_which", "groupvalue"]
     helpers = [f"_g{i}" for i in range(len(columns))] + ["_which", "_rank", "_first"]
-    return df.where("_rank = 1").drop(*helpers)
+    if not (top and table.uid):
+        return _best_of(df, group, keys).drop(*helpers)
+    w = Window.partitionBy(*group)
+    ranked = df
+    if distinct:  # of each value of the distinct column the group's first
+        d = Window.partitionBy(*group, table.facet(distinct).expr)
+        ranked = df.withColumn("_rank", F.row_number().over(d.orderBy(*keys))).where("_rank = 1")
+    # a window that is cut at a rank keeps no more than so many rows of a group and task before the shuffle
+    first = ranked.withColumn("_rank", F.row_number().over(w.orderBy(*keys))).where(F.col("_rank") <= top)
+    shown = first.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(table.uid).alias("uid")))).alias("shown"))
+    shown = shown.select(F.col("_which").alias("_w"), F.col("groupvalue").alias("_v"), F.transform("shown", lambda x: x["uid"]).alias("grouphits"))
+    best = _best_of(df, group, keys)
+    return best.join(shown, (F.col("_which") == F.col("_w")) & F.col("groupvalue").eqNullSafe(F.col("_v"))).drop(*helpers, "_w", "_v")
+
+
+def _best_of(df: DataFrame, group: list[str], keys: list[Column]) -> DataFrame:
+    """The first row of each group by the keys, with the group's size."""
+    first = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*keys))).where("_rank = 1")
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_grouphitscount")).withColumnsRenamed({"_which": "_w", "groupvalue": "_v"})
+    return first.join(sizes, (F.col("_which") == F.col("_w")) & F.col("groupvalue").eqNullSafe(F.col("_v"))).drop("_w", "_v")
 
 
 def project(df: DataFrame, table: Table, columns: list[str] | None, stored: bool = False, vectors: list[str] = ()) -> DataFrame:

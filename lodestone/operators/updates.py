@@ -84,8 +84,8 @@ def hourglass(df: DataFrame, ts: str, unit: str, keep: int | None = None) -> Dat
 
 
 def shard(col: Column, n: int) -> Column:
-    """abs(key) mod n; null goes to 0."""
-    return F.coalesce(F.pmod(F.abs(col.cast("long")), F.lit(n)), F.lit(0)).cast("int")
+    """abs(key) mod n; null goes to 0.  The remainder loses its sign, not the key, so the least long is as good as any."""
+    return F.coalesce(F.abs(col.cast("long") % F.lit(n)), F.lit(0)).cast("int")
 
 
 def in_partitions(df: DataFrame, uid: str, n: int, ids: list[int]) -> DataFrame:

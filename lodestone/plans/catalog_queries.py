@@ -12,7 +12,7 @@ from lodestone.engine import Engine
 from lodestone.operators import aggregates, facets, federation, updates
 
 NOW = 904_694_400_000  # 1998-09-02
-ALL = "LIMIT 0, 1000000000"
+ALL = "LIMIT ALL"
 _Q: dict[str, tuple[Callable, str | None]] = {}
 
 
@@ -77,7 +77,7 @@ def _where(key: str, table: str, where: str, sql: str, cols: str = "o_orderkey")
 
 
 def _req(key: str, table: str, request: dict, sql: str, cols: str) -> None:
-    _add(key, _run(table, {"select": cols.split(", "), "size": 1_000_000_000, **request}), f"SELECT {cols} FROM {_VIEWS[table]} v WHERE {sql}")
+    _add(key, _run(table, {"select": cols.split(", "), "size": None, **request}), f"SELECT {cols} FROM {_VIEWS[table]} v WHERE {sql}")
 
 
 # -- projection and predicates
@@ -224,9 +224,8 @@ _text("q_span_not", {"span_not": {"include": {"span_term": {"text": "hand"}}, "e
 _where("p_match", "documents", "MATCH(text) AGAINST('hand AND the')", "list_contains(w, 'hand') AND list_contains(w, 'the')", "doc_id")
 _where("p_not_match", "documents", "NOT MATCH(text) AGAINST('the')", "NOT list_contains(w, 'the')", "doc_id")
 _where("p_query_is", "documents", "QUERY IS 'of AND and' AND lang = 'en'", "list_contains(w, 'of') AND list_contains(w, 'and') AND lang = 'en'", "doc_id")
-_add("q_dis_max", _run("documents", {"select": ["doc_id", "_score"], "size": 1_000_000_000, "query": {"dis_max": {"queries": [{"term": {"text": {"term": "the", "boost": 2.0}}}, {"term": {"text": "of"}}], "tie_breaker": 0.5}}}), f"SELECT doc_id, CASE WHEN list_contains(w, 'the') AND list_contains(w, 'of') THEN 2.5 WHEN list_contains(w, 'the') THEN 2.0 ELSE 1.0 END::DOUBLE AS _score FROM {_VIEWS['documents']} WHERE list_has_any(w, ['the', 'of'])")
-_add("term_vectors", lambda s, d: Engine(documents(s, d)).request({"select": ["doc_id"], "size": 1_000_000_000, "filter": {"range": {"doc_id": {"lt": 40}}}, "termVectors": ["text"]}).hits.select("doc_id", F.explode("_termvector_text").alias("x")).select("doc_id", "x.term", "x.freq"), f"SELECT doc_id, term, count(*)::INT AS freq FROM (SELECT doc_id, unnest(w) AS term FROM {_VIEWS['documents']} WHERE doc_id < 40) GROUP BY 1, 2")
-_add("term_vectors_all", lambda s, d: Engine(documents(s, d)).request({"select": ["doc_id"], "size": 1_000_000_000, "termVectors": ["text"]}).hits.select("doc_id", F.explode("_termvector_text").alias("x")).select("doc_id", "x.term", "x.freq"), f"SELECT doc_id, term, count(*)::INT AS freq FROM (SELECT doc_id, unnest(w) AS term FROM {_VIEWS['documents']}) GROUP BY 1, 2")
+_add("q_dis_max", _run("documents", {"select": ["doc_id", "_score"], "size": None, "query": {"dis_max": {"queries": [{"term": {"text": {"term": "the", "boost": 2.0}}}, {"term": {"text": "of"}}], "tie_breaker": 0.5}}}), f"SELECT doc_id, CASE WHEN list_contains(w, 'the') AND list_contains(w, 'of') THEN 2.5 WHEN list_contains(w, 'the') THEN 2.0 ELSE 1.0 END::DOUBLE AS _score FROM {_VIEWS['documents']} WHERE list_has_any(w, ['the', 'of'])")
+_add("term_vectors", lambda s, d: Engine(documents(s, d)).request({"select": ["doc_id"], "size": None, "termVectors": ["text"]}).hits.select("doc_id", F.explode("_termvector_text").alias("x")).select("doc_id", "x.term", "x.freq"), f"SELECT doc_id, term, count(*)::INT AS freq FROM (SELECT doc_id, unnest(w) AS term FROM {_VIEWS['documents']}) GROUP BY 1, 2")
 
 
 # -- relevance

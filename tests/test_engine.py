@@ -94,3 +94,31 @@ def test_sources(spark, tmp_path):
     assert back.count() == 50 and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
     with pytest.raises(RuntimeError, match="class path"):
         readers.connector(spark, "kafka", subscribe="t")
+
+
+def test_split_multi_keeps_escaped_delimiters(spark):
+    from lodestone.catalog import split_multi
+
+    df = spark.createDataFrame([("a\\,b,c",), ("x\\\\,y",), (" p , q ",), ("",), (None,)], "v string")
+    assert [r.s for r in df.select(split_multi(F.col("v")).alias("s")).collect()] == [["a,b", "c"], ["x\\", "y"], ["p", "q"], [], None]
+
+
+def test_limit_all_and_large_limits(engine):
+    assert engine.bql("SELECT id FROM t LIMIT ALL").hits.count() == 4
+    plan = engine.bql("SELECT id FROM t ORDER BY n LIMIT 0, 1000000000").hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" in plan
+
+
+def test_shard_of_the_least_long(spark):
+    df = spark.createDataFrame([(-(2**63),), (-5,), (7,), (None,)], "k long")
+    assert [r.s for r in df.select(updates.shard(F.col("k"), 4).alias("s")).collect()] == [0, 1, 3, 0]
+
+
+@pytest.mark.parametrize(("like", "want"), [("%lu%", [3]), ("r%", [1, 4]), ("%e", [3]), ("red", [1, 4]), ("b_ue", [3]), ("%", [1, 3, 4])])
+def test_like_forms(engine, like, want):
+    assert ids(engine, f"color LIKE '{like}'") == want
+
+
+def test_group_hits(engine):
+    rows = {r["groupvalue"]: r for r in engine.bql("SELECT id FROM t ORDER BY n DESC GROUP BY color TOP 1 LIMIT ALL").hits.collect()}
+    assert rows["red"]["_grouphitscount"] == 2 and rows["red"]["grouphits"] == [4] and rows[None]["grouphits"] == [2]

@@ -41,5 +41,5 @@ def test_query(spark, con, name):
 
 
 def test_term_vectors_of_every_document(spark, con):
-    got = {r["doc_id"] for r in C.queries()["term_vectors_all"](spark, SF).select("doc_id").distinct().collect()}
+    got = {r["doc_id"] for r in C.queries()["term_vectors"](spark, SF).select("doc_id").distinct().collect()}
     assert got >= {r[0] for r in con.execute("SELECT doc_id FROM documents WHERE regexp_matches(text, '[a-z]')").fetchall()} and max(got) >= 40
