@@ -20,6 +20,7 @@ from lodestone.llm.common import stored
 
 LEAST = 0.5
 BROADCAST_ROWS = 100_000
+TOP, SALTS = 3, 64
 CUE = r"(?i)licen[sc]|copyright|spdx|permission|warrant|redistribut|public domain|released under"
 NAMED = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)[^/]*$"
 #: Statements by which licences are commonly declared.
@@ -87,15 +88,23 @@ def scan(files: DataFrame, path: str = "path", templates=TEMPLATES, least: float
     ``from_dir`` names that directory ("" is the root).  Two licence files in one
     directory: the higher cosine holds, then the later name.  A null path has no
     ancestors; null and empty texts have no licence of their own; files that
-    share a path share the best own licence.
+    share a path share the best own licence.  An empty table gives an empty one.
     """
     own = stored(own_licenses(files.select(path, "text"), path, templates, least), "own")
     dirs = own.where("of_dir").withColumn("dir", _dir(F.col(path))).groupBy("dir").agg(F.max(F.struct("cosine", "license")).alias("b")).select("dir", F.col("b.license").alias("dir_license"))
-    small = own.count() <= BROADCAST_ROWS
-    put = F.broadcast if small else (lambda df: df)
+    put = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    dirs = stored(dirs, "dirs")
     files = files.select(path).withColumn("d", _dir(F.col(path)))
     steps = F.split("d", "/")
     above = files.select("d").where("d is not null").distinct().withColumn("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))))
-    nearest = above.distinct().join(put(dirs), "dir").groupBy("d").agg(F.max(F.struct(F.length("dir"), "dir", "dir_license")).alias("b")).select("d", F.col("b.dir").alias("dir"), "b.dir_license")
-    out = files.join(put(own.withColumnRenamed("license", "own").drop("of_dir")), path, "left").join(put(nearest) if small else nearest, "d", "left")
+    above = above.distinct()
+    small = dirs.count() <= BROADCAST_ROWS
+    if small:
+        near = above.join(F.broadcast(dirs), "dir")
+    else:  # the root and directories below it stand above most others: their rows are dealt out
+        salt = F.when(F.size(F.split("dir", "/")) <= TOP, F.pmod(F.xxhash64("d"), F.lit(SALTS))).otherwise(0).cast("int")
+        salts = F.when(F.size(F.split("dir", "/")) <= TOP, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        near = above.withColumn("salt", salt).join(dirs.withColumn("salt", F.explode(salts)), ["dir", "salt"]).drop("salt")
+    nearest = stored(near.groupBy("d").agg(F.max(F.struct(F.length("dir"), "dir", "dir_license")).alias("b")).select("d", F.col("b.dir").alias("dir"), "b.dir_license"), "nearest")
+    out = files.join(put(own.withColumnRenamed("license", "own").drop("of_dir")), path, "left").join(put(nearest), "d", "left")
     return out.select(path, "own", "cosine", F.coalesce("own", "dir_license").alias("license"), F.when(F.col("own").isNull(), F.col("dir")).alias("from_dir"))

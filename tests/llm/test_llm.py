@@ -479,6 +479,40 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_licenses_nearest_equals_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", limit)
+    r = random.Random(6)
+    mit, apache = licenses.TEMPLATES[2][1], licenses.TEMPLATES[4][1]
+    dirs = {"/" + "/".join(r.choice("abc") for _ in range(r.randint(0, 4))) for _ in range(60)}
+    rows, lic = [], {}
+    for d in sorted(dirs):
+        d = "" if d == "/" else d
+        if r.random() < 0.4:
+            name, text = r.choice([("MIT", mit), ("Apache-2.0", apache)])
+            rows.append((f"{d}/LICENSE", text, "x"))
+            lic[d] = name
+        rows += [(f"{d}/f{i}.py", "x = 1\n" * 3, "x") for i in range(2)]
+    rows += [rows[0], ("noslash.py", "y", "x")]
+    out = collections.defaultdict(set)
+    got_rows = licenses.scan(spark.createDataFrame(rows, "path string, text string, license string")).collect()
+    assert len(got_rows) == len(rows)
+    for x in got_rows:
+        out[x.path].add((x.license, x.from_dir))
+    for p, text, _ in rows:
+        d, want = p.rpartition("/")[0], None
+        if p.endswith("LICENSE"):
+            want = (lic[d], None)
+        elif "/" not in p:
+            want = next(iter(out[p]))
+        else:
+            while d not in lic and d:
+                d = d.rpartition("/")[0]
+            want = (lic.get(d), d if d in lic else None)
+        assert out[p] == {want}
+    assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
 def test_licenses(spark):
     rows = [("/p/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"), ("/p/a/b/x.py", "print(1)"), ("/p/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("/q/z.py", None), (None, "")]
     out = {x.path: (x.own, x.license, x.from_dir) for x in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
@@ -504,7 +538,39 @@ def test_secrets_without_digits_or_short(spark):
     assert [x.form for x in out] == ["known", "known", "general", "general", "general"]
 
 
-def test_pipeline_stages():
+def test_pipeline_on_a_small_table(spark, tmp_path):
+    """Each stage against brute force over what the one before it kept."""
     import corpus_pipeline
 
-    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+    names = ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+    assert [k for k, _ in corpus_pipeline.STAGES] == names
+    r = random.Random(15)
+    vocab = ["".join(r.choice(["th", "er", "on", "an", "re", "he", "in", "ed"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    base = [say(r.randint(60, 120)) for _ in range(30)]
+    item = say(40)
+    texts = [*base, *(base[k] for k in range(5)), *(edited(r, base[k], 0.02).split() for k in range(5, 10)), say(20) + item + say(30), say(9), ["spam"] * 80]
+    rows = [(i, " ".join(t), "en", f"s{i % 3}", 7) for i, t in enumerate(texts)] + [(None, " ".join(say(70)), "en", "s0", 7), (900, None, None, None, 7), (901, "", "en", "s1", 7)]
+    schema = "doc_id long, text string, lang string, source string, extra int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sf, docs = str(tmp_path), spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, sf)
+    assert kept.columns == docs.columns
+    good = {i for i, t in enumerate(texts) if len(t) >= 50 and len(set(t)) > 1} | {None}
+    assert {x.doc_id for x in kept.collect()} == good
+    one = corpus_pipeline.STAGES[1][1](spark, kept, sf)
+    low = linked_components([(-1 if x.doc_id is None else x.doc_id, x.text) for x in kept.collect()])
+    assert sorted(-1 if x.doc_id is None else x.doc_id for x in one.collect()) == sorted(set(low.values()))
+    clean = corpus_pipeline.STAGES[2][1](spark, one, sf)
+    poisoned = {i for i, t in enumerate(texts) if " ".join(item) in " ".join(t)}
+    assert {x.doc_id for x in clean.collect()} == {x.doc_id for x in one.collect()} - poisoned and poisoned
+    mix = corpus_pipeline.STAGES[3][1](spark, clean, sf)
+    plan = {x.doc_id: x.copies for x in mixing.mix_table(clean).collect()}
+    assert collections.Counter(x.doc_id for x in mix.collect()) == {k: n for k, n in plan.items() if n}
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert collections.Counter(x.doc_id for x in out) == {k: n for k, n in plan.items() if n}
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
