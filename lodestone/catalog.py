@@ -9,8 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Numbers of the error types that results carry (fixed values), by the kinds of code that raise them.
+ERROR_NUMBERS = {"json.parse": 100, "json": 101, "request": 101, "mapreduce": 101, "relevance": 101, "bql": 150, "execution": 200, "timeout": 250, "merge": 300, "partition": 350, "broker.timeout": 400, "internal": 450, "merge.partition": 500, "federation": 550, "unknown": 1000}
+
+
 class EngineError(ValueError):
-    """A statement or request that cannot be compiled; ``code`` names the kind of error."""
+    """A statement or request that cannot be compiled; ``code`` names the kind of error, ``number`` its type."""
+
+    @property
+    def number(self) -> int:
+        return ERROR_NUMBERS.get(self.code) or ERROR_NUMBERS.get(self.code.split(".")[0], ERROR_NUMBERS["unknown"])
+
+    def to_dict(self) -> dict:
+        return {"code": self.code, "errorCode": self.number, "message": str(self), "line": self.line, "col": self.col}
 
     def __init__(self, message: str, code: str = "request", line: int | None = None, col: int | None = None):
         super().__init__(f"[line:{line}, col:{col}] {message}" if line is not None else message)
@@ -59,11 +70,36 @@ class Table:
     facets: dict[str, Facet] = field(default_factory=dict)
     text: str = "contents"
     activity: tuple[str, ...] = ()
+    plain: DataFrame | None = None
 
     @classmethod
     def of(cls, df: DataFrame, uid: str | None = None, facets: Sequence[Facet] = (), **more) -> Table:
         return cls(df, uid, {f.name: f for f in facets}, **more)
 
+    def extended(self, extra: DataFrame, facets: Sequence[Facet] = (), activity: bool = False) -> Table:
+        """This table with the columns of another one, joined by the key, and their facets.
+
+        For counters of documents (``activity``: a row without one has null, which
+        no range meets) and for any other engine that keeps fields beside the
+        table.  ``extra`` has one row for each key.  Requests that name none of
+        its columns or facets are run without the join.
+        """
+        names = tuple(c for c in extra.columns if c != self.uid)
+        more = {f.name: f for f in facets}
+        # what is joined earlier stays part of the plain table, so that one join can be left out without the other
+        return Table(self.df.join(extra, self.uid, "left"), self.uid, self.facets | more, self.text, (*self.activity, *names) if activity else self.activity, self.df)
+
+    def without(self, mentioned: str) -> Table:
+        """The table as far as a request needs it, given the request's text."""
+        if self.plain is None:
+            return self
+        own = set(self.plain.columns)
+        added = [c for c in self.df.columns if c not in own]
+        views = [f.name for f in self.facets.values() if f.derive is not None or (f.column or f.name) in added]
+        if any(n in mentioned for n in (*added, *views)):
+            return self
+        return Table(self.plain, self.uid, self.facets, self.text, self.activity)
+
     @classmethod
     def from_dict(cls, spark: SparkSession, df: DataFrame, schema: dict) -> Table:
         """From a schema document: {"table": {"uid", "columns": [..]}, "facets": [..]}; ``from`` renames, ``multi`` splits."""

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from urllib.parse import parse_qs
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import bql
 from lodestone.catalog import EngineError, Table
 from lodestone.operators import aggregates, facets, hits, relevance
-from lodestone.operators.fulltext import compile_query
+from lodestone.operators.fulltext import compile_query, explanation
 from lodestone.operators.predicates import all_of, compile_filter, compile_selection
 
 
@@ -26,12 +27,14 @@ class Result:
     facets: dict[str, DataFrame] = field(default_factory=dict)
     aggregates: DataFrame | None = None
     map_reduce: DataFrame | None = None
+    #: All aggregates stand among the facets too, as (value, hits).
+    rewritten: bool = False
 
     def to_json(self) -> str:
         """The result object of one page as text."""
         rows = lambda df: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
         out = {**rows(self.counts)[0], "hits": rows(self.hits), "facets": {k: rows(v) for k, v in self.facets.items()}, "errors": []}
-        if self.aggregates is not None:
+        if self.aggregates is not None and not self.rewritten:
             out["aggregates"] = rows(self.aggregates)
         if self.map_reduce is not None:
             out["mapReduceResult"] = rows(self.map_reduce)
@@ -79,8 +82,26 @@ class Engine:
             parts.append(shard(F.col(self.table.uid), self.shards).isin(list(p)))
         return all_of(parts), score
 
-    def base(self, r: dict, skip: str | None = None) -> DataFrame:
-        return self.table.df.where(self.where(r, skip)[0])
+    def base(self, r: dict, skip: str | None = None, table: Table | None = None) -> DataFrame:
+        return (table or self.table).df.where(self.where(r, skip)[0])
+
+    def respond(self, text: str) -> str:
+        """A request as JSON text, or {"bql": statement}, to a result as text; what fails is listed under ``errors``."""
+        try:
+            try:
+                r = json.loads(text)
+            except ValueError as e:
+                raise EngineError(str(e), "json.parse") from e
+            if not isinstance(r, dict):
+                raise EngineError("A request is an object", "json.parse")
+            got = self.bql(r["bql"], r.get("templateMapping")) if "bql" in r else self.request(r)
+            if isinstance(got, Result):
+                return got.to_json()
+            return json.dumps({"columns": [x.asDict() for x in got.collect()], "errors": []})  # one row for each column
+        except EngineError as e:
+            return json.dumps({"hits": [], "errors": [e.to_dict()]})
+        except PySparkException as e:
+            return json.dumps({"hits": [], "errors": [EngineError(str(e).split("\n")[0], "execution").to_dict()]})
 
     def request(self, r: dict) -> Result:
         r = bql.substitute({k: v for k, v in r.items() if k != "templateMapping"}, r.get("templateMapping") or {})
@@ -88,13 +109,16 @@ class Engine:
             if r.get("query"):
                 raise EngineError("Queries are not supported", "json.query")
             r = {k: v for k, v in r.items() if k != "groupBy"} | {"size": min(int(self.STRICT_SIZE if r.get("size", 10) is None else r.get("size", 10)), self.STRICT_SIZE)}
-        t = self.table
+        everything = not r.get("select") or "*" in r["select"] or r.get("fetchStored")
+        t = self.table if everything else self.table.without(json.dumps(r, default=str))
         pred, score = self.where(r)
         matched = t.df.where(pred)
         scored = matched.withColumn("_score", score)
         model = r.get("relevance") or next((q.get("relevance") for q in (r.get("query") or {}).values() if isinstance(q, dict) and q.get("relevance")), None)
         if model:
             scored = relevance.apply(scored, t, model, self.now_ms)
+        if r.get("explain") or "_explanation" in (r.get("select") or []):
+            scored = scored.withColumn("_explanation", explanation(t, r.get("query") or {"match_all": {}}, F.col("_score") if model else None))
         sort = r.get("sort") or ([{"_score": "desc"}] if r.get("query") or model else None)
         keys = hits.sort_keys(t, sort)
         group = r.get("groupBy")
@@ -102,7 +126,10 @@ class Engine:
         if group and group.get("columns"):
             grouped = hits.collapse(scored, t, list(group["columns"]), keys, group.get("top"), (r.get("distinct") or [None])[0] if group["columns"] != r.get("distinct") else None)
         shown = hits.page(grouped, keys, int(r.get("from", 0)), None if r.get("size", 10) is None else int(r.get("size", 10)))
-        shown = hits.project(shown, t, r.get("select"), bool(r.get("fetchStored")), list((r.get("termVectors") or [])))
+        columns = r.get("select")
+        if r.get("explain") and "_explanation" not in (columns or []):
+            columns = [*(columns or ["*"]), "_explanation"]
+        shown = hits.project(shown, t, columns, bool(r.get("fetchStored")), list((r.get("termVectors") or [])))
         f = F.coalesce(pred, F.lit(False))
         counted = [F.sum(f.cast("long")).alias("numhits"), F.count("*").alias("totaldocs")]
         if group and group.get("columns"):
@@ -111,13 +138,17 @@ class Engine:
         for name, spec in (r.get("facets") or {}).items():
             facet = t.facet(name)
             chosen = [v for s in r.get("selections") or [] for v in _chosen(s, name)]
-            rows = self.base(r, name) if spec.get("expand") else matched
+            rows = self.base(r, name, t) if spec.get("expand") else matched
             out.facets[name] = facets.browse(rows, facet, spec, chosen, (r.get("facetInit") or {}).get(name))
         if a := r.get("aggregates"):
             out.aggregates = aggregates.aggregate(matched, t, a["functions"], a.get("groupBy") or [], a.get("top", 10))
+            found = aggregates.as_facets(matched, t, a["functions"], a.get("groupBy") or [], a.get("top", 10))
+            out.facets |= found
+            out.rewritten = len(found) == len(a["functions"])
         if m := r.get("mapReduce"):
             calls = m if isinstance(m, list) else [m]
-            frames = [aggregates.lookup(c["function"])(matched, c.get("parameters") or {}) for c in calls]
+            access = aggregates.Accessor(matched, t, r.get("facetInit") or {})
+            frames = [aggregates.call(c["function"], matched, c.get("parameters") or {}, access) for c in calls]
             out.map_reduce = frames[0] if len(frames) == 1 else _composite(frames)
         return out
 

@@ -6,7 +6,9 @@ A user aggregate is ``fn(df, params) -> DataFrame`` in ``REGISTRY``, or built by
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,39 @@ def register(name: str):
     return add
 
 
+@dataclass
+class Accessor:
+    """What a user aggregate may look up beside its rows: facet counts and fields, also by key.
+
+    Every look-up is a DataFrame or a Column over the rows of the request.
+    """
+
+    rows: DataFrame
+    table: Table
+    params: dict
+
+    def counts(self, facet: str) -> DataFrame:
+        """(value, hits) of a facet over the matched rows."""
+        from lodestone.operators.facets import counts
+
+        return counts(self.rows, self.table.facet(facet), self.params.get(facet))
+
+    def field(self, name: str) -> Column:
+        return self.table.facet(name).expr
+
+    def fields_of(self, uids: DataFrame, *names: str) -> DataFrame:
+        """(uid, fields) of the keys in ``uids`` (one column), matched or not; keys without a row have nulls."""
+        key = uids.columns[0]
+        values = self.table.df.select(F.col(self.table.uid).alias("_k"), *[self.field(n).alias(n) for n in names])
+        return uids.join(values, F.col(key) == F.col("_k"), "left").select(F.col(key).alias("uid"), *names)
+
+
+def call(name: str, df: DataFrame, params: dict, access: Accessor) -> DataFrame:
+    """A registered aggregate; those that take a third argument get the accessor."""
+    fn = lookup(name)
+    return fn(df, params, access) if len(inspect.signature(fn).parameters) > 2 else fn(df, params)
+
+
 def _number(table: Table, name: str) -> Column:
     f = table.facet(name)
     kind = dict(table.df.dtypes).get(f.column or f.name, "double")
@@ -89,6 +124,24 @@ def aggregate(df: DataFrame, table: Table, functions: list[dict], group: list[st
     return out.limit(top) if top else out
 
 
+def as_facets(df: DataFrame, table: Table, functions: list[dict], group: list[str], top: int) -> dict[str, DataFrame]:
+    """The first sum and the counts over one group column as facets: ``_sumGroupBy`` and the column's own."""
+    out: dict[str, DataFrame] = {}
+    if len(group) != 1:
+        return out
+    from lodestone.operators.facets import browse, values_of
+
+    f = table.facet(group[0])
+    for x in functions:
+        if x["function"].lower() == "sum" and "_sumGroupBy" not in out:
+            rows = df.select(F.explode(values_of(f)).alias("value"), _number(table, x["column"]).alias("m"))
+            sums = rows.groupBy("value").agg(F.sum("m").alias("hits")).orderBy(F.desc("hits"), "value")
+            out["_sumGroupBy"] = sums.limit(top) if top else sums
+        elif x["function"].lower() == "count" and group[0] not in out:
+            out[group[0]] = browse(df, f, {"minHit": 0, "max": top, "order": "hits"})
+    return out
+
+
 def group_key(df: DataFrame, columns: list[str]) -> DataFrame:
     """The groups' values joined by ':' as one column ``group``."""
     return df.withColumn("group", F.concat_ws(":", *columns))
@@ -118,6 +171,19 @@ def list_uids(df: DataFrame, params: dict) -> DataFrame:
     return df.select(F.col(params["column"]).alias("uid"))
 
 
+@register("facet_counts")
+def facet_counts(df: DataFrame, params: dict, access: Accessor) -> DataFrame:
+    """(value, hits, share of the matched rows) of the facet ``column``, read through the accessor."""
+    total = df.agg(F.count("*")).scalar()
+    return access.counts(params["column"]).select("value", "hits", (F.col("hits") / total).alias("share"))
+
+
+@register("fields_by_uid")
+def fields_by_uid(df: DataFrame, params: dict, access: Accessor) -> DataFrame:
+    """(uid, fields): ``columns`` of the rows that the matched rows' ``reference`` column points at."""
+    return access.fields_of(df.select(access.field(params["reference"]).alias("uid")).distinct(), *params["columns"])
+
+
 @register("column_stats")
 def column_stats(df: DataFrame, params: dict) -> DataFrame:
     """Rows, values and distinct values of each column."""

@@ -7,6 +7,7 @@ score is 1 times the boosts; membership is exact.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -308,3 +309,31 @@ def compile_query(table: Table, node: dict) -> tuple[Column, Column]:
     if op == "custom":
         return CUSTOM_QUERIES[spec["class"]](table, spec)
     raise EngineError(f"Unknown query: {op}", "json.query")
+
+
+def explanation(table: Table, node: dict, final: Column | None = None) -> Column:
+    """How a row's score came about, as JSON text: {"value", "description", "details"} for each clause of the query.
+
+    A clause that a row does not meet has the value 0; ``final`` is the score a relevance model gave instead.
+    """
+    inner = _explained(table, node)
+    return inner if final is None else _entry(final, "relevance model", [inner])
+
+
+def _entry(value: Column, description: str, details: list[Column]) -> Column:
+    head = F.concat(F.lit('{"value":'), F.coalesce(value, F.lit(0.0)).cast("double").cast("string"), F.lit(f',"description":{json.dumps(description)},"details":['))
+    return F.concat(head, F.concat_ws(",", *details) if details else F.lit(""), F.lit("]}"))
+
+
+def _explained(table: Table, node: dict) -> Column:
+    keep, score = compile_query(table, node)
+    op, spec = next(iter(node.items()))
+    subs: list[dict] = []
+    if op == "bool":
+        subs = [q for k in ("must", "should", "must_not") if spec.get(k) for q in (spec[k] if isinstance(spec[k], list) else [spec[k]])]
+    elif op == "dis_max":
+        subs = list(spec["queries"])
+    elif op == "filtered":
+        subs = [spec["query"]]
+    text = op if subs else f"{op} {json.dumps(spec, default=str)}"
+    return _entry(F.when(F.coalesce(keep, F.lit(False)), score).otherwise(0.0), text, [_explained(table, q) for q in subs])

@@ -78,6 +78,8 @@ def project(df: DataFrame, table: Table, columns: list[str] | None, stored: bool
             out += [F.col(f"`{x}`") for x in base]
         elif c in ("_srcdata", "_stored"):
             out.append(F.to_json(F.struct(*[F.col(f"`{x}`") for x in base])).alias(c))
+        elif c == "_termvectors":
+            out.append(term_vector(F.col(table.text)).alias(c))
         elif c in ("_uid", "_docid"):
             out.append(F.col(table.uid).alias(c))
         elif c in df.columns:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import Facet, Table
 from lodestone.engine import Engine
-from lodestone.operators import aggregates, facets, federation, updates
+from lodestone.operators import aggregates, facets, federation, fulltext, predicates, updates
+from lodestone.streaming import ingest
 
 NOW = 904_694_400_000  # 1998-09-02
 ALL = "LIMIT ALL"
@@ -51,7 +52,21 @@ _VIEWS = {
     "part": "(SELECT *, string_split(p_name, ' ') AS tags, concat_ws('/', p_type, p_brand, p_name) AS path FROM part)",
     "documents": r"(SELECT doc_id, lang, source, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)",
 }
-_TABLES = {"orders": orders, "lineitem": lineitem, "part": part, "documents": documents}
+
+
+def customers(spark, d) -> Table:
+    """Customers with a counter of their events."""
+    likes = events(spark, d).groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("likes"))
+    return Table.of(_read(spark, d, "customer"), "c_custkey").extended(likes, [Facet("likes", "range", ranges=("[1 TO 3]", "[4 TO *]"))], activity=True)
+
+
+def plugged(spark, d) -> Table:
+    """Orders beside which another engine keeps their largest quantity."""
+    most = lineitem(spark, d).df.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").cast("double").alias("most"))
+    return orders(spark, d).extended(most, [Facet("most", "range", ranges=("[1 TO 25]", "(25 TO *]"))])
+
+
+_TABLES = {"customer": customers, "plugged": plugged, "orders": orders, "lineitem": lineitem, "part": part, "documents": documents}
 
 
 def _run(table: str, ask, part_of: str = "hits", fix: Callable | None = None, **engine):
@@ -123,7 +138,7 @@ def _variables(spark, d):
 
 
 _add("p_variables", _variables, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND o_custkey < 50")
-_Q["p_extra_filter"] = _Q["p_variables"]
+_add("p_extra_filter", lambda s, d: Engine(orders(s, d), NOW).bql(f"SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' {ALL}", extra_filter="o_totalprice > 100000 OR o_custkey < 9").hits, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice > 100000 OR o_custkey < 9)")
 
 # -- facet-kind predicates
 _where("f_path_select", "part", "path = 'PROMO'", "path = 'PROMO' OR starts_with(path, 'PROMO/')", "p_partkey")
@@ -275,6 +290,90 @@ _add("fed_layered", lambda s, d: federation.layered([orders(s, d).df.where("o_or
 _add("api_url", lambda s, d: Engine(orders(s, d)).url("start=5&rows=20&sort=o_totalprice:desc&select.o_orderstatus.val=F").hits.select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
 
 
+# -- counters and other engines' fields in requests
+_LIKES = "(SELECT c_custkey, likes FROM customer LEFT JOIN (SELECT user_id, count(*) AS likes FROM events GROUP BY 1) ON user_id = c_custkey)"
+_add("f_activity_range", _run("customer", f"SELECT c_custkey, likes FROM customer WHERE likes >= 2 AND likes < 9 {ALL}"), f"SELECT c_custkey, likes FROM {_LIKES} WHERE likes >= 2 AND likes < 9")
+_facet("fc_activity", "customer", "likes", "(false, 1, 10, hits)", f"SELECT '[1 TO 3]' AS value, count(*) AS hits FROM {_LIKES} WHERE likes BETWEEN 1 AND 3 HAVING count(*) > 0 UNION ALL SELECT '[4 TO *]', count(*) FROM {_LIKES} WHERE likes >= 4 HAVING count(*) > 0")
+_add("u_engine", _run("plugged", f"SELECT o_orderkey, most FROM orders WHERE most > 45 AND o_orderstatus = 'F' {ALL}"), "SELECT o_orderkey, CAST(most AS DOUBLE) AS most FROM orders JOIN (SELECT l_orderkey, max(l_quantity) AS most FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE most > 45 AND o_orderstatus = 'F'")
+_facet("u_engine_facet", "plugged", "most", "(false, 1, 10, hits)", "SELECT CASE WHEN most <= 25 THEN '[1 TO 25]' ELSE '(25 TO *]' END AS value, count(*) AS hits FROM (SELECT l_orderkey, max(l_quantity) AS most FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey WHERE most >= 1 GROUP BY 1")
+
+# -- results of one group column as facets, accessors, user aggregates in batches
+_add("a_rewrite_sum", _run("orders", "SELECT sum(o_totalprice) FROM orders GROUP BY o_custkey TOP 20", "facet:_sumGroupBy", lambda df: df.select(F.col("value").cast("string").alias("value"), F.round("hits", 2).alias("hits"))), "SELECT CAST(o_custkey AS VARCHAR) AS value, round(sum(o_totalprice), 2) AS hits FROM orders GROUP BY o_custkey ORDER BY sum(o_totalprice) DESC LIMIT 20")
+_add("a_rewrite_count", _run("orders", "SELECT count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey TOP 20", "facet:o_custkey", _V), "SELECT CAST(o_custkey AS VARCHAR) AS value, count(*) AS hits FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey ORDER BY hits DESC, o_custkey LIMIT 20")
+_add("fc_accessor", _run("orders", "SELECT * FROM orders WHERE o_orderstatus = 'F' EXECUTE(facet_counts, 'column': 'o_orderpriority')", "mr", lambda df: df.withColumn("share", F.round("share", 4))), "SELECT o_orderpriority AS value, count(*) AS hits, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+_add("u_field_accessor", _run("orders", "SELECT * FROM orders WHERE o_orderstatus = 'F' EXECUTE(fields_by_uid, 'reference': 'o_custkey', 'columns': ['o_orderpriority', 'o_totalprice'])", "mr"), "SELECT k AS uid, o_orderpriority, o_totalprice FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') LEFT JOIN orders ON o_orderkey = k")
+
+
+def _sums(pdf, params):
+    """Sums of ``of`` by ``by``; the same step maps, combines and reduces."""
+    return pdf.rename(columns={params["by"]: "key", params["of"]: "total"})[["key", "total"]].groupby("key", as_index=False).sum()
+
+
+aggregates.REGISTRY["sums_in_batches"] = aggregates.map_reduce(_sums, lambda pdf, _: pdf.groupby("key", as_index=False).sum(), lambda pdf, _: pdf.groupby("key", as_index=False).sum(), "key string, total double")
+_add("a_batching", _run("orders", "SELECT * FROM orders EXECUTE(sums_in_batches, 'by': 'o_orderpriority', 'of': 'o_totalprice')", "mr", _round), "SELECT o_orderpriority AS key, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+_add("fc_order_custom", lambda s, d: _V(facets.browse(orders(s, d).df, Facet("o_orderpriority"), {"max": 2}, order=F.substring("value", 3, 20))), "SELECT o_orderpriority AS value, count(*) AS hits FROM orders GROUP BY 1 ORDER BY substr(o_orderpriority, 3) LIMIT 2")
+_facet("f_given_param", "orders", "hist", "(false, 1, 100, hits)", "SELECT CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) AS VARCHAR) AS value, count(*) AS hits FROM orders WHERE o_totalprice >= 0 AND o_totalprice < 300000 GROUP BY 1", "GIVEN FACET PARAM (hist, 'unit', double, 100000.0), (hist, 'end', double, 300000.0)")
+
+# -- queries, filters, clauses that the sections above leave out
+_where("l_props", "part", "path = 'PROMO' WITH ('strict': true, 'depth': 2)", "starts_with(path, 'PROMO/') AND len(string_split(path, '/')) = 3", "p_partkey")
+_where("l_clauses", "orders", "o_orderstatus = 'F' /* any order */ AND o_totalprice > 100000.0 -- of clauses\n", "o_orderstatus = 'F' AND o_totalprice > 100000")
+_req("p_const_false", "orders", {"filter": {"or": [{"const_exp": {"lvalue": 3, "operator": "<", "rvalue": 2}}, {"term": {"o_orderstatus": "P"}}]}}, "o_orderstatus = 'P'", "o_orderkey")
+_req("q_match_none", "orders", {"query": {"match_none": {}}}, "false", "o_orderkey")
+_req("q_range", "orders", {"query": {"range": {"o_totalprice": {"from": 1000, "to": 50000, "include_lower": False, "include_upper": True}}}}, "o_totalprice > 1000 AND o_totalprice <= 50000", "o_orderkey")
+_req("q_path", "part", {"query": {"path": {"path": {"value": "PROMO"}}}}, "path = 'PROMO' OR starts_with(path, 'PROMO/')", "p_partkey")
+_req("q_ids", "orders", {"query": {"ids": {"values": [5, 6, 7, 8], "excludes": [7]}}}, "o_orderkey IN (5, 6, 8)", "o_orderkey")
+_req("q_const_exp", "orders", {"query": {"bool": {"must": [{"const_exp": {"lvalue": "a", "operator": "==", "rvalue": "a"}}, {"term": {"o_orderstatus": "P"}}]}}}, "o_orderstatus = 'P'", "o_orderkey")
+fulltext.CUSTOM_QUERIES["at_least"] = lambda table, spec: (table.facet(spec["column"]).expr >= spec["value"], F.lit(2.0))
+predicates.CUSTOM_FILTERS["at_most"] = lambda table, spec: table.facet(spec["column"]).expr <= spec["value"]
+_req("q_custom", "orders", {"query": {"custom": {"class": "at_least", "column": "o_totalprice", "value": 150000}}}, "o_totalprice >= 150000", "o_orderkey")
+_req("p_custom_filter", "orders", {"filter": {"custom": {"class": "at_most", "column": "o_totalprice", "value": 20000}}}, "o_totalprice <= 20000", "o_orderkey")
+_req("p_query_filter", "documents", {"filter": {"query": {"term": {"text": "hand"}}}}, "list_contains(w, 'hand')", "doc_id")
+_add("s_docrev", _run("orders", {"select": ["o_orderkey"], "sort": ["docrev"], "size": 30}), "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 30")
+_add("fetch_stored", _run("orders", f"SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' FETCHING STORED {ALL}", "hits", lambda df: df.select("o_orderkey", F.get_json_object("_srcdata", "$.o_orderpriority").alias("priority"))), "SELECT o_orderkey, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'P'")
+_add("route_by", _run("orders", f"SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ROUTE BY 'a' {ALL}"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+_EXPLAIN = {"bool": {"must": [{"term": {"text": {"term": "the", "boost": 2.0}}}], "should": [{"term": {"text": "of"}}, {"term": {"text": "hand"}}]}}
+_part_of = lambda path: F.get_json_object("_explanation", path).cast("double")
+_add("explain", _run("documents", {"select": ["doc_id"], "size": None, "query": _EXPLAIN, "explain": True}, "hits", lambda df: df.select("doc_id", _part_of("$.value").alias("score"), _part_of("$.details[0].value").alias("the"), _part_of("$.details[2].value").alias("hand"))), f"SELECT doc_id, (2 + list_contains(w, 'of')::INT + list_contains(w, 'hand')::INT)::DOUBLE AS score, 2.0::DOUBLE AS the, list_contains(w, 'hand')::INT::DOUBLE AS hand FROM {_VIEWS['documents']} v WHERE list_contains(w, 'the')")
+_add("project_special", _run("documents", {"select": ["_uid", "_termvectors"], "size": None, "filter": {"term": {"lang": "fr"}}}, "hits", lambda df: df.select(F.col("_uid").alias("uid"), F.size("_termvectors").alias("terms"))), f"SELECT doc_id AS uid, CAST(len(list_distinct(w)) AS INT) AS terms FROM {_VIEWS['documents']} v WHERE lang = 'fr'")
+
+# -- relevance: the JSON form, saved models, the clock
+_SCORED = lambda df: df.withColumn("_score", F.round("_score", 6))
+_TIMES = {"variables": {"double": ["k"]}, "facets": {"double": ["o_totalprice"]}, "function": "return o_totalprice * k;"}
+_add("r_json_model", _run("orders", {"select": ["o_orderkey", "_score"], "size": None, "relevance": {"model": _TIMES, "values": {"k": 0.5}}}, "hits", _SCORED), "SELECT o_orderkey, round(o_totalprice * 0.5, 6) AS _score FROM orders")
+_add("q_relevance", _run("orders", {"select": ["o_orderkey", "_score"], "size": None, "query": {"term": {"o_orderstatus": "F", "relevance": {"model": _TIMES, "values": {"k": 2.0}}}}}, "hits", _SCORED), "SELECT o_orderkey, round(o_totalprice * 2, 6) AS _score FROM orders WHERE o_orderstatus = 'F'")
+_score("r_now", "orders", "o_orderkey", "m () DEFINED AS (long o_ms) BEGIN return (_NOW - o_ms) / 86400000.0; END", f"SELECT o_orderkey, round(({NOW} - epoch_ms(o_orderdate)) / 86400000.0, 6)::DOUBLE AS _score FROM orders")
+_score("r_exp", "orders", "o_orderkey", "m () DEFINED AS (int o_custkey) BEGIN return Math.exp(0 - o_custkey / 100.0); END", "SELECT o_orderkey, round(exp(0 - o_custkey / 100.0), 6)::DOUBLE AS _score FROM orders")
+
+
+def _saved(spark, d):
+    e = Engine(orders(spark, d), NOW)
+    e.request({"relevance": {"model": {**_TIMES, "save_as": {"name": "times_k"}}, "values": {"k": 1.0}}})
+    return _SCORED(e.request({"select": ["o_orderkey", "_score"], "size": None, "relevance": {"predefined_model": "times_k", "values": {"k": 3.0}}}).hits)
+
+
+_add("r_saved", _saved, "SELECT o_orderkey, round(o_totalprice * 3, 6) AS _score FROM orders")
+
+
+# -- federation and time
+def _by_status(s, d):
+    o = orders(s, d).df.select("o_orderkey", "o_ms", "o_orderstatus")
+    return o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'")
+
+
+_add("fed_lambda_max", lambda s, d: federation.split_at_boundary(*_by_status(s, d), "o_ms").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND epoch_ms(o_orderdate) < (SELECT max(epoch_ms(o_orderdate)) FROM orders WHERE o_orderstatus = 'F') OR o_orderstatus <> 'F' AND epoch_ms(o_orderdate) >= (SELECT max(epoch_ms(o_orderdate)) FROM orders WHERE o_orderstatus = 'F')")
+_YEAR = 31_536_000_000
+
+
+def _pruned(s, d):
+    o = orders(s, d).df
+    layers = [(i * _YEAR, (i + 1) * _YEAR - 1, o.where(F.col("o_ms").between(i * _YEAR, (i + 1) * _YEAR - 1))) for i in range(22, 29)]
+    return federation.union(federation.prune_layers(layers, 25 * _YEAR, 27 * _YEAR - 1)).select("o_orderkey")
+
+
+_add("fed_layer_prune", _pruned, f"SELECT o_orderkey FROM orders WHERE epoch_ms(o_orderdate) >= {25 * _YEAR} AND epoch_ms(o_orderdate) < {27 * _YEAR}")
+_add("t_windows", lambda s, d: ingest.rolled(events(s, d), "ts", "1 day", "2 days", "event_type").select(F.col("slice").cast("date").alias("day"), "event_type", "n"), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in _Q.items()}
 

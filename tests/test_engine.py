@@ -122,3 +122,67 @@ def test_like_forms(engine, like, want):
 def test_group_hits(engine):
     rows = {r["groupvalue"]: r for r in engine.bql("SELECT id FROM t ORDER BY n DESC GROUP BY color TOP 1 LIMIT ALL").hits.collect()}
     assert rows["red"]["_grouphitscount"] == 2 and rows["red"]["grouphits"] == [4] and rows[None]["grouphits"] == [2]
+
+
+def test_respond_lists_typed_errors(engine):
+    number = lambda text: json.loads(engine.respond(text))["errors"][0]["errorCode"]
+    assert number("{") == 100 and number('{"query": {"nope": {}}}') == 101 and number('{"bql": "SELECT"}') == 150
+    where = json.loads(engine.respond('{"bql": "SELECT *\\nFROM  = 3"}'))["errors"][0]
+    assert (where["line"], where["col"]) == (2, 6)
+    assert [h["id"] for h in json.loads(engine.respond('{"bql": "SELECT id FROM t WHERE color = $c", "templateMapping": {"c": "blue"}}'))["hits"]] == [3]
+    assert {c["name"] for c in json.loads(engine.respond('{"bql": "DESCRIBE t"}'))["columns"]} >= {"id", "tags"}
+
+
+def test_counters_are_joined_only_where_they_are_asked_for(spark, engine):
+    likes = spark.createDataFrame([(1, 5), (3, 9), (77, 9)], "id long, likes long")
+    e = Engine(engine.table.extended(likes, [Facet("likes", "range", ranges=("[1 TO 5]",))], activity=True))
+    assert e.table.activity == ("likes",)
+    assert sorted(r.id for r in e.bql("SELECT id FROM t WHERE likes >= 5 LIMIT ALL").hits.collect()) == [1, 3]
+    assert sorted(r.id for r in e.bql("SELECT id FROM t WHERE likes IS NULL LIMIT ALL").hits.collect()) == [2, 4]
+    plan = lambda ask: e.bql(ask).hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan("SELECT id FROM t WHERE likes > 1") and "Join" not in plan("SELECT id FROM t WHERE color = 'red'")
+    assert "likes" in e.bql("SELECT * FROM t").hits.columns
+
+
+def test_rewritten_aggregates_stand_among_the_facets(engine):
+    out = json.loads(engine.bql("SELECT sum(n), count(*) FROM t GROUP BY color").to_json())
+    assert out["facets"]["_sumGroupBy"] == [{"value": "red", "hits": 50}, {"value": "blue", "hits": None}] and "aggregates" not in out
+    assert {x["value"]: x["hits"] for x in out["facets"]["color"]} == {"red": 2, "blue": 1}
+    assert "aggregates" in json.loads(engine.bql("SELECT sum(n), avg(n) FROM t GROUP BY color").to_json())
+
+
+def test_explanation_is_json(engine):
+    ask = {"query": {"bool": {"should": [{"term": {"contents": "t"}}, {"term": {"color": {"value": "red", "boost": 3.0}}}]}}, "explain": True, "size": None}
+    rows = {r["id"]: json.loads(r["_explanation"]) for r in engine.request(ask).hits.collect()}
+    assert rows[1]["value"] == 3 and [d["value"] for d in rows[1]["details"]] == [0, 3] and rows[2]["value"] == 1
+
+
+def _upsert_events():
+    #      uid version kind a b
+    return [(1, 1, "add", "x", 1), (1, 3, "update", None, 7), (1, 2, "update", "y", None), (2, 5, "add", "p", 1), (2, 6, "delete", None, None), (2, 4, "add", "stale", 9), (3, 1, "update", "none", 1), (4, 1, None, "q", None), (4, 2, "skip", "r", 2), (2, 9, "add", "back", 3), (None, 1, "add", "z", 1)]
+
+
+@pytest.mark.parametrize("files", [1, 11])
+def test_upserts(spark, tmp_path, files):
+    schema = "uid long, version long, type string, a string, b long"
+    rows = _upsert_events() if files == 1 else sorted(_upsert_events(), key=lambda r: (r[1], r[0] or 0))
+    for i, at in enumerate(range(0, len(rows), -(-len(rows) // files))):
+        spark.createDataFrame(rows[at : at + -(-len(rows) // files)], schema).coalesce(1).write.json(str(tmp_path / f"in/{i:02}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
+    got = ingest.run_once(ingest.upserts(stream, "uid", "version"), f"upserts_{files}", "update")
+    last = {}
+    for r in sorted(got.collect(), key=lambda r: r["version"]):
+        last[r["uid"]] = (r["version"], r["a"], r["b"], r["_deleted"])
+    assert last == {1: (3, "y", 7, False), 2: (9, "back", 3, False), 4: (1, "q", None, False)}
+
+
+def test_parts_roll_into_segments(spark, tmp_path):
+    parts, segments = str(tmp_path / "parts"), str(tmp_path / "segments")
+    write = ingest.roll_at(parts, segments, "uid", "version", 40, ["value"])
+    frames = [spark.range(20).select(F.col("id").alias("uid"), F.lit(e).alias("version"), (F.col("id") * e % 7).alias("value")) for e in range(5)]
+    for e, df in enumerate(frames):
+        write(df, e)
+    write(frames[4], 4)  # repeated
+    assert sorted(p.name for p in (tmp_path / "segments").iterdir() if p.is_dir()) == ["segment=1", "segment=3"]
+    got = ingest.read_rolled(spark, parts, segments, "uid", "version").collect()
+    assert {(r["uid"], r["version"], r["value"]) for r in got} == {(i, 4, i * 4 % 7) for i in range(20)} and len(got) == 20
