@@ -14,11 +14,16 @@ sorted by anchor hash), and merges runs of one level into one of the next.
 Matching verifies: equal spans are the same words throughout.  Where an anchor
 has several spans, the windows of each span's first document are hashed and
 compared one by one; so results are exact for windows, not for anchors.
+
+``dedup`` builds an index for one table and drops it.  ``dedup_batch`` takes one
+that is kept in a folder between sessions, judges a batch by it, and adds the
+batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -87,18 +92,63 @@ def anchors(scanned: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted runs (h, c, doc) in the session's warehouse; of each (h, c) the smallest doc of those added first."""
+    """Sorted runs (h, c, doc) in the session's warehouse; of each (h, c) the smallest doc of those added first.
 
-    def __init__(self, spark, name: str | None = None):
-        self.spark, self.name, self.runs = spark, name or f"lodestone_fp_{uuid.uuid4().hex}", []
-        self._made, self.buckets = 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    With ``folder`` the runs are kept there (a path all executors share) and are
+    found again by the next index of that folder.  A run counts once it is whole;
+    merged runs go after the run that replaces them, and what is there twice in
+    between changes nothing.  One index at a time may add to a folder.
+    """
+
+    def __init__(self, spark, name: str | None = None, folder: str | None = None):
+        self.spark, self.name, self.folder, self.runs = spark, name or f"lodestone_fp_{uuid.uuid4().hex}", folder, []
+        self._made, self.buckets, self._places = 0, int(spark.conf.get("spark.sql.shuffle.partitions")), {}
+        if folder:
+            self._open()
+
+    def _path(self, place: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _open(self) -> None:
+        path, fs = self._path(self.folder)
+        names = sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+        for name in names:
+            if not (m := re.fullmatch(r"run-(\d+)-(\d+)-(\d+)", name)):
+                continue
+            made, level, buckets = map(int, m.groups())
+            self._made = made + 1
+            if not fs.exists(self._path(f"{self.folder}/{name}/_SUCCESS")[0]):  # its writer was lost
+                continue
+            table, place = f"{self.name}_{made}", f"{self.folder}/{name}"
+            self.spark.sql(f"CREATE TABLE {table} (h BIGINT, c BIGINT, doc BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h, c) INTO {buckets} BUCKETS LOCATION '{place}'")
+            self.runs.append((level, table))
+            self._places[table], self.buckets = place, buckets
 
     def _write(self, rows: DataFrame, level: int) -> None:
         table = f"{self.name}_{self._made}"
+        out = rows.repartition(self.buckets, "h").write.option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h", "c")
+        if self.folder:
+            self._places[table] = f"{self.folder}/run-{self._made:06}-{level}-{self.buckets}"
+            out = out.option("path", self._places[table])
         self._made += 1
-        rows.repartition(self.buckets, "h").write.option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h", "c").saveAsTable(table)
+        out.saveAsTable(table)
         self.runs.append((level, table))
 
+    def _discard(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if place := self._places.pop(table, None):
+            path, fs = self._path(place)
+            fs.delete(path, True)
+
+    def meeting(self, keys: DataFrame) -> DataFrame | None:
+        """(h, c, doc) of the entries whose anchor hash is among ``keys`` (h): a merge join with each run, which stays where it lies."""
+        out = None
+        for _, table in self.runs:
+            run = self.spark.table(table).join(keys, "h", "left_semi")
+            out = run if out is None else out.unionByName(run)
+        return None if out is None else out.groupBy("h", "c").agg(F.min("doc").alias("doc"))
+
     def entries(self) -> DataFrame | None:
         out = None
         for _, table in self.runs:
@@ -128,11 +178,11 @@ class FingerprintIndex:
             self.runs = [r for r in self.runs if r[1] not in same]
             self._write(merged.groupBy("h", "c").agg(F.min("doc").alias("doc")), level + 1)
             for t in same:
-                self.spark.sql(f"DROP TABLE {t}")
+                self._discard(t)
 
     def drop(self) -> None:
         for _, t in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self._discard(t)
         self.runs = []
 
 
@@ -177,7 +227,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", batches: int = BATCHES) -> tuple
     share a key don't count as each other's history.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64("text").alias("rid"), "text")
+    rows = _keyed(docs, key)
     scanned = stored(rows.mapInArrow(_scan, _SCAN), "anchors")
     all_anchors = anchors(scanned)
     low, high = scanned.agg(F.min("doc"), F.max("doc")).first()
@@ -187,24 +237,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", batches: int = BATCHES) -> tuple
         for start in range(low, high + 1, step):
             index.add(all_anchors.where(F.col("doc").between(start, start + step - 1)).select("h", "c", "doc"))
         index.compact(whole=True)
-        run = spark.table(index.runs[0][1])
-        spans = run.groupBy("h").agg(F.count("*").alias("spans")).where("spans > 1")
-        entries = run.join(spans, "h", "left").select("h", "c", F.col("doc").alias("first"), F.coalesce("spans", F.lit(1)).alias("spans"))
-        found = all_anchors.join(entries, ["h", "c"]).where("first < doc or spans > 1")
-        one = F.struct("h", "s", "k")
-        found = found.groupBy("doc", "rid").agg(F.collect_set(F.when(F.col("first") < F.col("doc"), F.struct("s", "k"))).alias("full"), F.collect_set(F.when(F.col("first") == F.col("doc"), one)).alias("look"))
-        # texts of the documents concerned, kept by document so that the last step needs no exchange
-        name = f"{index.name}_texts"
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.where("doc is not null").join(found, ["doc", "rid"]).repartition(parts, "doc").write.option("compression", "zstd").bucketBy(parts, "doc").saveAsTable(name)
-        texts = spark.table(name)
+        texts = _matched(rows, all_anchors, spark.table(index.runs[0][1]), f"{index.name}_texts")
         index.drop()
-        shown = stored(texts.where(F.size("look") > 0).select("doc", "rid", "text", "look").mapInArrow(_windows_of, "h long, w long, doc long, rid long, s long"), "windows")
-        first = shown.groupBy("h", "w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-        part = shown.join(first, ["h", "w"]).where("first < doc").groupBy("doc", "rid").agg(F.collect_set(F.struct(F.col("s"), F.lit(1).alias("k"))).alias("part"))
-        both = texts.select("doc", "rid", "text", "full").join(part, ["doc", "rid"], "left").where("size(full) > 0 or part is not null")
-        cut = both.select("doc", "text", "full", "part").mapInArrow(_remove, "doc long, n_words long, n_removed long, kept string")
-        gone = both.select("doc", "rid").distinct()
+        cut, gone = _cut(texts)
         whole = scanned.select("doc", "rid", "n_words", "sha").join(gone, ["doc", "rid"], "left_anti")
     else:
         cut = spark.createDataFrame([], "doc long, n_words long, n_removed long, kept string")
@@ -212,9 +247,75 @@ def dedup(docs: DataFrame, key: str = "doc_id", batches: int = BATCHES) -> tuple
     return whole.select("doc", "n_words", "sha"), cut
 
 
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64("text").alias("rid"), "text")
+
+
+def _spans(run: DataFrame) -> DataFrame:
+    """(h, c, first document, how many spans the anchor hash has)."""
+    spans = run.groupBy("h").agg(F.count("*").alias("spans")).where("spans > 1")
+    return run.join(spans, "h", "left").select("h", "c", F.col("doc").alias("first"), F.coalesce("spans", F.lit(1)).alias("spans"))
+
+
+def _matched(rows: DataFrame, all_anchors: DataFrame, run: DataFrame, name: str) -> DataFrame:
+    """The texts that have spans of earlier ones (``full``) or spans to be compared window by window (``look``)."""
+    spark = rows.sparkSession
+    found = all_anchors.join(_spans(run), ["h", "c"]).where("first < doc or spans > 1")
+    one = F.struct("h", "s", "k")
+    found = found.groupBy("doc", "rid").agg(F.collect_set(F.when(F.col("first") < F.col("doc"), F.struct("s", "k"))).alias("full"), F.collect_set(F.when(F.col("first") == F.col("doc"), one)).alias("look"))
+    # kept by document so that the last step needs no exchange
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.where("doc is not null").join(found, ["doc", "rid"]).repartition(parts, "doc").write.option("compression", "zstd").bucketBy(parts, "doc").saveAsTable(name)
+    return spark.table(name)
+
+
+def _cut(texts: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc, n_words, n_removed, kept) of the texts that lose words, and their (doc, rid); ``only``: of these (doc, rid)."""
+    shown = stored(texts.where(F.size("look") > 0).select("doc", "rid", "text", "look").mapInArrow(_windows_of, "h long, w long, doc long, rid long, s long"), "windows")
+    first = shown.groupBy("h", "w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    part = shown.join(first, ["h", "w"]).where("first < doc").groupBy("doc", "rid").agg(F.collect_set(F.struct(F.col("s"), F.lit(1).alias("k"))).alias("part"))
+    both = texts.select("doc", "rid", "text", "full").join(part, ["doc", "rid"], "left").where("size(full) > 0 or part is not null")
+    if only is not None:
+        both = both.join(only, ["doc", "rid"], "left_semi")
+    cut = both.select("doc", "text", "full", "part").mapInArrow(_remove, "doc long, n_words long, n_removed long, kept string")
+    return cut, both.select("doc", "rid").distinct()
+
+
+def dedup_batch(batch: DataFrame, index: FingerprintIndex, history: DataFrame | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """As ``dedup`` for a batch of new documents after those in the index, which then takes the batch in.
+
+    history: the documents that the index has seen (key, text); of them only
+    those are read whose spans differ from the batch's under a common anchor.
+    Batches of ascending keys give what ``dedup`` gives for all of them at once.
+    A batch that is judged again finds itself in the index, and the same result.
+    """
+    spark = batch.sparkSession
+    rows = _keyed(batch, key)
+    scanned = stored(rows.mapInArrow(_scan, _SCAN), "anchors")
+    new = anchors(scanned)
+    run = new.groupBy("h", "c").agg(F.min("doc").alias("doc"))
+    all_anchors, met = new, index.meeting(new.select("h").distinct())
+    if met is not None:
+        met = stored(met, "met")
+        run = stored(run.unionByName(met).groupBy("h", "c").agg(F.min("doc").alias("doc")), "met")
+        if history is not None:
+            look = _spans(run).where("spans > 1").select("h", "c", F.col("first").alias("doc")).join(met, ["h", "c", "doc"], "left_semi")
+            past = _keyed(history, key).join(look.select("doc").distinct(), "doc", "left_semi").join(scanned.select("doc", "rid"), ["doc", "rid"], "left_anti")
+            past = stored(past, "past")
+            all_anchors = new.unionByName(anchors(past.mapInArrow(_scan, _SCAN)).join(look, ["h", "c", "doc"], "left_semi").select(*new.columns))
+            rows = rows.unionByName(past)
+    texts = _matched(rows, all_anchors, run, f"lodestone_fp_{uuid.uuid4().hex}_texts")
+    cut, gone = _cut(texts, scanned.select("doc", "rid"))
+    index.add(new.select("h", "c", "doc"))
+    return scanned.select("doc", "rid", "n_words", "sha").join(gone, ["doc", "rid"], "left_anti").select("doc", "n_words", "sha"), cut
+
+
 def dedup_digest(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) for every row."""
-    whole, cut = dedup(docs, key)
+    return digest_of(*dedup(docs, key), key)
+
+
+def digest_of(whole: DataFrame, cut: DataFrame, key: str = "doc_id") -> DataFrame:
     whole = whole.select(F.col("doc").alias(key), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return whole.unionByName(cut.select(F.col("doc").alias(key), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 

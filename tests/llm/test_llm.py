@@ -10,6 +10,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("lodestone.llm")
 from lodestone.llm import common, jaccard, licenses, lm, mixing, quality, queries, secrets, substrings, tiling, tokens, urls  # noqa: E402
@@ -84,6 +85,40 @@ def test_substrings(docs, none):
     assert substrings.dedup_digest(none).count() == 0
 
 
+def test_substrings_by_batches_that_come_in_different_sessions(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passages = [[word() for _ in range(n)] for n in (50, 60, 75, 90, 130)]
+    rows = []
+    for i in range(60):
+        t = [word() for _ in range(rng.randrange(40))]
+        for _ in range(rng.randrange(4)):
+            p = rng.choice(passages)
+            at = rng.randrange(max(1, len(p) - 49))
+            t += p[at : at + rng.randrange(45, 120)] + [word() for _ in range(rng.randrange(3))]
+        rows.append((i, " ".join(t)))
+    rows += [(60, None), (61, ""), (61, rows[3][1]), (62, rows[7][1]), (None, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    plain = lambda rows: sorted(rows, key=str)
+    want = plain(tuple(r) for r in substrings.dedup_digest(df).select(*columns).collect())
+    assert sum(r[2] > 0 for r in want) > 20
+    folder, have = str(tmp_path / "index"), []
+    for low, high in ((0, 9), (10, 24), (25, 39), (40, 59), (60, None)):
+        batch = df.where(F.col("doc_id").between(low, high)) if high else df.where("doc_id is null or doc_id >= 60")
+        index = substrings.FingerprintIndex(spark, folder=folder)  # as a new session finds it
+        out = substrings.digest_of(*substrings.dedup_batch(batch, index, df.where(F.col("doc_id") < low)))
+        have += [tuple(r) for r in out.select(*columns).collect()]
+        if low == 25:  # a run whose writer was lost
+            (tmp_path / "index" / "run-000090-0-4").mkdir()
+    assert plain(have) == want
+    again = substrings.FingerprintIndex(spark, folder=folder)
+    assert 0 < len(again.runs) < 5
+    batch = df.where(F.col("doc_id").between(40, 59))
+    out = substrings.digest_of(*substrings.dedup_batch(batch, again, df.where("doc_id < 60")))
+    assert plain(tuple(r) for r in out.select(*columns).collect()) == plain(r for r in want if r[0] is not None and 40 <= r[0] < 60)
+
+
 def test_jaccard(docs, none):
     sets = []
     for _, t, *_ in ROWS:
