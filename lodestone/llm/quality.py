@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import HASHES, MEMO_WORDS, chunks, mix, stored, using, windows, words
+from lodestone.llm.common import MEMO_WORDS, chunks, mix, stored, using, windows
 
 ORDER = 4
 BITS = 21  # of a symbol: any code point, and the two marks beyond them
@@ -33,8 +34,13 @@ FENCE, LEAST_WIDTH = 4.0, 0.05
 BROADCAST_ROWS = 10_000  # languages
 BROADCAST_GRAMS = 5_000_000
 _START, _END = 0x110000, 0x110001
-_SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
+_IS_SPACE, _IS_SYMBOL = (np.isin(np.arange(256), list(x)) for x in (_SPACES.encode(), b"#*$%&|<>"))
+_BLOCK = 1 << 21  # bytes whose words are hashed at once
+_POWER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_POWER, -1, 1 << 64)
+#: What a byte adds to a word's hash, and the power of its place.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _SLICE = 80_000  # words whose n-grams are worked out at once
 _TASK_WORDS = 200_000  # distinct words that a counting task holds before it emits their n-grams
 
@@ -43,7 +49,8 @@ def _symbols(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First symbols, and the packed other three, of the 4-grams of all words: one for each character and one for the end; and the word each belongs to."""
     text = b"".join(tokens).decode("utf-8", "surrogatepass")
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    sizes = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in tokens), np.int64, len(tokens))
+    leads = np.cumsum(np.frombuffer(b"\x00".join([*tokens, b""]), np.uint8) & 0xC0 != 0x80)  # characters so far
+    sizes = np.diff(leads[np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1], prepend=0) - 1
     pad = ORDER - 1
     total = sizes + pad + 1
     first = np.cumsum(total) - total
@@ -68,7 +75,7 @@ def failed(n_words, n_repeat_words):
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, x, y, c): the n-grams, and how often they occur in documents that pass the counting rules."""
-    using(HASHES)
+    using()
     good: dict = defaultdict(Counter)
     bad: dict = defaultdict(set)
 
@@ -167,31 +174,64 @@ class Model(dict):
         return np.bincount(of, weights=logp[np.searchsorted(keys, _hash(x, y))], minlength=len(tokens))
 
 
+def _word_hashes(a: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word a[start:stop]: a polynomial over its bytes modulo 2^64, from running sums."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(stops, base + _BLOCK, side="right")))
+        n = int(stops[j - 1]) - base
+        power, inverse = _powers(max(n, _BLOCK))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[a[base : base + n]] * power[:n], out=sums[1:])
+        s, e = starts[i:j] - base, stops[i:j] - base
+        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    one = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(x))])
+    return one(_POWER), one(_INVERSE)
+
+
 def rules(texts: list[str | None]) -> tuple[list[list[bytes]], dict[str, np.ndarray]]:
     """The words of each text, and its counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    token_lists = [words(t) for t in texts]
+    raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    token_lists = [x.split() for x in raws]
     n = np.array([len(x) for x in token_lists], np.int64)
-    chars, symbols, dups = (np.zeros(len(texts), np.int64) for _ in range(3))
+    a = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)  # a space before, between and after the texts
+    ends = np.cumsum(np.array([len(x) for x in raws], np.int64) + 1)  # where the space after each text is
+    begins = ends - np.array([len(x) for x in raws], np.int64)
+    space = _IS_SPACE[a]
+    inner = np.cumsum(~space & ((a & 0xC0) != 0x80), dtype=np.int64)  # a character's first byte, in a word
+    marks = np.flatnonzero(_IS_SYMBOL[a])
+    chars = inner[ends] - inner[begins - 1]
+    symbols = np.searchsorted(marks, ends) - np.searchsorted(marks, begins)
+    dups = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        if text:
-            chars[i] = len(text) - sum(map(text.count, _SPACES))
-            symbols[i] = sum(map(text.count, _SYMBOLS))
-            if "\n" in text:
-                lines = [x for x in text.split("\n") if x.strip(_SPACES)]
-                dups[i] = len(lines) - len(set(lines))
-    h = HASHES.of([w for x in token_lists for w in x])
+        if text and "\n" in text:
+            lines = [x for x in text.split("\n") if x.strip(_SPACES)]
+            dups[i] = len(lines) - len(set(lines))
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    h = _word_hashes(a, edges[0::2], edges[1::2])
     doc = np.repeat(np.arange(len(texts)), n)
     repeats = np.zeros(len(texts), np.int64)
     if len(h) >= 3:
         inside = np.flatnonzero(doc[2:] == doc[:-2])  # windows of one text
         keys = (windows(h, 3, 0x9E3779B97F4A7C15) + doc[:-2].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[inside]
-        _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        twice = np.zeros(len(h) - 2, bool)
-        twice[inside] = counts[at] > 1
-        covered = np.zeros(len(h), bool)
-        for k in range(3):
-            covered[k : k + len(twice)] |= twice
-        repeats = np.bincount(doc[covered], minlength=len(texts))
+        ordered = np.sort(keys)
+        several = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(several):
+            at = np.minimum(np.searchsorted(several, keys), len(several) - 1)
+            twice = np.zeros(len(h) - 2, bool)
+            twice[inside] = several[at] == keys
+            covered = np.zeros(len(h), bool)
+            for k in range(3):
+                covered[k : k + len(twice)] |= twice
+            repeats = np.bincount(doc[covered], minlength=len(texts))
     return token_lists, {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dups, "n_repeat_words": repeats}
 
 
@@ -199,7 +239,7 @@ _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def _counter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    using(HASHES)
+    using()
     for batch in chunks(batches):
         _, counts = rules(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts.values())], [batch.schema.names[0], *counts])
@@ -220,7 +260,7 @@ def _scorer(model):
         return [{"x": a, "y": b, "f": f} for (a, b), f in n.items()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        using(HASHES)
+        using()
         memo: dict = defaultdict(dict)
         for batch in chunks(batches):
             langs = [x or "" for x in batch.column("lang").to_pylist()]
@@ -230,7 +270,7 @@ def _scorer(model):
                     memo.clear()
                 for lang in set(langs):
                     known = memo[lang]
-                    new = list({w for x, t in zip(langs, token_lists) if x == lang for w in t if w not in known})
+                    new = list(set().union(*[t for x, t in zip(langs, token_lists) if x == lang]).difference(known))
                     for i in range(0, len(new), 25_000):
                         part = new[i : i + 25_000]
                         known.update(zip(part, model.value.log_probs(lang, part).tolist()))

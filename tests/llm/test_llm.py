@@ -609,3 +609,19 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(empty / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_counting_rules_on_odd_texts_and_over_blocks(monkeypatch):
+    monkeypatch.setattr(quality, "_BLOCK", 64)
+    r = random.Random(8)
+    texts = [None, "", " \n ", "a", "\ud800 x é 漢字 # * $%&|<>\x0b\x0c q", "\xa0 a\xa0b \x85 \x1c", "é" * 300 + " a b c a b c", "x y z\n" * 90] + [" ".join(r.choice(["a", "b", "ab", "é", "漢", "#", "\n", "a" * 70]) for _ in range(r.randrange(60))) for _ in range(200)]
+    _, got_counts = quality.rules(texts)
+    for i, t in enumerate(texts):
+        w = common.words(t)
+        places = collections.defaultdict(list)
+        for j in range(len(w) - 2):
+            places[tuple(w[j : j + 3])].append(j)
+        repeated = {j + k for at in places.values() if len(at) > 1 for j in at for k in range(3)}
+        lines = [x for x in (t or "").split("\n") if common.words(x)]
+        want = (len(w), sum(len(x.decode("utf-8", "surrogatepass")) for x in w), sum((t or "").count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated))
+        assert tuple(int(got_counts[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
