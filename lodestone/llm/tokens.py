@@ -28,7 +28,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 from hashlib import blake2b
-from operator import itemgetter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +42,23 @@ from lodestone.llm.common import MEMOS, chunks, mix, shared_path, stored, using,
 
 END_ID = 1
 WINDOW, LEAST, MASK, LARGEST = 16, 64, 0xFF, 2048
-MEMO, SEEN, FAN = 250_000, 100_000, 1024
+MEMO, SEEN, FAN = 400_000, 100_000, 1024
+CHARACTERS = 4_000_000
 _MARKS = b".,!?;:$%&*#|"
+_MARK_AT = np.full(256, len(_MARKS), np.int64)
+_MARK_AT[list(_MARKS)] = np.arange(len(_MARKS))
 _ENCODERS: dict = {}
 MEMOS.append(_ENCODERS)
 
 
-class Encoder(dict):
-    """word -> its ids as little-endian 32-bit integers; words of the last ``MEMO`` and up to as many before.
+class Encoder:
+    """Ids of texts, little-endian 32-bit; keeps the ids of up to ``MEMO`` words.
 
     The tokenizer (NFC, lower case, letters or digits or others as pieces, BPE
     within a piece) never joins characters across white space, so a text's ids
     are those of its words one after another; the library encodes each distinct
-    word once.  ``by_word=False`` encodes whole texts, for tokenizers that see
+    word once, and Arrow splits texts, numbers their words and strings ids
+    together.  ``by_word=False`` encodes whole texts, for tokenizers that see
     white space.
     """
 
@@ -62,8 +66,10 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only cost on short words
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        super().__init__()
-        self.tokenizer, self.by_word, self.before = Tokenizer.from_file(path), by_word, {}
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        #: The memo: word -> its place in ``ids``, and in how many lookups it was met lately.
+        self.places: dict[bytes, int] = {}
+        self.ids, self.uses = pa.array([], pa.large_binary()), np.empty(0, np.int64)
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.mark = (ids("|") or [-1])[0]
         #: The same model for lower-case ASCII letters between spaces, which need no normalising.
@@ -72,36 +78,65 @@ class Encoder(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        #: Whether letters are lowered and a mark between white space is a piece of its own.
-        self.lowers = by_word and ids("a, | b") == ids("a,") + [self.mark] + ids("b") and ids("Abc") == ids("abc") and ids("a b") == ids("a") + ids("b") and ids("abc,.") == ids("abc") + ids(",.")
+        #: Whether letters are lowered and a mark between white space or after a letter is a piece of its own.
+        self.lowers = by_word and ids("a, | b") == ids("a,") + [self.mark] + ids("b") and ids("Abc") == ids("abc") and ids("a b") == ids("a") + ids("b")
+        self.lowers = self.lowers and all(ids(t + m) == ids(t) + ids(m) for t in ("abc", "ab\u00e9", "a\u0101") for m in _MARKS.decode())
         text = "lower case ascii letters qxzjv"
         self.lowers = self.lowers and self.plain.encode(text, add_special_tokens=False).ids == ids(text) and self.last[ids(text)].sum() == 5
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if len(self) > MEMO:
-            self.before = dict(self)
-            self.clear()
-        token_lists = [self._words(t) for t in texts]
-        new = set().union(*token_lists).difference(self)
-        known = new & self.before.keys()
-        self.update(zip(known, map(self.before.__getitem__, known)))
-        self._learn(new - known)
-        return [b"".join(itemgetter(*t)(self)) if len(t) > 1 else self[t[0]] if t else b"" for t in token_lists]
-
-    def _learn(self, new: set[bytes]) -> None:
-        # a word that ends in marks is its letters' ids, then its marks': they are pieces of their own
-        ends = {}
-        if self.lowers:
-            for w in new:
-                core = w.rstrip(_MARKS)
-                if core and len(core) < len(w) and (core[-1:].isalpha() or (core[-1] > 127 and core.decode("utf-8", "replace")[-1].isalpha())):
-                    ends[w] = core, w[len(core) :]
-        alone = ({w for w in new if w not in ends} | {x for pair in ends.values() for x in pair}).difference(self)
+        #: What a word's mark adds, by the mark's place in ``_MARKS``; nothing comes last.
+        self.marks = pa.array([*(_raw(ids(chr(m))) for m in _MARKS), b""], pa.large_binary())
+
+    def streams(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), each with the end id after it, and where each text's stop."""
+        if self.by_word:
+            split = pc.ascii_split_whitespace(self._lowered(pc.fill_null(texts, "")))
+            coded, stops = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+            table, index, stops = self._lookup(coded.dictionary), coded.indices.to_numpy(), stops[1:] - stops[0]
+        else:
+            encoded = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            table, index, stops = pa.array([_raw(e.ids) for e in encoded], pa.large_binary()), np.arange(len(texts)), np.arange(1, len(texts) + 1)
+        at = stops + np.arange(len(texts))
+        places = np.full(len(index) + len(texts), len(table), np.int32)  # the end id is one word more
+        inner = np.ones(len(places), bool)
+        inner[at] = False
+        places[inner] = index
+        flat, bounds = _flat(pa.concat_arrays([table, pa.array([_raw([end])], pa.large_binary())]).take(pa.array(places)))
+        return flat, bounds[at + 1]
+
+    def _lowered(self, texts: pa.Array) -> pa.Array:
+        """Texts in lower case where the tokenizer lowers them anyway; not if a special token's brackets are about."""
+        if not self.lowers:
+            return texts
+        special = pc.match_substring(texts, "<|")
+        lowered = pc.ascii_lower(texts)
+        return pc.if_else(special, texts, lowered) if pc.any(special).as_py() else lowered
+
+    def _lookup(self, distinct: pa.Array) -> pa.Array:
+        """The ids of each of these words; those not in the memo are learnt."""
+        words, marks = _unmarked(distinct) if self.lowers else (distinct.cast(pa.binary()), None)
+        coded = words.dictionary_encode()
+        cores = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.places.get, cores, repeat(-1)), np.int64, len(cores))
+        if (found < 0).any():
+            self._learn([cores[i] for i in np.flatnonzero(found < 0).tolist()])
+            found = np.fromiter(map(self.places.__getitem__, cores), np.int64, len(cores))
+        self.uses[found] += 1
+        out = self.ids.take(pa.array(found[coded.indices.to_numpy()]))
+        if len(self.places) > MEMO:
+            self._forget()
+        return out if marks is None else pc.binary_join_element_wise(out, self.marks.take(pa.array(marks)), pa.scalar(b"", pa.large_binary()))
+
+    def _forget(self) -> None:
+        """Half of the memo stays: words met most often, the latest of equals."""
+        keep = np.sort(np.lexsort((np.arange(len(self.uses)), self.uses))[-(MEMO // 2) :])
+        words = list(self.places)
+        self.places = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.ids, self.uses = self.ids.take(pa.array(keep)), self.uses[keep] // 2
+
+    def _learn(self, new: list[bytes]) -> None:
         kinds: tuple[list, ...] = [], [], [], []
-        for w in alone:
-            kinds[3 if not self.lowers else 0 if w.isalpha() else 1 if w.decode("utf-8", "replace").isalpha() else 2 if b"|" not in w else 3].append(w)
+        for w in new:
+            kinds[3 if not self.lowers else 0 if w.isalpha() and w.islower() else 1 if w.decode("utf-8", "replace").isalpha() else 2 if b"|" not in w and w else 3].append(w)
         for kind, learn in ((0, self._learn_ascii), (1, self._learn_letters), (2, self._learn_marked)):
             for i in range(0, len(kinds[kind]), 2_000):
                 part = kinds[kind][i : i + 2_000]
@@ -109,27 +144,27 @@ class Encoder(dict):
                     kinds[3].extend(part)
         for i in range(0, len(kinds[3]), 20_000):
             part = kinds[3][i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
-                ids = e.ids
-                self[w] = struct.pack(f"<{len(ids)}I", *ids)
-        self.update((w, self[core] + self[marks]) for w, (core, marks) in ends.items())
+            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self._keep(part, pa.array([_raw(e.ids) for e in encoded], pa.large_binary()))
+
+    def _keep(self, part: list[bytes], ids: pa.Array) -> None:
+        self.places.update(zip(part, range(len(self.uses), len(self.uses) + len(part))))
+        self.ids, self.uses = pa.concat_arrays([self.ids, ids]), np.r_[self.uses, np.zeros(len(part), np.int64)]
 
     def _ids(self, tokenizer, part: list[bytes], between: bytes) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([between.join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
 
-    def _put(self, part: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> bool:
+    def _put(self, part: list[bytes], ids: np.ndarray, stops: np.ndarray) -> bool:
         """Ids of several words: whether there are as many pieces as words; if so, they are kept."""
-        if len(starts) != len(part):
+        if len(stops) != len(part):
             return False
-        raw = ids.tobytes()
-        self.update(zip(part, map(raw.__getitem__, map(slice, (4 * starts).tolist(), (4 * stops).tolist()))))
+        self._keep(part, pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(4 * np.r_[0, stops].astype(np.int64)), pa.py_buffer(ids)]))
         return True
 
     def _learn_letters(self, part: list[bytes], tokenizer=None) -> bool:
         """Words of letters only: each is one piece, whose last id ends a word."""
         ids = self._ids(tokenizer or self.tokenizer, part, b" ")
-        stops = np.flatnonzero(self.last[ids]) + 1
-        return self._put(part, ids, np.r_[0, stops[:-1]], stops)
+        return self._put(part, ids, np.flatnonzero(self.last[ids]) + 1)
 
     def _learn_ascii(self, part: list[bytes]) -> bool:
         return self._learn_letters(part, self.plain)
@@ -137,15 +172,40 @@ class Encoder(dict):
     def _learn_marked(self, part: list[bytes]) -> bool:
         """Words without a bar, with a bar between them."""
         ids = self._ids(self.tokenizer, part, b" | ")
-        at = np.flatnonzero(ids == self.mark)
-        return self._put(part, ids, np.r_[0, at + 1], np.r_[at, len(ids)])
+        bar = ids == self.mark
+        at = np.flatnonzero(bar)
+        return self._put(part, ids[~bar], np.r_[at - np.arange(len(at)), len(ids) - len(at)])
+
+
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
-    def _words(self, text: str | None) -> list[bytes]:
-        """Words in lower case where the tokenizer lowers them anyway; not if a special token's brackets are about."""
-        if not text:
-            return []
-        raw = text.encode("utf-8", "surrogatepass")
-        return raw.lower().split() if self.lowers and b"<|" not in raw else raw.split()
+def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows one after another, and where each row's begin, with the end."""
+    bounds = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4
+    raw = ids.buffers()[2]
+    return np.frombuffer(raw, "<u4", count=int(bounds[-1])) if raw else np.empty(0, "<u4"), bounds
+
+
+def _unmarked(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words without the single mark that follows their last letter, and which mark that is: it is a piece of its own.
+
+    Letters are those of ASCII and of U+00C0 to U+024F but U+0130, whose lower case ends in a combining dot.
+    """
+    words = pa.concat_arrays([words.cast(pa.binary())])  # from offset 0 on
+    at = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: at[-1]]
+    first, stop = at[:-1], at[1:]
+    back = lambda k: np.where(stop - first >= k, raw[np.maximum(stop - k, 0)], 0) if len(raw) else np.zeros(len(words), np.uint8)
+    final, x, lead = back(1), back(2), back(3)
+    wide = (x >= 0x80) & (x < 0xC0) & (((lead >= 0xC3) & (lead <= 0xC8)) | ((lead == 0xC9) & (x < 0x90))) & ~((lead == 0xC3) & ((x == 0x97) | (x == 0xB7))) & ~((lead == 0xC4) & (x == 0xB0))
+    marks = np.where(((x >= 97) & (x <= 122)) | ((x >= 65) & (x <= 90)) | wide, _MARK_AT[final], len(_MARKS))
+    on = marks < len(_MARKS)
+    kept = np.ones(len(raw), bool)
+    kept[stop[on] - 1] = False
+    at = (at - np.r_[0, np.cumsum(on)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(at), pa.py_buffer(raw[kept])]), marks
 
 
 def encoder(path: str, by_word: bool) -> Encoder:
@@ -194,17 +254,15 @@ def _placer(path: str, by_word: bool, end_id: int, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using(_ENCODERS)
         gc.disable()  # nothing here is cyclic, and the memo is large
-        enc, end, seen = encoder(path, by_word), np.array([end_id], "<u4").tobytes(), set()
+        enc, seen = encoder(path, by_word), set()
         task, row = TaskContext.get().partitionId(), 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHARACTERS):
             digests, sizes, payloads, names, docs, totals, lists = ([] for _ in range(7))
-            streams = [ids + end for ids in enc.texts(batch.column("text").to_pylist())]
-            at = breaks(np.frombuffer(b"".join(streams), "<u4"))
-            lengths = np.array([len(ids) // 4 for ids in streams])
-            ends = np.cumsum(lengths)
-            firsts = np.searchsorted(at, ends - lengths + WINDOW), np.searchsorted(at, ends, side="right")  # breaks of windows within a document
-            for ids, n, first, low, high in zip(streams, lengths.tolist(), (ends - lengths).tolist(), *(x.tolist() for x in firsts)):
-                start, parts = 0, []
+            stream, ends = enc.streams(batch.column("text"), end_id)
+            at, starts = breaks(stream), np.r_[0, ends[:-1]]
+            firsts = np.searchsorted(at, starts + WINDOW), np.searchsorted(at, ends, side="right")  # breaks of windows within a document
+            for first, last, low, high in zip(starts.tolist(), ends.tolist(), *(x.tolist() for x in firsts)):
+                start, parts, n, ids = 0, [], last - first, stream[first:last].tobytes()
                 packed, width = pack(ids)
                 for stop in cuts(n, (at[low:high] - first).tolist()) if n > LEAST else (n,):
                     digest = blake2b(ids[4 * start : 4 * stop], digest_size=16).digest()

@@ -279,6 +279,33 @@ def test_tokens(spark, docs, none):
     assert tokens.token_table(none, queries.TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("memo", [400_000, 40])
+@pytest.mark.parametrize("by_word", [True, False])
+def test_encoder_equals_library(memo, by_word, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MEMO", memo)
+    lib, r = Tokenizer.from_file(queries.TOKENIZER), random.Random(9)
+    parts = [*"ab\u00c9\u0130\u03a3\u0436\u4e2d9\u0301\u0338\u00d7\u024fKZ.,!?|*#$&;:_-\x00\x1c\u0085\u00a0", "ing", "'s", "n't", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(r.choice([*parts, *" \t\n\v\f\r" * 3]) for _ in range(r.randint(0, 80))) for _ in range(300)]
+    texts += [None, "", " \n", "HELLO <|", "\u0130. \u0130a, b\u0130|", *(f"{x}{m}" for x in ("abc", "\u00e9t\u00e9", "\u0100", "9", "\u00f7") for m in tokens._MARKS.decode())]
+    enc = tokens.Encoder(queries.TOKENIZER, by_word)
+    for i in range(0, len(texts), 50):
+        part = texts[i : i + 50]
+        ids, stops = enc.streams(pa.array([None, *part], pa.string()).slice(1), 1)
+        assert [x.tolist() for x in np.split(ids, stops)] == [*(lib.encode(t or "", add_special_tokens=False).ids + [1] for t in part), []]
+        assert len(enc.places) <= memo and list(enc.places.values()) == list(range(len(enc.ids)))
+
+
+def test_tokens_of_capitals_beside_brackets_and_dotted_i(spark):
+    from tokenizers import Tokenizer
+
+    lib, texts = Tokenizer.from_file(queries.TOKENIZER), ["HELLO <| there", "\u0130. b\u0130, \u0130", "<|ENDOFTEXT|> A"]
+    out = tokens.token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.TOKENIZER)
+    want = [np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    assert got(out, "doc_id", "n_tokens", "ids_crc32") == [(i, len(x) // 4, zlib.crc32(x)) for i, x in enumerate(want)]
+
+
 def test_token_reconstruction_and_crc(spark, docs):
     path = common.shared_path(spark, "test")
     tokens.write_store(docs.where("doc_id < 160").dropDuplicates(["doc_id"]), path, queries.TOKENIZER)
