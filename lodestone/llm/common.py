@@ -12,8 +12,8 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-from functools import cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +66,36 @@ MEMOS: list[dict] = [HASHES]
 
 def using(*memos: dict) -> None:
     """Empties the other memos: a worker goes on to other operators' tasks, and needs one operator's memory only."""
-    for memo in MEMOS:
-        if not any(memo is m for m in memos):
-            memo.clear()
+    others = [memo for memo in MEMOS if memo and not any(memo is m for m in memos)]
+    for memo in others:
+        memo.clear()
+    if others:
+        release()
+
+
+@cache
+def _trim() -> Callable[[int], int]:
+    """The C library's malloc_trim; nothing where there is none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: Arrow's pool and the C library keep what was freed, also in a worker that only waits."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A worker's function that gives free memory back when its task ends."""
+
+    @wraps(run)
+    def tidied(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
 
 
 @cache

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CHUNK_WORDS, HASHES, chunks, components, mix, one_thread, stored, using, windows, words
+from lodestone.llm.common import CHUNK_WORDS, HASHES, chunks, components, mix, one_thread, stored, tidy, using, windows, words
 
 SHINGLE = 5
 PERCENT = 75
@@ -86,6 +86,7 @@ def least_shared(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.maximum(1, RESERVE * -(-percent * n // 100) // 100)
 
 
+@tidy
 def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, rid, n, key) of each document, and rows of shingles that several classes of a task have."""
     seen: set[bytes] = set()
@@ -126,6 +127,7 @@ _POSTED = "block int, keys binary, sizes binary, scores binary, counts binary, h
 def _poster(hot, blocks: int, percent: int):
     """Prefix entries by block: class keys, sizes, numbers of common shingles, entries of each class, and 32 bits of each entry's hash."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = hot.value  # sorted hashes and their ranks by frequency
         seen: set[bytes] = set()
@@ -273,6 +275,7 @@ def stars(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
 def _multiplier(percent: int):
     """Links from the rows (part, key, set) of whole parts, sorted by part and key."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, sets = None, [], []
         using(), one_thread()
@@ -298,6 +301,7 @@ def _multiplier(percent: int):
     return run
 
 
+@tidy
 def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     using(HASHES)
     for batch in chunks(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import MEMO_WORDS, chunks, mix, stored, using, windows
+from lodestone.llm.common import MEMO_WORDS, chunks, mix, stored, tidy, using, windows
 
 ORDER = 4
 BITS = 21  # of a symbol: any code point, and the two marks beyond them
@@ -73,6 +73,7 @@ def failed(n_words, n_repeat_words):
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT * n_words)
 
 
+@tidy
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, x, y, c): the n-grams, and how often they occur in documents that pass the counting rules."""
     using()
@@ -238,6 +239,7 @@ def rules(texts: list[str | None]) -> tuple[list[list[bytes]], dict[str, np.ndar
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+@tidy
 def _counter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     using()
     for batch in chunks(batches):
@@ -259,6 +261,7 @@ def _scorer(model):
         n = Counter(zip(x.tolist(), y.tolist()))
         return [{"x": a, "y": b, "f": f} for (a, b), f in n.items()]
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using()
         memo: dict = defaultdict(dict)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import MEMO_WORDS, MEMOS, chunks, stored, using, windows, words
+from lodestone.llm.common import MEMO_WORDS, MEMOS, chunks, stored, tidy, using, windows, words
 
 SEED, COVERAGE = 5, 0.5
 FILTER_BITS = 1 << 27
@@ -102,6 +102,7 @@ def tiles(n: int, at_item: np.ndarray, at_doc: np.ndarray) -> list[tuple[int, in
     return out
 
 
+@tidy
 def _item_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item, cls, n, seeds, hs): a digest of an item's words, their number, and its seeds' words and hashes in order."""
     using(_PLAIN)
@@ -130,6 +131,7 @@ def _filter(classes: DataFrame) -> np.ndarray:
 
 
 def _hits(bits):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using(_PLAIN)
         table = bits.value
@@ -157,6 +159,7 @@ def _hits(bits):
 
 
 def _tiler(coverage: float):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, found = [], []

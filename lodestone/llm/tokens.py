@@ -38,12 +38,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestone.llm.common import MEMOS, chunks, mix, shared_path, stored, using, windows
+from lodestone.llm.common import MEMOS, chunks, mix, release, shared_path, stored, tidy, using, windows
 
 END_ID = 1
 WINDOW, LEAST, MASK, LARGEST = 16, 64, 0xFF, 2048
 MEMO, SEEN, FAN = 400_000, 100_000, 1024
-CHARACTERS = 4_000_000
+CHARACTERS, PIECE = 4_000_000, 65_536
 _MARKS = b".,!?;:$%&*#|"
 _MARK_AT = np.full(256, len(_MARKS), np.int64)
 _MARK_AT[list(_MARKS)] = np.arange(len(_MARKS))
@@ -70,6 +70,8 @@ class Encoder:
         #: The memo: word -> its place in ``ids``, and in how many lookups it was met lately.
         self.places: dict[bytes, int] = {}
         self.ids, self.uses = pa.array([], pa.large_binary()), np.empty(0, np.int64)
+        #: Ids of words that are being learnt.
+        self.fresh: list[pa.Array] = []
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.mark = (ids("|") or [-1])[0]
         #: The same model for lower-case ASCII letters between spaces, which need no normalising.
@@ -146,10 +148,12 @@ class Encoder:
             part = kinds[3][i : i + 20_000]
             encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             self._keep(part, pa.array([_raw(e.ids) for e in encoded], pa.large_binary()))
+        self.ids, self.uses = pa.concat_arrays([self.ids, *self.fresh]), np.r_[self.uses, np.zeros(len(new), np.int64)]
+        self.fresh.clear()
 
     def _keep(self, part: list[bytes], ids: pa.Array) -> None:
-        self.places.update(zip(part, range(len(self.uses), len(self.uses) + len(part))))
-        self.ids, self.uses = pa.concat_arrays([self.ids, ids]), np.r_[self.uses, np.zeros(len(part), np.int64)]
+        self.places.update(zip(part, range(len(self.places), len(self.places) + len(part))))
+        self.fresh.append(ids)
 
     def _ids(self, tokenizer, part: list[bytes], between: bytes) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([between.join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
@@ -216,8 +220,11 @@ def encoder(path: str, by_word: bool) -> Encoder:
 
 def breaks(ids: np.ndarray) -> np.ndarray:
     """Places after a window of ids whose rolling hash has its lowest bits zero; a window may reach over documents."""
-    rolled = windows(mix(ids.astype(np.uint64)), WINDOW, 0x2545F4914F6CDD1D)
-    return np.flatnonzero((rolled & np.uint64(MASK)) == 0) + WINDOW
+    found = []
+    for i in range(0, max(len(ids) - WINDOW + 1, 0), PIECE):  # the windows that start in a piece; eight bytes an id and step are much for all
+        rolled = windows(mix(ids[i : i + PIECE + WINDOW - 1].astype(np.uint64)), WINDOW, 0x2545F4914F6CDD1D)
+        found.append(np.flatnonzero((rolled & np.uint64(MASK)) == 0) + (i + WINDOW))
+    return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
 def cuts(n: int, at: Iterable[int]) -> list[int]:
@@ -251,6 +258,7 @@ def unpack(payload: bytes) -> bytes:
 def _placer(path: str, by_word: bool, end_id: int, schema: pa.Schema):
     """A row for each chunk that is new to the task, and one for each document; ``deal`` spreads the rows."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using(_ENCODERS)
         gc.disable()  # nothing here is cyclic, and the memo is large
@@ -280,11 +288,13 @@ def _placer(path: str, by_word: bool, end_id: int, schema: pa.Schema):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(digests, pa.binary()), none(k, 2), none(k, 3), pa.array(sizes, pa.int64()), none(k, 5), pa.array(payloads, pa.binary())], schema=schema)
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(names, pa.binary()), batch.column(0), pa.array(docs, pa.binary()), pa.array(totals, pa.int64()), pa.array(lists, pa.list_(pa.binary())), none(k, 6)], schema=schema)
+            release()  # else what each batch freed stays beside what the next one takes
         gc.enable()
 
     return run
 
 
+@tidy
 def _first_of_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of equal chunks of a partition the first; all documents."""
     seen: set[bytes] = set()
@@ -296,6 +306,7 @@ def _first_of_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+@tidy
 def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to the rows of a sorted part its number, and the ids and documents of it before each row."""
     ids = docs = 0
@@ -308,6 +319,7 @@ def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs = int(upto[-1]) if n else ids, docs + n
 
 
+@tidy
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, sizes, sums = [], [], []
@@ -349,6 +361,7 @@ def shift_crc(crc: np.ndarray, zero_bytes: np.ndarray) -> np.ndarray:
     return crc
 
 
+@tidy
 def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Puts the lengths and checksums of a document's chunks, in order, together."""
     for batch in batches:

@@ -3,7 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from types import SimpleNamespace
 
@@ -297,6 +300,48 @@ def test_encoder_equals_library(memo, by_word, monkeypatch):
         assert len(enc.places) <= memo and list(enc.places.values()) == list(range(len(enc.ids)))
 
 
+@pytest.mark.parametrize("n", [0, 15, 16, 17, 22, 23, 500])
+def test_breaks_in_pieces(n, monkeypatch):
+    ids = np.random.default_rng(n).integers(0, 3, n).astype("<u4")
+    monkeypatch.setattr(tokens, "MASK", 3)
+    monkeypatch.setattr(tokens, "PIECE", 7)
+    rolled = common.windows(common.mix(ids.astype(np.uint64)), tokens.WINDOW, 0x2545F4914F6CDD1D)
+    assert tokens.breaks(ids).tolist() == [i + tokens.WINDOW for i, x in enumerate(rolled.tolist()) if x & 3 == 0]
+
+
+_TASK = """
+import ctypes, random, re, sys, types
+import pyarrow as pa
+from lodestone.llm import jaccard, quality, queries, tokens
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+tokens.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+kinds = [("kind", pa.int32()), ("deal", pa.binary()), ("doc_id", pa.int64()), ("doc", pa.binary()), ("n", pa.int64()), ("chunks", pa.list_(pa.binary())), ("payload", pa.binary())]
+run = {"tokens": tokens._placer(queries.TOKENIZER, True, 1, pa.schema(kinds)), "quality": quality._count, "jaccard": jaccard._classes}[sys.argv[1]]
+r = random.Random(1)
+texts = [" ".join("".join(r.choices("aeioulmnrst", k=5)) for _ in range(300)) for _ in range(6_000)]
+n = pa.array(range(len(texts)))
+batches = [pa.RecordBatch.from_arrays([n, n, pa.array(["en"] * len(texts)), pa.array(texts)], ["doc", "rid", "lang", "text"])]
+del texts
+for _ in run(batches):
+    pass
+del _, batches[:]
+held = mb()
+pa.default_memory_pool().release_unused(), ctypes.CDLL(None).malloc_trim(0)
+print(held - mb())
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="Linux only")
+@pytest.mark.parametrize("what", ["tokens", "quality", "jaccard"])
+def test_a_worker_that_waits_gives_free_memory_back(what):
+    out = subprocess.run([sys.executable, "-c", _TASK, what], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(common.__file__) + "/../..")
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) < 30, "MB that nothing uses were kept"
+
+
 def test_tokens_of_capitals_beside_brackets_and_dotted_i(spark):
     from tokenizers import Tokenizer
 
