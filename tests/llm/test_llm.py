@@ -300,6 +300,45 @@ def test_encoder_equals_library(memo, by_word, monkeypatch):
         assert len(enc.places) <= memo and list(enc.places.values()) == list(range(len(enc.ids)))
 
 
+def test_encoder_learns_words_without_their_runs_of_marks():
+    enc = tokens.Encoder(queries.TOKENIZER, True)
+    texts = ["abc abc, abc### abc,*** \u00e9t\u00e9!! \u00e9t\u00e9?!", "x" + "," * 8 + " x" + "," * 9 + " ab9##"]
+    ids, stops = enc.streams(pa.array(texts), 1)
+    assert [x.tolist() for x in np.split(ids, stops[:-1])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert set(enc.places) == {w.encode() for w in ("abc", ",", "###", ",***", "\u00e9t\u00e9", "!!", "?!", "x", "," * 8, "x" + "," * 9, "ab9##")}
+
+
+def test_encoder_learns_plain_words_without_normalising():
+    wide = [chr(c) for c in range(0xDF, 0x100)]
+    words = ["abc", *wide, *(f"a{c}b" for c in wide), *(f"{c}{c}" for c in wide), "\u00d7", "\u00c9a", "9", "a9", "", "\u0101", "a\u0301"]
+    plain = tokens._plain(pa.array([w.encode() for w in ["-", *words, "-"]], pa.binary()).slice(1, len(words))).tolist()
+    assert plain == [w != "" and all("a" <= c <= "z" or "\u00df" <= c <= "\u00ff" and c != "\u00f7" for c in w) for w in words]
+    broken = [b"a\xc3", b"\xa9", b"\xc3\xc3\xa9", b"\xc3\xa9\xa9", b"\xc3a", b"\xc3\x9e", b"\xc4\xa9"]
+    assert not tokens._plain(pa.array(broken, pa.binary())).any()
+    enc = tokens.Encoder(queries.TOKENIZER, True)
+    lib, enc.tokenizer = enc.tokenizer, None  # words that need normalising would fail
+    text = " ".join(w for w, p in zip(words, plain) if p)
+    assert enc.streams(pa.array([text]), 1)[0].tolist() == lib.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_encoder_memo_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 4_000)
+    enc = tokens.Encoder(queries.TOKENIZER, True)
+    for i in range(20):
+        text = " ".join(chr(97 + (i + j) % 26) * (40 + i + j) for j in range(12))
+        assert enc.streams(pa.array([text]), 1)[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert len(enc.places) < 40 and len(enc.uses) == len(enc.ids) == len(enc.words)
+
+
+def test_payloads_unpacked_at_once():
+    narrow = [tokens.pack(np.arange(n, dtype="<u4").tobytes()) for n in (1, 5, 0, 64)]
+    wide = [tokens.pack(np.array([1, 70_000], "<u4").tobytes())]
+    for some in (narrow, wide, narrow + wide, []):
+        payloads = [b"%d" % width + packed for packed, width in some]
+        array = pa.array([b"2\1\0", *payloads], pa.binary()).slice(1)
+        assert [bytes(x) for x in tokens._unpacked(array)] == [tokens.unpack(x) for x in payloads]
+
+
 @pytest.mark.parametrize("n", [0, 15, 16, 17, 22, 23, 500])
 def test_breaks_in_pieces(n, monkeypatch):
     ids = np.random.default_rng(n).integers(0, 3, n).astype("<u4")
