@@ -55,7 +55,7 @@ def counts(df: DataFrame, f: Facet, params: dict | None = None, selected: str |
 
 
 def browse(df: DataFrame, f: Facet, spec: dict, selected: list | None = None, params: dict | None = None, order: Column | None = None) -> DataFrame:
-    """(value, hits, selected): at least minHit, ordered by hits or value, at most max; selected values always come along."""
+    """(value, hits, selected): at least minHit, ordered by hits or value, at most max (0: all); selected values always come along."""
     chosen = [str(v) for v in selected or []]
     path = chosen[0] if chosen and f.kind in ("path", "multi-path") and len(chosen) == 1 else None
     got = counts(df, f, params, path)

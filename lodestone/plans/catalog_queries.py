@@ -157,15 +157,15 @@ def _facet(key: str, table: str, name: str, spec: str, sql: str, where: str = ""
 
 
 _facet("fc_count", "orders", "o_orderpriority", "(false, 1, 100, hits)", "SELECT o_orderpriority AS value, count(*) AS hits FROM orders WHERE o_orderstatus = 'F' GROUP BY 1", "WHERE o_orderstatus = 'F'")
-_facet("fc_minhit", "orders", "o_custkey", "(false, 15, 1000, hits)", "SELECT CAST(o_custkey AS VARCHAR) AS value, count(*) AS hits FROM orders GROUP BY 1 HAVING count(*) >= 15")
+_facet("fc_minhit", "orders", "o_custkey", "(false, 15, 0, hits)", "SELECT CAST(o_custkey AS VARCHAR) AS value, count(*) AS hits FROM orders GROUP BY 1 HAVING count(*) >= 15")
 _facet("fc_order_hits", "orders", "o_custkey", "(false, 1, 7, hits)", "SELECT CAST(o_custkey AS VARCHAR) AS value, count(*) AS hits FROM orders GROUP BY o_custkey ORDER BY hits DESC, o_custkey LIMIT 7")
 _facet("fc_order_val", "orders", "o_custkey", "(false, 1, 7, value)", "SELECT CAST(o_custkey AS VARCHAR) AS value, count(*) AS hits FROM orders GROUP BY o_custkey ORDER BY o_custkey LIMIT 7")
 _facet("fc_expand", "orders", "o_orderpriority", "(true, 1, 100, hits)", "SELECT o_orderpriority AS value, count(*) AS hits FROM orders WHERE o_orderstatus = 'F' GROUP BY 1", "WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
 _facet("fc_selected", "orders", "o_custkey", "(true, 1, 3, value)", "SELECT CAST(o_custkey AS VARCHAR) AS value, hits FROM (SELECT o_custkey, count(*) AS hits FROM orders GROUP BY 1 ORDER BY 1 LIMIT 3) UNION SELECT CAST(k AS VARCHAR), (SELECT count(*) FROM orders WHERE o_custkey = k) FROM (VALUES (70), (-5)) x(k)", "WHERE o_custkey IN (70, -5)")
 _facet("fc_range", "orders", "price", "(false, 1, 10, hits)", "SELECT '[0 TO 100000]' AS value, count(*) AS hits FROM orders WHERE o_totalprice BETWEEN 0 AND 100000 HAVING count(*) > 0 UNION ALL SELECT '[50000 TO 200000)', count(*) FROM orders WHERE o_totalprice >= 50000 AND o_totalprice < 200000 HAVING count(*) > 0 UNION ALL SELECT '[200000 TO *)', count(*) FROM orders WHERE o_totalprice >= 200000 HAVING count(*) > 0")
-_facet("fc_multi", "part", "tags", "(false, 1, 1000, hits)", "SELECT t AS value, count(*) AS hits FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part) GROUP BY 1")
-_facet("fc_path", "part", "path", "(false, 1, 1000, hits)", "SELECT p_type AS value, count(*) AS hits FROM part GROUP BY 1")
-_facet("fc_path_child", "part", "path", "(false, 1, 1000, hits)", "SELECT p_type || '/' || p_brand AS value, count(*) AS hits FROM part WHERE p_type = 'PROMO' GROUP BY 1", "WHERE path = 'PROMO'")
+_facet("fc_multi", "part", "tags", "(false, 1, 0, hits)", "SELECT t AS value, count(*) AS hits FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part) GROUP BY 1")
+_facet("fc_path", "part", "path", "(false, 1, 0, hits)", "SELECT p_type AS value, count(*) AS hits FROM part GROUP BY 1")
+_facet("fc_path_child", "part", "path", "(false, 1, 0, hits)", "SELECT p_type || '/' || p_brand AS value, count(*) AS hits FROM part WHERE p_type = 'PROMO' GROUP BY 1", "WHERE path = 'PROMO'")
 _facet("fc_attr", "part", "attrs", "(false, 1, 1000, hits)", "SELECT value, hits FROM (SELECT value, hits, row_number() OVER (PARTITION BY split_part(value, '=', 1) ORDER BY hits DESC, value) AS r FROM (SELECT a AS value, count(*) AS hits FROM (SELECT unnest(['brand=' || p_brand, 'type=' || p_type, 'size=' || p_size]) AS a FROM part) GROUP BY 1)) WHERE r <= 3")
 _facet("fc_hist", "orders", "hist", "(false, 1, 1000, hits)", "SELECT CAST(CAST(floor(o_totalprice / 50000) AS BIGINT) AS VARCHAR) AS value, count(*) AS hits FROM orders WHERE o_totalprice >= 0 AND o_totalprice < 400000 GROUP BY 1")
 _add("fc_dyn", _run("orders", {"facets": {"age": {"max": 10}}, "facetInit": {"age": {"now": NOW}}}, "facet:age", _V), "".join(f"{' UNION ALL ' if i else ''}SELECT '{r}' AS value, count(*) AS hits FROM orders WHERE epoch_ms(o_orderdate) > {NOW} - {int(r[:3])} * 86400000::BIGINT AND epoch_ms(o_orderdate) <= {NOW} HAVING count(*) > 0" for i, r in enumerate(("030000000", "365000000", "900000000"))))

@@ -43,3 +43,24 @@ def test_query(spark, con, name):
 def test_term_vectors_of_every_document(spark, con):
     got = {r["doc_id"] for r in C.queries()["term_vectors"](spark, SF).select("doc_id").distinct().collect()}
     assert got >= {r[0] for r in con.execute("SELECT doc_id FROM documents WHERE regexp_matches(text, '[a-z]')").fetchall()} and max(got) >= 40
+
+
+def same_as_sql(spark, tables, name):
+    """The query against its SQL over the tables in a folder."""
+    c = duckdb.connect()
+    for f in os.listdir(tables):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{tables}/{f}/*.parquet'")
+    want = c.execute(C.oracle_sql()[name])
+    names = [x[0] for x in want.description]
+    want = plain(want.fetchall())
+    return plain([tuple(r[n] for n in names) for r in C.queries()[name](spark, str(tables)).collect()]) == want and len(want)
+
+
+@pytest.mark.parametrize("name", ["fc_minhit", "fc_multi", "fc_path", "fc_path_child"])
+def test_facets_of_more_than_1000_values(spark, tmp_path, name):
+    spark.read.parquet(f"{SF}/orders.parquet").selectExpr("* EXCEPT (o_custkey)", "o_orderkey % 1100 AS o_custkey", "explode(sequence(1, 15))").drop("col").write.parquet(str(tmp_path / "orders.parquet"))
+    part = spark.read.parquet(f"{SF}/part.parquet").selectExpr("* EXCEPT (p_name, p_type, p_brand)", "explode(sequence(1, 6)) AS k")
+    part.selectExpr("* EXCEPT (k)", "concat('n', p_partkey * 6 + k, ' cold') AS p_name", "'PROMO' AS p_type", "concat('b', p_partkey * 6 + k) AS p_brand").unionByName(
+        part.selectExpr("* EXCEPT (k)", "'cold' AS p_name", "concat('t', p_partkey * 6 + k) AS p_type", "'b' AS p_brand")
+    ).write.parquet(str(tmp_path / "part.parquet"))
+    assert same_as_sql(spark, tmp_path, name) > 1000
