@@ -27,9 +27,14 @@ def tokens(col: Column) -> Column:
 
 
 def term_vector(col: Column) -> Column:
-    """Each distinct token with its frequency."""
-    count = lambda t, all_: F.struct(t.alias("term"), F.size(F.filter(all_, lambda x: x == t)).alias("freq"))
-    return F.flatten(F.transform(F.array(tokens(col)), lambda all_: F.transform(F.array_sort(F.array_distinct(all_)), lambda t: count(t, all_))))
+    """Each distinct token with its frequency; the work grows with n log n of the text's tokens."""
+
+    def runs(all_: Column) -> Column:  # of the sorted tokens
+        starts = F.filter(F.sequence(F.lit(1), F.size(all_)), lambda i: (i == 1) | (F.get(all_, i - 1) != F.get(all_, i - 2)))
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: F.struct(F.get(all_, at - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(all_) + 1) - at).alias("freq"))))
+
+    empty = F.array().cast("array<struct<term: string, freq: int>>")
+    return F.flatten(F.flatten(F.transform(F.array(F.sort_array(tokens(col))), lambda all_: F.when(F.size(all_) == 0, F.array(empty)).otherwise(runs(all_)))))
 
 
 def _is_text(table: Table, field: str) -> bool:

@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import duckdb
 import pytest
@@ -45,6 +46,21 @@ def test_term_vectors_of_every_document(spark, con):
     assert got >= {r[0] for r in con.execute("SELECT doc_id FROM documents WHERE regexp_matches(text, '[a-z]')").fetchall()} and max(got) >= 40
 
 
+def test_term_vectors_of_long_texts(spark, tmp_path):
+    """Many distinct words in a text: the work does not grow with the square."""
+    texts = [(0, "b A b. c"), (1, None), (2, ""), (3, "..."), (4, " ".join(f"w{i}" for i in range(40_000)) + " W1 w39999 w39999")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    assert same_as_sql(spark, tmp_path, "term_vectors") == 40_003
+    assert time.time() - began < 30
+
+
+def test_term_vectors_are_made_once(spark):
+    plan = C.queries()["term_vectors"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") == 1
+
+
 def same_as_sql(spark, tables, name):
     """The query against its SQL over the tables in a folder."""
     c = duckdb.connect()
