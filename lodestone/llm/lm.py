@@ -29,6 +29,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ HEAD, COUNTED = 120_000, 0.6
 VECTORS, GROWTH, SUFFIX, ROUNDS = 4096, 0.45, 3, 1
 WORD_NOISE, SHARD, SHARD_SHARE, ROWS = 2, 2_000_000, 40, 8192  # noise words of a target's group; tokens of a shard, and for each word with a vector, at least; parameter rows in a record
 ROW_BLOCK = 1024  # tokens whose scores are worked out at once: they stay in the cache
+STEP_BLOCK = 512  # the same of a training step's tokens over all groups
 FOLD, FOLDS = 2, 7
 END = b""  # no word is empty
 _FLUSH = 300_000
@@ -124,7 +126,7 @@ class Tables:
         """The token lists, the tokens' head indices (the last for none), their contexts and groups, and their number in each text."""
         lists = [tokens(t) for t in texts]
         none, get = self.unknown, self.index.get
-        flat = np.fromiter((get(w, none) for t in lists for w in t), np.int64, sum(map(len, lists)))
+        flat = np.fromiter(map(get, chain.from_iterable(lists), repeat(none)), np.int64, sum(map(len, lists)))
         sizes = np.array([len(t) for t in lists])
         far = np.flatnonzero(flat == none)
         known = np.minimum(flat, max(none - 1, 0))
@@ -161,19 +163,24 @@ class Trainer:
         self.p, self.t, self.rng = {k: v.copy() for k, v in p.items()} if p else initial(q, t), t, np.random.default_rng(seed)
         self.sq = {k: np.full(len(v), 1.0, np.float32) for k, v in self.p.items()}
         self.uses = {k: np.zeros(len(v), np.float32) for k, v in self.p.items()}
+        self.block = np.empty((STEP_BLOCK, len(q)), np.float32)
         self.noise, self.weight, self.seen = np.log(NOISE * q).astype(np.float32), (NOISE * q).astype(np.float32), 0
 
     def _move(self, key: str, at: np.ndarray, grad: np.ndarray) -> None:
         """Moves the rows ``at`` along their gradients' sums; a row may come more than once."""
-        order = np.argsort(at.astype(np.uint16) if len(self.p[key]) <= 65536 else at, kind="stable")  # 16 bits are sorted by radix
-        at = at[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        g = np.add.reduceat(grad.reshape(len(at), -1)[order].astype(np.float32, copy=False), first, axis=0)
-        self._along(key, at[first], g, np.diff(np.r_[first, len(at)]).astype(np.float32))
+        uses = np.bincount(at, minlength=len(self.p[key]))
+        rows = np.flatnonzero(uses)
+        place = np.empty(len(uses), np.int64)
+        place[rows] = np.arange(len(rows))
+        place, grad = place[at], grad.reshape(len(at), -1)
+        wide = grad.shape[1]  # bincount adds up far faster than reduceat over rows, without a sort
+        g = np.bincount((place[:, None] * wide + np.arange(wide)).ravel() if wide > 1 else place, weights=grad.ravel(), minlength=len(rows) * wide)
+        self._along(key, rows, g.reshape(-1, wide).astype(np.float32), uses[rows].astype(np.float32))
 
     def _along(self, key: str, rows, g: np.ndarray, uses) -> None:
-        self.sq[key][rows] += (g * g).mean(axis=1)
-        self.p[key][rows] += (RATE * g / np.sqrt(self.sq[key][rows])[:, None]).reshape(self.p[key][rows].shape)
+        sq = self.sq[key][rows] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        self.sq[key][rows] = sq
+        self.p[key][rows] += (g * (RATE / np.sqrt(sq))[:, None]).reshape(-1, *self.p[key].shape[1:])
         self.uses[key][rows] += uses
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, x: np.ndarray | None = None) -> None:
@@ -184,17 +191,25 @@ class Trainer:
         """
         p, n = self.p, len(w)
         ctx = p["C2"][u] + p["C1"][v]
-        pull = ctx @ p["R"].T
-        pull += np.clip(p["b"] - self.noise, -60, 60)
-        np.clip(pull, -30, 30, out=pull)
-        true = 1 / (1 + np.exp(pull[np.arange(n), w]))  # 1 - P(true)
-        np.exp(np.negative(pull, out=pull), out=pull)
-        pull += 1
-        np.divide(-self.weight, pull, out=pull)  # noise of a group, times how likely it is taken for true
-        pull[np.arange(n), w] += true
-        d_ctx, every = pull @ p["R"], np.bincount(w, minlength=len(self.weight)).astype(np.float32)
+        bias, d_ctx = np.clip(p["b"] - self.noise, -60, 60), np.empty_like(ctx)
+        d_r, d_b = np.zeros_like(p["R"]), np.zeros_like(p["b"])
+        for i in range(0, n, STEP_BLOCK):
+            c = ctx[i : i + STEP_BLOCK]
+            pull, own = self.block[: len(c)], (np.arange(len(c)), w[i : i + STEP_BLOCK])
+            np.matmul(c, p["R"].T, out=pull)
+            pull += bias
+            np.clip(pull, -30, 30, out=pull)
+            true = 1 / (1 + np.exp(pull[own]))  # 1 - P(true)
+            np.exp(np.negative(pull, out=pull), out=pull)
+            pull += 1
+            np.divide(-self.weight, pull, out=pull)  # noise of a group, times how likely it is taken for true
+            pull[own] += true
+            np.matmul(pull, p["R"], out=d_ctx[i : i + STEP_BLOCK])
+            d_r += pull.T @ c
+            d_b += np.ones(len(c), np.float32) @ pull
+        every = np.bincount(w, minlength=len(self.weight)).astype(np.float32)
         moves = []
-        whole = [("R", pull.T @ ctx), ("b", pull.sum(axis=0)[:, None])]
+        whole = [("R", d_r), ("b", d_b[:, None])]
         if x is not None and len(inner := np.flatnonzero(x < self.t.words)):
             t, y, c = self.t, x[inner], ctx[inner]
             low, high = t.cum[t.edges[w[inner]]], t.cum[t.edges[w[inner] + 1]]
@@ -204,8 +219,8 @@ class Trainer:
             up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", c, p["R2"][y]) + p["b2"][y] - t.share[y] - k, -30, 30)))
             down = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", c, known) + p["b2"][drawn] - t.share[drawn] - k, -30, 30)))
             d_ctx[inner] += up[:, None] * p["R2"][y] - np.einsum("ik,ikj->ij", down, known)
-            at = np.r_[y, drawn.ravel()]
-            moves += [("R2", at, np.r_[up[:, None] * c, -(down[:, :, None] * c[:, None, :]).reshape(-1, DIM)]), ("b2", at, np.r_[up, -down.ravel()])]
+            at, pulls = np.concatenate([y[:, None], drawn], axis=1).ravel(), np.concatenate([up[:, None], -down], axis=1)
+            moves += [("R2", at, pulls[:, :, None] * c[:, None, :]), ("b2", at, pulls)]
         for key, grad in whole:
             self._along(key, slice(None), grad, every)
         for move in (("C1", v, d_ctx), ("C2", u, d_ctx), *moves):
