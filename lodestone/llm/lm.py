@@ -27,12 +27,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,28 +44,32 @@ HEAD, COUNTED = 120_000, 0.6
 VECTORS, GROWTH, SUFFIX, ROUNDS = 4096, 0.45, 3, 1
 WORD_NOISE, SHARD, SHARD_SHARE, ROWS = 2, 2_000_000, 40, 8192  # noise words of a target's group; tokens of a shard, and for each word with a vector, at least; parameter rows in a record
 ROW_BLOCK = 1024  # tokens whose scores are worked out at once: they stay in the cache
-STEP_BLOCK = 512  # the same of a training step's tokens over all groups
+STEP_BLOCK = 256  # the same of a training step's tokens over all groups
 FOLD, FOLDS = 2, 7
-END = b""  # no word is empty
 _FLUSH = 300_000
+_CRC = np.array([zlib.crc32(bytes([i])) ^ zlib.crc32(b"\0") for i in range(256)], np.uint32)  # of one byte, from an empty register
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words in lower case (A-Z only), then the end."""
-    return [*(text.encode("utf-8", "surrogatepass").lower().split() if text else ()), END]
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in lower case (A-Z only), each text's followed by the end (empty, as no word is), and their number in each text."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(texts, "", " "))  # what is after the last space is the end
+    split = pc.ascii_split_whitespace(texts)
+    return split.flatten().cast(pa.binary()), pc.list_value_length(split).to_numpy().astype(np.int64)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["w", "c"])
+    add = lambda x, *of: x.group_by("w", use_threads=False).aggregate([of]).rename_columns(["w", "c"])
+    parts: list[pa.Table] = []
     for batch in chunks(batches):
-        for text in batch.column("text").to_pylist():
-            counts.update(tokens(text))
-        if len(counts) > _FLUSH:
-            yield emit()
-            counts.clear()
-    if counts:
-        yield emit()
+        words, _ = tokens(batch.column("text"))
+        parts.append(add(pa.table({"w": words}), [], "count_all"))
+        if sum(x.num_rows for x in parts) > 2 * _FLUSH:
+            parts = [add(pa.concat_tables(parts), "c", "sum")]
+            if parts[0].num_rows > _FLUSH:
+                yield from parts.pop().to_batches()
+    if parts:
+        yield from add(pa.concat_tables(parts), "c", "sum").to_batches()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -89,6 +93,18 @@ def bucket(word: bytes, buckets: int) -> int:
     return zlib.crc32(word[-SUFFIX:]) % buckets
 
 
+def classes(words: pa.Array, buckets: int) -> np.ndarray:
+    """``bucket`` of each word."""
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, np.int32)[words.offset :][: len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(data or b"", np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in range(SUFFIX, 0, -1):
+        has = np.flatnonzero(at[1:] - at[:-1] >= back)
+        crc[has] = _CRC[(crc[has] ^ data[at[1:][has] - back]) & 255] ^ (crc[has] >> 8)
+    return (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % buckets
+
+
 class Tables:
     """What a worker needs to know of the counts: contexts, groups and log frequencies of the head words.
 
@@ -98,7 +114,7 @@ class Tables:
     """
 
     def __init__(self, head: list, n: int, v: int, most: int, tail=lambda buckets: {}):
-        self.index = {w: i for i, (w, _) in enumerate(head)}
+        self.head = pa.array([w for w, _ in head], pa.binary())
         c = np.array([c for _, c in head], float)
         words = next((w for w in range(min(most, len(head)), 0, -1) if w == len(head) or c[w - 1] > c[w]), 0)  # equal counts are treated alike
         self.buckets = max(16, math.ceil(math.sqrt(words)))
@@ -117,24 +133,34 @@ class Tables:
         in_group = np.r_[tokens, np.bincount(group, weights=c[:words], minlength=self.groups - self.buckets)]
         self.q = (in_group + 1) / (in_group.sum() + len(in_group))
         self.cum = np.r_[0.0, np.cumsum(c[:words])]
+        self.ends = np.r_[self.cum[1:], np.inf]
+        self.cell = self.cum[-1] / (4 * words + 1)
+        self.guide = np.maximum(np.searchsorted(self.cum, np.arange(4 * words + 2) * self.cell, side="right") - 2, 0)  # not beyond the word at a cell's start, however that is rounded
         self.share = np.log(c[:words] / in_group[self.group[:words]]).astype(np.float32)
         self.rest = np.log10(tokens + types + 1)  # a word beyond has (count + 1) / (tokens + types + 1) of its class
         self.within = np.r_[np.zeros(words), np.log10(c[words:] + 1) - self.rest[of]]
         self.base = np.array([*np.log10((c + 1) / (n + v + 1)), 0.0])
 
-    def look(self, texts: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The token lists, the tokens' head indices (the last for none), their contexts and groups, and their number in each text."""
-        lists = [tokens(t) for t in texts]
-        none, get = self.unknown, self.index.get
-        flat = np.fromiter(map(get, chain.from_iterable(lists), repeat(none)), np.int64, sum(map(len, lists)))
-        sizes = np.array([len(t) for t in lists])
-        far = np.flatnonzero(flat == none)
-        known = np.minimum(flat, max(none - 1, 0))
-        context, group = (x[known] if none else np.zeros(len(flat), np.int64) for x in (self.context, self.group))
-        if len(far):
-            first, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-            context[far] = group[far] = [bucket(lists[d][i], self.buckets) for d, i in zip(doc[far].tolist(), (far - first[doc[far]]).tolist())]
-        return lists, flat, context, group, sizes
+    def at(self, x: np.ndarray) -> np.ndarray:
+        """The word whose part of ``cum`` x is in: as searchsorted finds it, but from the cell's first word on."""
+        word = self.guide.take((x / self.cell).astype(np.int64), mode="clip")
+        while (more := self.ends.take(word) <= x).any():
+            word += more
+        return word
+
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.head.to_pylist())}
+
+    def look(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens beyond the head, all tokens' head indices (the last for none), their contexts and groups, and their number in each text."""
+        words, sizes = tokens(texts)
+        flat = pc.fill_null(pc.index_in(words, value_set=self.head), self.unknown).to_numpy().astype(np.int64)
+        far = np.flatnonzero(flat == self.unknown)
+        beyond = words.take(pa.array(far))
+        context, group = (np.append(x, 0).take(flat) for x in (self.context, self.group))
+        context[far] = group[far] = classes(beyond, self.buckets)
+        return beyond, flat, context, group, sizes
 
 
 def _contexts(at: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,21 +192,29 @@ class Trainer:
         self.block = np.empty((STEP_BLOCK, len(q)), np.float32)
         self.noise, self.weight, self.seen = np.log(NOISE * q).astype(np.float32), (NOISE * q).astype(np.float32), 0
 
-    def _move(self, key: str, at: np.ndarray, grad: np.ndarray) -> None:
-        """Moves the rows ``at`` along their gradients' sums; a row may come more than once."""
-        uses = np.bincount(at, minlength=len(self.p[key]))
-        rows = np.flatnonzero(uses)
+    def _move(self, keys: tuple[str, ...], at: np.ndarray, grad: np.ndarray) -> None:
+        """Moves the rows ``at`` of the keys along their gradients' sums; a row may come more than once.
+
+        grad: the keys' gradients side by side.
+        """
+        uses = np.bincount(at, minlength=len(self.p[keys[0]]))
+        rows = np.flatnonzero(uses > 0)
         place = np.empty(len(uses), np.int64)
         place[rows] = np.arange(len(rows))
-        place, grad = place[at], grad.reshape(len(at), -1)
         wide = grad.shape[1]  # bincount adds up far faster than reduceat over rows, without a sort
-        g = np.bincount((place[:, None] * wide + np.arange(wide)).ravel() if wide > 1 else place, weights=grad.ravel(), minlength=len(rows) * wide)
-        self._along(key, rows, g.reshape(-1, wide).astype(np.float32), uses[rows].astype(np.float32))
-
-    def _along(self, key: str, rows, g: np.ndarray, uses) -> None:
-        sq = self.sq[key][rows] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        cells = np.arange(len(rows) * wide).reshape(-1, wide).take(place.take(at), axis=0)
+        g = np.bincount(cells.ravel(), weights=grad.ravel(), minlength=len(rows) * wide).astype(np.float32).reshape(-1, wide)
+        uses, start = uses[rows].astype(np.float32), 0
+        for key in keys:
+            stop = start + self.p[key][:1].size
+            self._along(key, rows, g[:, start:stop], uses)
+            start = stop
+
+    def _along(self, key: str, rows: np.ndarray, g: np.ndarray, uses: np.ndarray) -> None:
+        p = self.p[key]
+        sq = self.sq[key].take(rows) + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
         self.sq[key][rows] = sq
-        self.p[key][rows] += (g * (RATE / np.sqrt(sq))[:, None]).reshape(-1, *self.p[key].shape[1:])
+        p[rows] = p.take(rows, axis=0) + (g * (RATE / np.sqrt(sq))[:, None]).reshape(-1, *p.shape[1:])
         self.uses[key][rows] += uses
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, x: np.ndarray | None = None) -> None:
@@ -190,41 +224,43 @@ class Trainer:
         it depends on the draw; that over the words of a group is drawn.
         """
         p, n = self.p, len(w)
-        ctx = p["C2"][u] + p["C1"][v]
-        bias, d_ctx = np.clip(p["b"] - self.noise, -60, 60), np.empty_like(ctx)
-        d_r, d_b = np.zeros_like(p["R"]), np.zeros_like(p["b"])
+        ctx = np.ones((n, DIM + 1), np.float32)  # the last column is the biases'
+        np.add(p["C2"].take(u, axis=0), p["C1"].take(v, axis=0), out=ctx[:, :DIM])
+        minus = -np.concatenate([p["R"].T, (p["b"] - self.noise)[None]])
+        noise = -self.weight[:, None] * p["R"]
+        d_ctx, d_r = np.empty((n, DIM), np.float32), np.zeros((len(self.weight), DIM + 1), np.float32)
         for i in range(0, n, STEP_BLOCK):
             c = ctx[i : i + STEP_BLOCK]
-            pull, own = self.block[: len(c)], (np.arange(len(c)), w[i : i + STEP_BLOCK])
-            np.matmul(c, p["R"].T, out=pull)
-            pull += bias
-            np.clip(pull, -30, 30, out=pull)
-            true = 1 / (1 + np.exp(pull[own]))  # 1 - P(true)
-            np.exp(np.negative(pull, out=pull), out=pull)
-            pull += 1
-            np.divide(-self.weight, pull, out=pull)  # noise of a group, times how likely it is taken for true
-            pull[own] += true
-            np.matmul(pull, p["R"], out=d_ctx[i : i + STEP_BLOCK])
-            d_r += pull.T @ c
-            d_b += np.ones(len(c), np.float32) @ pull
-        every = np.bincount(w, minlength=len(self.weight)).astype(np.float32)
-        moves = []
-        whole = [("R", d_r), ("b", d_b[:, None])]
+            taken, own = self.block[: len(c)], w[i : i + STEP_BLOCK]
+            with np.errstate(over="ignore"):  # to infinity, which is never taken for true
+                np.exp(np.matmul(c, minus, out=taken), out=taken)
+            taken += 1
+            np.reciprocal(taken, out=taken)  # how likely each group is taken for true; its noise is weight times that
+            at = np.arange(0, taken.size, taken.shape[1]) + own
+            true = taken.ravel().take(at)
+            taken.ravel()[at] = true - (1 - true) / self.weight.take(own)
+            np.matmul(taken, noise, out=d_ctx[i : i + STEP_BLOCK])
+            d_r += taken.T @ c
+        d_r *= -self.weight[:, None]
+        every, groups = np.bincount(w, minlength=len(self.weight)).astype(np.float32), np.arange(len(self.weight))
+        inner = None
         if x is not None and len(inner := np.flatnonzero(x < self.t.words)):
-            t, y, c = self.t, x[inner], ctx[inner]
-            low, high = t.cum[t.edges[w[inner]]], t.cum[t.edges[w[inner] + 1]]
-            drawn = np.searchsorted(t.cum, low[:, None] + self.rng.random((len(y), WORD_NOISE)) * (high - low)[:, None], side="right") - 1
-            drawn = np.clip(drawn, t.edges[w[inner]][:, None], t.edges[w[inner] + 1][:, None] - 1)
-            known, k = p["R2"][drawn], np.float32(math.log(WORD_NOISE))
-            up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", c, p["R2"][y]) + p["b2"][y] - t.share[y] - k, -30, 30)))
-            down = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", c, known) + p["b2"][drawn] - t.share[drawn] - k, -30, 30)))
-            d_ctx[inner] += up[:, None] * p["R2"][y] - np.einsum("ik,ikj->ij", down, known)
-            at, pulls = np.concatenate([y[:, None], drawn], axis=1).ravel(), np.concatenate([up[:, None], -down], axis=1)
-            moves += [("R2", at, pulls[:, :, None] * c[:, None, :]), ("b2", at, pulls)]
-        for key, grad in whole:
-            self._along(key, slice(None), grad, every)
-        for move in (("C1", v, d_ctx), ("C2", u, d_ctx), *moves):
-            self._move(*move)
+            t, y, c, group = self.t, x.take(inner), ctx.take(inner, axis=0), w.take(inner)
+            first, last = t.edges.take(group)[:, None], t.edges.take(group + 1)[:, None]
+            low, high = t.cum.take(first), t.cum.take(last)
+            drawn = t.at(low + self.rng.random((len(y), WORD_NOISE)) * (high - low))
+            at = np.concatenate([y[:, None], np.minimum(np.maximum(drawn, first), last - 1)], axis=1)
+            known = p["R2"].take(at, axis=0)
+            s = np.einsum("ikj,ij->ik", known, c[:, :DIM]) + p["b2"].take(at) - t.share.take(at) - np.float32(math.log(WORD_NOISE))
+            pulls = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
+            pulls[:, 0] += 1
+            d_ctx[inner] += np.einsum("ik,ikj->ij", pulls, known)
+        self._along("R", groups, d_r[:, :DIM], every)
+        self._along("b", groups, d_r[:, DIM:], every)
+        self._move(("C1",), v, d_ctx)
+        self._move(("C2",), u, d_ctx)
+        if inner is not None and len(inner):
+            self._move(("R2", "b2"), at.ravel(), (pulls[:, :, None] * c[:, None, :]).reshape(-1, DIM + 1))
         self.seen += n
 
 
@@ -243,7 +279,7 @@ def train(docs: DataFrame, tables, n_tokens: int = 0) -> dict[str, np.ndarray]:
             t = tables.value
             trainer, rest = Trainer(t.q, 1000 * turn + TaskContext.get().partitionId(), t, start.value if start else None), [np.empty(0, np.int64)] * 4
             for batch in chunks(batches):
-                _, flat, context, group, sizes = t.look(batch.column("text").to_pylist())
+                _, flat, context, group, sizes = t.look(batch.column("text"))
                 all_ = [np.concatenate(x) for x in zip(rest, (*_contexts(context, sizes, t.start), group, flat))]
                 whole = len(all_[0]) - len(all_[0]) % BATCH
                 for i in range(0, whole, BATCH):
@@ -280,7 +316,7 @@ def train(docs: DataFrame, tables, n_tokens: int = 0) -> dict[str, np.ndarray]:
 def _log_sum(s: np.ndarray) -> np.ndarray:
     """log of the sum of exp over each row of a small array."""
     if s.size and -60 < float(s.min()) and float(s.max()) < 60:
-        return np.log(np.exp(s).sum(axis=1))
+        return np.log(np.exp(s).sum(axis=1))  # a product with ones would be faster, but a row's sum would depend on the rows beside it
     top = s.max(axis=1)
     return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
 
@@ -296,12 +332,12 @@ def class_log_probs(p, z: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarra
     out = np.empty(len(w))
     for i in range(0, len(w), ROW_BLOCK):
         s = slice(i, i + ROW_BLOCK)
-        ctx, norm = p["C2"][u[s]] + p["C1"][v[s]], np.empty(len(w[s]))
+        ctx, norm = p["C2"].take(u[s], axis=0) + p["C1"].take(v[s], axis=0), np.empty(len(w[s]))
         kept = (u[s] < len(z)) & (v[s] < len(z))
         norm[kept] = z[u[s][kept], v[s][kept]]
         if not kept.all():
             norm[~kept] = _log_sum(ctx[~kept] @ p["R"].T + p["b"])
-        out[s] = np.einsum("ij,ij->i", ctx, p["R"][w[s]]) + p["b"][w[s]] - norm
+        out[s] = np.einsum("ij,ij->i", ctx, p["R"].take(w[s], axis=0)) + p["b"].take(w[s]) - norm
     return out / math.log(10)
 
 
@@ -309,13 +345,13 @@ def word_log_probs(p, t: Tables, u: np.ndarray, v: np.ndarray, x: np.ndarray) ->
     """log10 probability of each head word x within its group after the contexts u, v; 0 for words beyond the head."""
     out = np.r_[t.within, 0.0][x]
     own = np.flatnonzero(x < t.words)
-    own = own[np.argsort(x[own], kind="stable")]
+    own = own[np.argsort(x[own].astype(np.min_scalar_type(t.words)), kind="stable")]  # two bytes are sorted by radix
     stops = np.searchsorted(t.group[x[own]], np.arange(t.groups + 1))
     for g in np.flatnonzero(np.diff(stops)).tolist():
         a, b = t.edges[g], t.edges[g + 1]
         for i in range(stops[g], stops[g + 1], ROW_BLOCK) if b - a > 1 else ():
             at = own[i : min(i + ROW_BLOCK, stops[g + 1])]
-            s = (p["C2"][u[at]] + p["C1"][v[at]]) @ p["R2"][a:b].T + p["b2"][a:b]
+            s = (p["C2"].take(u[at], axis=0) + p["C1"].take(v[at], axis=0)) @ p["R2"][a:b].T + p["b2"][a:b]
             out[at] = (s[np.arange(len(at)), x[at] - a] - _log_sum(s)) / math.log(10)
     return out
 
@@ -326,20 +362,17 @@ def _scorer(tables, model):
         t, (p, z) = tables.value, model.value
         none, row = t.unknown, TaskContext.get().partitionId() << 36
         for batch in chunks(batches):
-            lists, flat, context, group, sizes = t.look(batch.column("text").to_pylist())
+            beyond, flat, context, group, sizes = t.look(batch.column("text"))
             near = _contexts(context, sizes, t.start)
             logp = class_log_probs(p, z, *near, group) + word_log_probs(p, t, *near, flat)
             logp[flat == none] -= t.rest[group[flat == none]]  # and the join adds log10(count + 1)
             first = np.cumsum(sizes) - sizes
             add = lambda x: np.add.reduceat(x, first) if len(first) else np.empty(0)  # noqa: B023, E731
-            rare: list[list] = [[] for _ in lists]
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            for at in np.flatnonzero(flat == none).tolist():
-                d = int(doc[at])
-                rare[d].append(lists[d][at - int(first[d])])
-            rare = [list(Counter(x).items()) for x in rare]
+            doc, words = np.repeat(np.arange(len(sizes)), sizes)[flat == none], beyond.dictionary_encode()
+            pairs, times = np.unique(doc * len(words.dictionary) + words.indices.to_numpy(), return_counts=True) if len(doc) else (doc, doc)
+            doc, word = np.divmod(pairs, max(1, len(words.dictionary)))
             n = batch.num_rows
-            tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.StructArray.from_arrays([pa.array([w for x in rare for w, _ in x], pa.binary()), pa.array([f for x in rare for _, f in x], pa.int64())], ["w", "f"]))
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([words.dictionary.take(pa.array(word)), pa.array(times, pa.int64())], ["w", "f"]))
             known = add((flat != none).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("held_out"), pa.array(np.arange(row, row + n)), pa.array(sizes, pa.int64()), pa.array(known.astype(np.int64)), pa.array(add(t.base[flat])), pa.array(add(logp)), tail], ["k", "held_out", "row", "n_tokens", "known", "base", "logp", "tail"])
             row += n
