@@ -42,7 +42,7 @@ from lodestone.llm.common import chunks, one_thread, stored, using
 VOCAB, DIM, NOISE, BATCH, RATE = 512, 16, 32, 2048, 0.15
 HEAD, COUNTED = 120_000, 0.6
 VECTORS, GROWTH, SUFFIX, ROUNDS = 4096, 0.45, 3, 1
-WORD_NOISE, SHARD, SHARD_SHARE, ROWS = 2, 2_000_000, 40, 8192  # noise words of a target's group; tokens of a shard, and for each word with a vector, at least; parameter rows in a record
+WORD_NOISE, SHARD, SHARD_SHARE, ROWS = 2, 2_000_000, 40, 512  # noise words of a target's group; tokens of a shard, and for each word with a vector, at least; parameter rows in a record (one task averages such records of all shards)
 ROW_BLOCK = 1024  # tokens whose scores are worked out at once: they stay in the cache
 STEP_BLOCK = 256  # the same of a training step's tokens over all groups
 FOLD, FOLDS = 2, 7

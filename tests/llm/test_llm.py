@@ -654,6 +654,21 @@ def test_lm_steps_along_the_gradient():
     assert (t.at(x) == np.searchsorted(t.cum, x, side="right") - 1).all()
 
 
+def test_lm_averages_in_small_parts(spark, monkeypatch):
+    """A task that averages holds one record of each shard: far from a worker's memory at 6e9 tokens; records' size changes no score."""
+    n = 6e9
+    shards = n // max(lm.SHARD, lm.SHARD_SHARE * n**lm.GROWTH)
+    assert shards * lm.ROWS * (lm.DIM + 1) * 4 < 256e6
+    monkeypatch.setattr(lm, "SHARD", 300)
+    monkeypatch.setattr(lm, "SHARD_SHARE", 0)
+    table, scores = spark.createDataFrame(ROWS, SCHEMA), []
+    for rows in (16, 8192):
+        monkeypatch.setattr(lm, "ROWS", rows)
+        scores.append(sorted((x.doc_id, x.score) for x in lm.scored(table).collect()))
+    assert [x for x, _ in scores[0]] == [x for x, _ in scores[1]]
+    assert [x for _, x in scores[0]] == pytest.approx([x for _, x in scores[1]], rel=1e-6)
+
+
 def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 300)  # several shards
     monkeypatch.setattr(lm, "SHARD_SHARE", 0)
