@@ -37,10 +37,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CHUNK_WORDS, HASHES, chunks, components, mix, one_thread, stored, tidy, using, windows, words
+from lodestone.llm.common import CHUNK_WORDS, chunks, components, mix, one_thread, stored, tidy, using, windows
 
 SHINGLE = 5
 PERCENT = 75
@@ -58,11 +60,16 @@ BROADCAST_ROWS = 200_000
 
 def _sets(batch: pa.RecordBatch, k: int = SHINGLE) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of all k-word shingles; of fewer words, of the whole sequence."""
-    token_lists = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in batch.column("text").to_pylist()]  # bytes: A-Z only
-    flat = HASHES.of([w for t in token_lists for w in t])
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))  # A-Z only; words are no Python objects
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    index, stops = coded.indices.to_numpy(), split.offsets.to_numpy()
+    there = np.fromiter(map(bool, distinct), bool, len(distinct))[index]  # white space at a text's ends leaves empty words
+    flat = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[index[there]]
+    sizes = np.diff(np.r_[0, np.cumsum(there)][stops - stops[0]])
     rolled = windows(flat, k, _BASE)
     out, at = [], 0
-    for n in map(len, token_lists):
+    for n in sizes.tolist():
         if n >= k:
             s = np.sort(rolled[at : at + n - k + 1])
             out.append(s[np.r_[True, s[1:] != s[:-1]]])
@@ -91,7 +98,7 @@ def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, rid, n, key) of each document, and rows of shingles that several classes of a task have."""
     seen: set[bytes] = set()
     waiting: list[np.ndarray] = []
-    using(HASHES)
+    using()
 
     def hot(kind: pa.DataType) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(waiting), return_counts=True)
@@ -132,7 +139,7 @@ def _poster(hot, blocks: int, percent: int):
         common = hot.value  # sorted hashes and their ranks by frequency
         seen: set[bytes] = set()
         keys, sizes, scores, parts = [], [], [], []
-        using(HASHES)
+        using()
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate(parts)
@@ -303,7 +310,7 @@ def _multiplier(percent: int):
 
 @tidy
 def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    using(HASHES)
+    using()
     for batch in chunks(batches):
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("parts"), pa.array([s.tobytes() for s in _sets(batch)], pa.binary())], ["key", "parts", "set"])
 

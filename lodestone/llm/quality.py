@@ -36,7 +36,8 @@ BROADCAST_GRAMS = 5_000_000
 _START, _END = 0x110000, 0x110001
 _SPACES = " \t\n\x0b\x0c\r"
 _IS_SPACE, _IS_SYMBOL = (np.isin(np.arange(256), list(x)) for x in (_SPACES.encode(), b"#*$%&|<>"))
-_BLOCK = 1 << 21  # bytes whose words are hashed at once
+_BLOCK = 1 << 17  # bytes whose words are hashed at once; a worker keeps the powers of so many
+_CHARACTERS = 1_000_000  # of a slice of texts
 _POWER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_POWER, -1, 1 << 64)
 #: What a byte adds to a word's hash, and the power of its place.
@@ -92,7 +93,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(edge), pa.string()), pa.array(x[edge]), pa.array(y[edge]), pa.array(np.add.reduceat(weights, edge))], ["lang", "x", "y", "c"])
 
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=_CHARACTERS):
         token_lists, counts = rules(batch.column("text").to_pylist())
         fails = failed(counts["n_words"], counts["n_repeat_words"]).tolist()
         for lang, tokens, fail in zip(batch.column("lang").to_pylist(), token_lists, fails):
@@ -242,7 +243,7 @@ _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 @tidy
 def _counter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     using()
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=_CHARACTERS):
         _, counts = rules(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts.values())], [batch.schema.names[0], *counts])
 
@@ -265,7 +266,7 @@ def _scorer(model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using()
         memo: dict = defaultdict(dict)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=_CHARACTERS):
             langs = [x or "" for x in batch.column("lang").to_pylist()]
             token_lists, counts = rules(batch.column("text").to_pylist())
             if model:

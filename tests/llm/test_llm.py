@@ -833,3 +833,31 @@ def test_counting_rules_on_odd_texts_and_over_blocks(monkeypatch):
         lines = [x for x in (t or "").split("\n") if common.words(x)]
         want = (len(w), sum(len(x.decode("utf-8", "surrogatepass")) for x in w), sum((t or "").count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated))
         assert tuple(int(got_counts[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+
+
+def test_shingles_of_odd_texts_and_no_words_kept_in_a_worker():
+    r = random.Random(9)
+    texts = [None, "", " \n ", "A b\x0bC\x1cd \x0c É\xa0f g h ", "\x85 x y z q w", " a b c d"] + [" ".join(r.choice(["a", "B", "É", "漢", "", "\n"]) for _ in range(r.randrange(40))) for _ in range(200)]
+    common.HASHES.clear()
+    rows = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(texts)), pa.int64()), "rid": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    for batch in (rows, rows.slice(3, 50)):
+        for t, got_set in zip(batch.column("text").to_pylist(), jaccard._sets(batch)):
+            w = [x.lower() for x in common.words(t)]
+            h = np.array([common.xxhash.xxh64_intdigest(x) for x in w], np.uint64)
+            want = common.windows(h, 5, jaccard._BASE) if len(w) >= 5 else common.mix(common.windows(h, len(w), jaccard._BASE) + np.uint64(len(w))) if w else h
+            assert got_set.tolist() == sorted(set(want.tolist()))
+    list(jaccard._classes([rows]))
+    assert not common.HASHES  # it held up to 250,000 words beside other operators' tasks
+
+
+def test_quality_keeps_little_in_a_worker_and_slices_change_nothing(monkeypatch):
+    texts = [f"Word{i} and some {i % 7} others, {'again ' * (i % 5)}here" for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"_key": pa.array(range(400), pa.int64()), "lang": ["en", "fr"] * 200, "text": texts})
+    grams = quality._count([batch.select(["lang", "text"])])
+    hashes = [(b.column("lang")[0].as_py(), quality._hash(b.column("x").to_numpy(), b.column("y").to_numpy())) for b in grams]
+    model = {lang: (np.sort(h), np.linspace(-3, -1, len(h))) for lang, h in hashes}
+    table = SimpleNamespace(value=SimpleNamespace(log_probs=lambda lang, t: quality.Model.log_probs(model, lang, t)))
+    whole = pa.Table.from_batches(quality._scorer(table)([batch]))
+    assert sum(x.nbytes for x in quality._powers(quality._BLOCK)) <= 4_000_000  # it was 33 MB in each worker
+    monkeypatch.setattr(quality, "_CHARACTERS", 1_000)
+    assert pa.Table.from_batches(quality._scorer(table)([batch])).equals(whole)
